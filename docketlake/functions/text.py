@@ -7,9 +7,11 @@ from pyspark.sql import Column, functions as F
 from docketlake.constants import CHARS_PER_TOKEN, STOP_WORDS
 
 # Unicode white space and word characters, spelled out so that Java, Python and RE2 agree.
-WS_SET = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Single characters come first: Java tests them with one bit set before the category.
+WS_SET = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x{85}\p{Z}"
 WS = f"[{WS_SET}]"
 NOT_WS = f"[^{WS_SET}]"
+WS_NOT_SPACE = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x{85}\p{Z}&&[^ ]]"
 WORD = r"[\p{L}\p{N}_]"
 NOT_AFTER_WORD = r"(?<![\p{L}\p{N}_])"
 NOT_BEFORE_WORD = r"(?![\p{L}\p{N}_])"
@@ -20,7 +22,7 @@ def _c(col: Column | str) -> Column:
 
 
 def collapse_ws(col: Column | str) -> Column:
-    return F.regexp_replace(_c(col), f"{WS}+", " ")
+    return F.regexp_replace(_c(col), f"{WS}{{2,}}|{WS_NOT_SPACE}", " ")
 
 
 def strip(col: Column | str) -> Column:

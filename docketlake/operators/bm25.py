@@ -9,17 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from docketlake.constants import BM25_B, BM25_EPSILON, BM25_K1
 from docketlake.functions.text import legal_tokens
 from docketlake.operators.fusion import top_k
+from docketlake.session import materialize
 
 NO_TERM = ""  # one row per chunk under this term carries the chunk's length
 
 
 @dataclass(frozen=True)
 class SparseIndex:
-    """postings(term, chunk_id, doc_id, doc_type, tf, dl) and the parameters; the rest derives from postings.
-
-    Everything else (term and corpus statistics) is a conditional aggregate of the same postings
-    frame, never a filtered copy, so Spark reuses one shuffle for all of them.
-    """
+    """postings(term, chunk_id, doc_id, doc_type, tf, dl) and the parameters; all statistics derive from postings."""
 
     postings: DataFrame
     k1: float = BM25_K1
@@ -82,8 +79,14 @@ class SavedIndex(SparseIndex):
         return self.terms
 
 
-def build_bm25(chunks: DataFrame, tokens: str | None = None, k1: float = BM25_K1, b: float = BM25_B) -> SparseIndex:
-    """``tokens`` names an array column made by another tokenizer; by default chunk_text is tokenized."""
+def build_bm25(
+    chunks: DataFrame, tokens: str | None = None, k1: float = BM25_K1, b: float = BM25_B, store: bool = True
+) -> SparseIndex:
+    """``tokens`` names an array column made by another tokenizer; by default chunk_text is tokenized.
+
+    The postings are written once to the shared folder (``store``), because the statistics and
+    every search read them again.
+    """
     toks = F.col(tokens) if tokens else legal_tokens("chunk_text")
     rows = chunks.select("chunk_id", "doc_id", "doc_type", toks.alias("_toks")).select(
         "chunk_id", "doc_id", "doc_type",
@@ -93,7 +96,7 @@ def build_bm25(chunks: DataFrame, tokens: str | None = None, k1: float = BM25_K1
     postings = rows.groupBy(
         F.coalesce("_term", F.lit(NO_TERM)).alias("term"), "chunk_id", "doc_id", "doc_type", "dl"
     ).agg(F.count("*").alias("tf"))
-    return SparseIndex(postings, k1, b)
+    return SparseIndex(materialize(postings, "postings") if store else postings, k1, b)
 
 
 def query_terms(queries: DataFrame, text: str = "query", tokens: str | None = None) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from docketlake.functions.text import legal_tokens
 from docketlake.operators.chunking import chunk_text, with_chunk_ids
+from docketlake.session import spread
 
 # white space and word characters as RE2 classes
-SWS = r"[\t\n\x0b\f\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-SNW = r"[^\t\n\x0b\f\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SWS = r"[\t\n\x0b\f\r\x1c-\x20\x{85}\p{Z}]"
+SNW = r"[^\t\n\x0b\f\r\x1c-\x20\x{85}\p{Z}]"
 
 
 def sql_strip(c: str) -> str:
@@ -91,7 +92,7 @@ chunks AS (SELECT doc_id, lang, source, {DOC_TYPE_SQL} AS doc_type, start_char,
 
 def chunks(t) -> DataFrame:
     """Documents cut into chunks with ids; the language stands in for the document type."""
-    docs = t.documents.select("doc_id", "lang", "source", "text")
+    docs = spread(t.documents.select("doc_id", "lang", "source", "text"))
     cut = chunk_text(docs).withColumn("section_path", F.lit("Body"))
     return with_chunk_ids(cut).withColumn("doc_type", doc_type_of_lang())
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketlake.operators.bm25 import bm25_search, build_bm25
+from docketlake.operators.vectors import approximate_search, cosine, nearest_above, vector_search
 from docketlake.plans.common import CHUNK_CTE, chunks, sql_tokens
 from docketlake.plans.registry import query
 
@@ -38,7 +39,7 @@ def benchmark_hits(t, k: int = 50):
     f"""WITH {INDEX_CTE} SELECT term, chunk_id, tf, dl FROM posts JOIN docs USING (chunk_id)""",
 )
 def r1(t):
-    p = build_bm25(chunks(t)).postings
+    p = build_bm25(chunks(t), store=False).postings
     return p.where(F.col("term") != "").select("term", "chunk_id", "tf", "dl")
 
 
@@ -63,3 +64,88 @@ def a7(t):
 )
 def r2(t):
     return benchmark_hits(t).select("query_id", "chunk_id", "doc_id", "rank", "score", "confidence")
+
+
+# --- dense -----------------------------------------------------------------
+
+CENTROID_CTE = """
+dims AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL),
+cent AS (SELECT label AS query_id, list(m ORDER BY i) AS c FROM dims GROUP BY label),
+dense AS (SELECT query_id, vec_id AS item_id, label, round(list_cosine_similarity(c, embedding::DOUBLE[]), 6) AS score FROM cent, embeddings)"""
+
+
+def vector_index(t):
+    return t.embeddings.select(F.col("vec_id").alias("item_id"), "embedding", "label")
+
+
+def label_centroids(t):
+    dims = t.embeddings.select("label", F.posexplode("embedding").alias("d", "x"))
+    means = dims.groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("v")).select(
+        F.col("label").alias("query_id"), F.transform("v", lambda p: p["m"]).alias("embedding")
+    )
+
+
+@query(
+    "r5_vector_search",
+    f"""WITH {CENTROID_CTE} SELECT query_id, item_id, score, rank FROM (SELECT *, row_number() OVER
+    (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM dense) WHERE rank <= 20""",
+)
+def r5(t):
+    return vector_search(vector_index(t), label_centroids(t), 20, dim=64)
+
+
+@query(
+    "p13_filtered_vector_search",
+    f"""WITH {CENTROID_CTE} SELECT query_id, item_id, score, rank FROM (SELECT *, row_number() OVER
+    (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM dense WHERE label IN (1, 3, 5, 7)) WHERE rank <= 10""",
+)
+def p13(t):
+    return vector_search(vector_index(t), label_centroids(t), 10, keep=F.col("label").isin(1, 3, 5, 7), dim=64)
+
+
+@query(
+    "r5_tiled_vector_search",
+    f"""WITH {CENTROID_CTE} SELECT query_id, item_id, score, rank FROM (SELECT *, row_number() OVER
+    (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM dense) WHERE rank <= 5""",
+)
+def r5_tiled(t):
+    return vector_search(vector_index(t), label_centroids(t), 5, block_rows=256)
+
+
+@query("r5_approximate_vector_search")
+def r5_approximate(t):
+    return approximate_search(vector_index(t), label_centroids(t), 10, cells=16, nprobe=6)
+
+
+@query(
+    "f29_cosine",
+    f"""WITH {CENTROID_CTE} SELECT item_id, score AS similarity FROM dense WHERE query_id = label""",
+)
+def f29(t):
+    own = label_centroids(t).select(F.col("query_id").alias("label"), F.col("embedding").alias("centroid"))
+    return vector_index(t).join(own, "label").select(
+        "item_id", F.round(cosine("embedding", "centroid"), 6).alias("similarity")
+    )
+
+
+REQUEST_CTE = """
+dims AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL),
+cent AS (SELECT label, list(m ORDER BY i) AS c FROM dims GROUP BY label),
+req AS (SELECT vec_id AS query_id, label, list_transform(embedding, lambda x, i: x::DOUBLE + 2.0 * c[i]) AS v FROM embeddings JOIN cent USING (label)),
+pairs AS (SELECT query_id, vec_id AS item_id, label, round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS score FROM req JOIN embeddings USING (label)),
+semantic AS (SELECT query_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM pairs) WHERE r = 1 AND score >= 0.9)"""
+
+
+def cache_requests(t):
+    """Every vector moved towards the mean of its label: near repeats of cached questions."""
+    own = label_centroids(t).select(F.col("query_id").alias("label"), F.col("embedding").alias("centroid"))
+    return t.embeddings.join(own, "label").select(
+        F.col("vec_id").alias("query_id"), "label",
+        F.zip_with("embedding", "centroid", lambda x, y: x.cast("double") + F.lit(2.0) * y).alias("embedding"),
+    )
+
+
+@query("j9_semantic_cache", f"WITH {REQUEST_CTE} SELECT query_id, item_id, score FROM semantic")
+def j9(t):
+    return nearest_above(vector_index(t), cache_requests(t), 0.9, by="label", cells=16)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,15 +32,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    return tempfile.mkdtemp(prefix="spark-")
+    fallback = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", fallback)
+    return fallback
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, used between rounds of iterative operators."""
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame that several plans read to the shared folder and read it back.
+
+    Cuts lineage, survives lost executors, and keeps column pruning and filter push-down.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/docketlake-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work one partition per core where the input has fewer; otherwise no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
