@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docketlake.functions.text import NOT_AFTER_WORD, NOT_BEFORE_WORD, WS, _c, collapse_ws, normalize_query, strip, word_count
 from docketlake.operators.fusion import complexity_value
@@ -142,48 +142,69 @@ def _area(q: Column, table) -> Column:
     return out
 
 
-def classify_intent(query: Column | str) -> Column:
-    """struct of intent, complexity, user type, confidence, framework, area and search sizes; null if unclear."""
+def classify_intents(df: DataFrame, query: str = "query") -> DataFrame:
+    """Add intent, complexity, user_type, confidence, framework, area, retrieve and keep; null if unclear.
+
+    The tests become columns first and the first true one is the rule, so that no test is evaluated
+    once per output field.
+    """
     raw = _c(query)
-    q = strip(F.lower(raw))
-    n = word_count(raw)
-    greeting = q.rlike(NOT_AFTER_WORD + "(" + "|".join(GREETINGS) + ")" + NOT_BEFORE_WORD)
-    professional = any_match(q, PROFESSIONAL_SIGNS)
-    user = F.when(professional, "professional").otherwise("citizen")
-    several = any_of(q, STATUTE_CONNECTIVES)
-    joined = any_of(q, GENERAL_CONNECTIVES)
-    legal = count_of(q, LEGAL_WORDS)
-    statute_level = F.when((n >= 25) | several | professional, "complex").otherwise("moderate")
+    base = df.withColumn("_q", strip(F.lower(raw))).withColumn("_n", word_count(raw))
+    q, n = F.col("_q"), F.col("_n")
+    base = base.withColumns({
+        "_pro": any_match(q, PROFESSIONAL_SIGNS),
+        "_several": any_of(q, STATUTE_CONNECTIVES),
+        "_joined": any_of(q, GENERAL_CONNECTIVES),
+        "_legal": count_of(q, LEGAL_WORDS),
+        "_statute_area": _area(q, STATUTE_AREAS),
+        "_general_area": _area(q, GENERAL_AREAS),
+    })
+    rule = (
+        F.when(q.rlike(NOT_AFTER_WORD + "(" + "|".join(GREETINGS) + ")" + NOT_BEFORE_WORD), "greeting")
+        .when(any_of(q, SUMMARY_PHRASES), "summary")
+        .when(any_of(q, CONSTITUTION_WORDS), "constitution")
+        .when(q.rlike(STATUTE_PATTERN), "statute")
+        .when(any_of(q, PROCEDURE_WORDS), "procedure")
+        .when(any_of(q, CASE_WORDS), "case")
+        .when(any_of(q, RIGHTS_WORDS), "rights")
+        .when(any_of(q, UNCLEAR_WORDS), "unclear")
+        .when(F.col("_legal") > 0, "general")
+    )
+    base = base.withColumn("_rule", rule)
+    r = F.col("_rule")
+    user = F.when(F.col("_pro") & ~r.isin("greeting", "rights"), "professional").otherwise("citizen")
+    statute_level = F.when((n >= 25) | F.col("_several") | F.col("_pro"), "complex").otherwise("moderate")
     general_level = (
-        F.when((n >= 25) | (joined & (legal >= 3)), "complex").when((n > 15) | (legal >= 2), "moderate").otherwise("simple")
+        F.when((n >= 25) | (F.col("_joined") & (F.col("_legal") >= 3)), "complex")
+        .when((n > 15) | (F.col("_legal") >= 2), "moderate")
+        .otherwise("simple")
     )
 
-    rules = [
-        (greeting, "conversational", F.lit("simple"), F.lit("citizen"), 0.95, "none", F.lit(""), True),
-        (any_of(q, SUMMARY_PHRASES), "summarize", F.lit("simple"), user, 0.9, "none", F.lit(""), True),
-        (any_of(q, CONSTITUTION_WORDS), "rag_qa", F.lit("complex"), user, 0.9, "constitutional", F.lit("constitutional_law"), False),
-        (q.rlike(STATUTE_PATTERN), "rag_qa", statute_level, user, 0.85, "statutory", _area(q, STATUTE_AREAS), False),
-        (any_of(q, PROCEDURE_WORDS), "rag_qa", F.lit("simple"), user, 0.8, "irac", F.lit("procedure"), False),
-        (any_of(q, CASE_WORDS), "rag_qa", F.lit("complex"), user, 0.85, "precedent", F.lit("case_law"), False),
-        (any_of(q, RIGHTS_WORDS), "rag_qa", F.lit("simple"), F.lit("citizen"), 0.85, "irac", F.lit("general"), False),
-        (any_of(q, UNCLEAR_WORDS), "disambiguate", F.lit("simple"), user, 0.8, "irac", F.lit("general"), False),
-        (legal > 0, "rag_qa", general_level, user, 0.7, "irac", _area(q, GENERAL_AREAS), False),
-    ]
-    out = None
-    for test, intent, level, who, confidence, framework, area, silent in rules:
-        zero = F.lit(0)
-        value = F.struct(
-            F.lit(intent).alias("intent"),
-            level.alias("complexity"),
-            who.alias("user_type"),
-            F.lit(confidence).alias("confidence"),
-            F.lit(framework).alias("framework"),
-            area.alias("area"),
-            (zero if silent else complexity_value("retrieve", level)).alias("retrieve"),
-            (zero if silent else complexity_value("keep", level)).alias("keep"),
-        )
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out
+    def by_rule(**values) -> Column:
+        out = F.lit(None)
+        for name, value in values.items():
+            out = F.when(r == name, value if isinstance(value, Column) else F.lit(value)).otherwise(out)
+        return out
+
+    base = base.withColumns({
+        "intent": by_rule(greeting="conversational", summary="summarize", unclear="disambiguate", constitution="rag_qa",
+                          statute="rag_qa", procedure="rag_qa", case="rag_qa", rights="rag_qa", general="rag_qa"),
+        "complexity": by_rule(greeting="simple", summary="simple", constitution="complex", statute=statute_level,
+                              procedure="simple", case="complex", rights="simple", unclear="simple", general=general_level),
+        "user_type": F.when(r.isNotNull(), user),
+        "confidence": by_rule(greeting=0.95, summary=0.9, constitution=0.9, statute=0.85, procedure=0.8, case=0.85,
+                              rights=0.85, unclear=0.8, general=0.7),
+        "framework": by_rule(greeting="none", summary="none", constitution="constitutional", statute="statutory",
+                             procedure="irac", case="precedent", rights="irac", unclear="irac", general="irac"),
+        "area": by_rule(greeting="", summary="", constitution="constitutional_law", statute=F.col("_statute_area"),
+                        procedure="procedure", case="case_law", rights="general", unclear="general",
+                        general=F.col("_general_area")),
+    })
+    silent = r.isin("greeting", "summary")
+    return base.withColumns({
+        "retrieve": F.when(silent, 0).when(r.isNotNull(), complexity_value("retrieve")),
+        "keep": F.when(silent, 0).when(r.isNotNull(), complexity_value("keep")),
+    }).drop("_q", "_n", "_pro", "_several", "_joined", "_legal", "_statute_area", "_general_area", "_rule")
 
 
 def is_follow_up(query: Column | str) -> Column:

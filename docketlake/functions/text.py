@@ -92,7 +92,7 @@ def keywords(col: Column | str, limit: int | None = 20) -> Column:
 
 
 def slug(col: Column | str, max_len: int = 80) -> Column:
-    s = F.lower(F.trim(F.lit("_"), F.regexp_replace(_c(col), "[^A-Za-z0-9]+", "_")))
+    s = F.lower(F.trim(F.regexp_replace(_c(col), "[^A-Za-z0-9]+", "_"), F.lit("_")))
     s = F.when(F.length(s) > max_len, F.rtrim(F.substring(s, 1, max_len), F.lit("_"))).otherwise(s)
     return F.when(F.coalesce(F.length(s), F.lit(0)) == 0, F.lit("unknown")).otherwise(s)
 
