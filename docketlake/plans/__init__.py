@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["text", "chunks", "search", "fusion", "analytics"]
+GROUPS = ["text", "chunks", "search", "fusion", "analytics", "ingest"]
 
 
 def load():

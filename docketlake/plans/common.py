@@ -29,6 +29,10 @@ def sql_words(c: str) -> str:
     return f"regexp_extract_all({c}, '{SNW}+')"
 
 
+def sql_any(c: str, parts: list[str]) -> str:
+    return "(" + " OR ".join("contains({}, '{}')".format(c, p.replace("'", "''")) for p in parts) + ")"
+
+
 STOP_SQL = (
     "['a','an','and','are','as','at','be','by','for','from','has','he','in','is','it','its','of','on',"
     "'that','the','to','was','will','with']"
@@ -57,36 +61,47 @@ def doc_type_of_lang(col: str = "lang"):
     return F.when(c == "en", "act").when(c == "de", "si").when(c == "fr", "ordinance").otherwise("constitution")
 
 
-CHUNK_CTE = f"""
-norm AS (SELECT doc_id, lang, source, {sql_normalize('text')} AS t FROM documents),
-base AS (SELECT *, length(t) AS n FROM norm WHERE length(t) > 0),
-pieces AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS ord
-  FROM (SELECT doc_id, regexp_extract_all(t, '(?s).*?(?:[.!?] |$)') AS ps FROM base WHERE n // 4 > 256)),
-ends AS (SELECT * FROM (SELECT doc_id, p, (sum(length(p)) OVER (PARTITION BY doc_id ORDER BY ord))::BIGINT AS b FROM pieces)
+def chunk_cte(keys: str, source: str, pre: str = "") -> str:
+    """CTEs that cut ``source``(keys, text) into windows; the last one is {pre}all_chunks."""
+    return f"""
+{pre}norm AS (SELECT {keys}, {sql_normalize('text')} AS t FROM {source}),
+{pre}base AS (SELECT *, length(t) AS n FROM {pre}norm WHERE length(t) > 0),
+{pre}pieces AS (SELECT {keys}, unnest(ps) AS p, generate_subscripts(ps, 1) AS ord
+  FROM (SELECT {keys}, regexp_extract_all(t, '(?s).*?(?:[.!?] |$)') AS ps FROM {pre}base WHERE n // 4 > 256)),
+{pre}ends AS (SELECT * FROM (SELECT {keys}, p, (sum(length(p)) OVER (PARTITION BY {keys} ORDER BY ord))::BIGINT AS b FROM {pre}pieces)
   WHERE regexp_matches(p, '(?s)[.!?] $')),
-wins AS (SELECT doc_id, lang, source, t, n, w * 872 AS pos, least(w * 872 + 1024, n) AS e
-  FROM (SELECT *, unnest(generate_series(0, (n - 1) // 872)) AS w FROM base WHERE n // 4 > 256)),
-near AS (SELECT w.doc_id, w.pos, max(b) FILTER (b <= e) AS back, min(b) FILTER (b >= e + 2) AS fwd
-  FROM wins w LEFT JOIN ends USING (doc_id) GROUP BY ALL),
-word_near AS (SELECT w.*, coalesce(back, 0) AS back, coalesce(fwd, n) AS fwd,
+{pre}wins AS (SELECT {keys}, t, n, w * 872 AS pos, least(w * 872 + 1024, n) AS e
+  FROM (SELECT *, unnest(generate_series(0, (n - 1) // 872)) AS w FROM {pre}base WHERE n // 4 > 256)),
+{pre}near AS (SELECT {keys}, w.pos, max(b) FILTER (b <= e) AS back, min(b) FILTER (b >= e + 2) AS fwd
+  FROM {pre}wins w LEFT JOIN {pre}ends USING ({keys}) GROUP BY ALL),
+{pre}word_near AS (SELECT w.*, coalesce(back, 0) AS back, coalesce(fwd, n) AS fwd,
     CASE WHEN strpos(reverse(left(t, e)), ' ') > 0 THEN e - strpos(reverse(left(t, e)), ' ') ELSE 0 END AS wback,
     CASE WHEN strpos(substr(t, e + 1), ' ') > 0 THEN strpos(substr(t, e + 1), ' ') - 1 ELSE n - e END AS wgap
-  FROM wins w JOIN near USING (doc_id, pos)),
-cut AS (SELECT doc_id, lang, source, n, pos, t, CASE
+  FROM {pre}wins w JOIN {pre}near USING ({keys}, pos)),
+{pre}cut AS (SELECT {keys}, n, pos, t, CASE
     WHEN e >= n THEN n
     WHEN fwd = n AND back = 0 THEN CASE WHEN wgap = 0 THEN e WHEN e - wback <= wgap THEN wback ELSE e + wgap END
     WHEN e - back <= fwd - e THEN back ELSE fwd END AS fin
-  FROM word_near),
-long_chunks AS (SELECT doc_id, lang, source, pos AS start_char, fin AS end_char,
-    CASE WHEN fin > pos THEN substr(t, pos + 1, fin - pos) ELSE '' END AS chunk_text, n FROM cut),
-all_chunks AS (SELECT doc_id, lang, source, start_char, end_char, chunk_text FROM long_chunks
+  FROM {pre}word_near),
+{pre}long_chunks AS (SELECT {keys}, pos AS start_char, fin AS end_char,
+    CASE WHEN fin > pos THEN substr(t, pos + 1, fin - pos) ELSE '' END AS chunk_text, n FROM {pre}cut),
+{pre}all_chunks AS (SELECT {keys}, start_char, end_char, chunk_text FROM {pre}long_chunks
     WHERE length(chunk_text) // 4 >= 10 OR end_char = n
-  UNION ALL SELECT doc_id, lang, source, 0, n, t FROM base WHERE n // 4 <= 256),
+  UNION ALL SELECT {keys}, 0, n, t FROM {pre}base WHERE n // 4 <= 256)"""
+
+
+def sql_chunk_id(doc, path, start, end, text) -> str:
+    return (
+        f"substr(sha256(concat_ws('|', {doc}, {path}, {start}, {end}, "
+        f"substr(sha256({sql_strip(sql_collapse(text))}), 1, 8))), 1, 16)"
+    )
+
+
+CHUNK_CTE = f"""{chunk_cte('doc_id, lang, source', 'documents')},
 chunks AS (SELECT doc_id, lang, source, {DOC_TYPE_SQL} AS doc_type, start_char, end_char, chunk_text,
     (row_number() OVER (PARTITION BY doc_id ORDER BY start_char) - 1)::BIGINT AS chunk_index,
     (length(chunk_text) // 4)::BIGINT AS num_tokens,
-    substr(sha256(concat_ws('|', doc_id, 'Body', start_char, end_char,
-      substr(sha256({sql_strip(sql_collapse('chunk_text'))}), 1, 8))), 1, 16) AS chunk_id
+    {sql_chunk_id('doc_id', "'Body'", 'start_char', 'end_char', 'chunk_text')} AS chunk_id
   FROM all_chunks)"""
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docketlake.functions import ids, query as fq, text as tx
 from docketlake.operators.fusion import complexity_value
 from docketlake.operators.retrieval import query_variants
-from docketlake.plans.common import SNW, SWS, sql_collapse, sql_normalize, sql_strip, sql_tokens, sql_words
+from docketlake.plans.common import sql_any, sql_collapse, sql_normalize, sql_strip, sql_tokens, sql_words
 from docketlake.plans.registry import query
 
 
@@ -218,10 +218,6 @@ def f23(t):
     )
 
 
-def sql_any(c, parts):
-    return "(" + " OR ".join("contains({}, '{}')".format(c, p.replace("'", "''")) for p in parts) + ")"
-
-
 def sql_count(c, parts):
     return "(" + " + ".join(f"contains({c}, '{p}')::INTEGER" for p in parts) + ")"
 
