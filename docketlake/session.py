@@ -37,13 +37,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return fallback
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/docketlake-{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame that several plans read to the shared folder and read it back.
 
     Cuts lineage, survives lost executors, and keeps column pruning and filter push-down.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/docketlake-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
