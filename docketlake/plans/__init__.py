@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["text", "chunks", "search", "fusion", "analytics", "ingest", "evaluation", "streams"]
+GROUPS = ["text", "chunks", "search", "fusion", "analytics", "ingest", "evaluation", "streams", "hybrid", "sources"]
 
 
 def load():

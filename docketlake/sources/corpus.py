@@ -47,8 +47,10 @@ def in_source(key: Column | str, source: str = "legislation") -> Column:
     return c.rlike("/legislation/(" + "|".join(LEGISLATION_FOLDERS) + ")/")
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Raw HTML files: url (file path) and html."""
+def read_pages(spark: SparkSession, path: str, fmt: str = "html") -> DataFrame:
+    """url and html: one HTML file per page (the file path is the url), or a table with both columns."""
+    if fmt != "html":
+        return spark.read.format(fmt).load(path).select("url", "html")
     return spark.read.option("wholetext", True).text(path).select(
         F.col("_metadata.file_path").alias("url"), F.col("value").alias("html")
     )
