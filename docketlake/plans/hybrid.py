@@ -13,7 +13,7 @@ from docketlake.operators.fusion import complexity_value, search_confidence
 from docketlake.operators.vectors import embed, vector_search
 from docketlake.plans.analytics import TWO_LEVEL_CTE, lookups
 from docketlake.plans.common import chunks, sql_chunk_id, sql_words
-from docketlake.plans.ingest import ENTITY_CTE, legal_chunks
+from docketlake.plans.ingest import ENTITY_CTE, SPLIT_CTE, legal_chunks
 from docketlake.plans.registry import query
 from docketlake.plans.search import BM25_CTE, CHUNK_CTE, benchmark_hits, benchmark_queries
 from docketlake.plans.text import NQ
@@ -185,7 +185,7 @@ def d5(t):
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
-@query("d6_split_text_function")
+@query("d6_split_text_function", f"WITH RECURSIVE {SPLIT_CTE} SELECT doc_id, sub_index, length(part) AS chars FROM parts")
 def d6(t):
     register_functions(t.spark)
     t.documents.createOrReplaceTempView("docketlake_documents")

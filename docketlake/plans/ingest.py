@@ -9,7 +9,7 @@ from docketlake.functions import entities as en
 from docketlake.functions.text import strip
 from docketlake.operators import chunking as ch, metadata as md, sections as se, trees as tr
 from docketlake.plans.common import (
-    CHUNK_CTE, DOC_TYPE_SQL, chunk_cte, chunks, doc_type_of_lang, sql_any, sql_chunk_id, sql_collapse, sql_normalize, sql_strip,
+    CHUNK_CTE, DOC_TYPE_SQL, chunk_cte, chunks, doc_type_of_lang, sql_any, sql_chunk_id, sql_collapse, sql_normalize, sql_strip, sql_words,
 )
 from docketlake.plans.registry import query
 from docketlake.session import spread
@@ -161,19 +161,43 @@ def f13p(t):
     return ch.legislation_parents(ch.section_rows(section_source(t))).select("doc_id", "section_path", "num_tokens", "parent_doc_id")
 
 
-@query("f11_split_oversized")
-def f11(t):
+def nw(c):
+    return f"len({sql_words(c)})"
+
+
+SPLIT_CTE = rf"""src AS (SELECT doc_id, {sql_strip('text')} AS t FROM documents),
+ss AS (SELECT doc_id, t, string_split(regexp_replace(t, '\.\s+', '.' || chr(1), 'g'), chr(1)) AS ss FROM src WHERE {nw('t')} * 1.3 > 300),
+fold AS (SELECT doc_id, ss, 0 AS i, '' AS held, []::VARCHAR[] AS out FROM ss
+  UNION ALL SELECT doc_id, ss, i + 1, CASE WHEN fits THEN held || s || ' '
+      WHEN held <> '' THEN array_to_string(list_slice(hw, greatest(len(hw) - 19, 1), len(hw)), ' ') || ' ' || s || ' ' ELSE array_to_string(list_slice(sw, 206, len(sw)), ' ') END,
+    CASE WHEN fits THEN out WHEN held <> '' THEN list_append(out, {sql_strip('held')}) ELSE list_append(out, array_to_string(list_slice(sw, 1, 225), ' ')) END
+  FROM (SELECT *, ss[i + 1] AS s, {sql_words('held')} AS hw, {sql_words('ss[i + 1]')} AS sw, {nw('held || ss[i + 1]')} * 1.3 <= 300 AS fits FROM fold WHERE i < len(ss))),
+parts AS (SELECT doc_id, unnest(ps) AS part, generate_subscripts(ps, 1) - 1 AS sub_index FROM (SELECT doc_id, CASE WHEN held <> '' THEN list_append(out, {sql_strip('held')}) ELSE out END AS ps FROM fold WHERE i = len(ss)
+  UNION ALL SELECT doc_id, [t] FROM src WHERE {nw('t')} * 1.3 <= 300 AND t <> ''))"""
+
+
+def split_documents(t):
     docs = documents(t).select(
         F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.col("text").alias("chunk_text"), F.lit("Body").alias("section_path"))
-    return ch.split_oversized(docs, 300).select("original_chunk_id", "sub_index", "chunk_id", "num_tokens", "end_char", "section_path")
+    return ch.split_oversized(docs, 300)
+
+
+@query(
+    "f11_split_oversized",
+    f"""WITH RECURSIVE {SPLIT_CTE} SELECT doc_id, sub_index, substr(sha256(concat_ws('_', doc_id, sub_index, left(part, 100))), 1, 16) AS chunk_id, floor({nw('part')} * 1.3)::BIGINT AS num_tokens,
+    length(part) AS end_char, md5(part) AS text_md5 FROM parts""",
+)
+def f11(t):
+    return split_documents(t).select("doc_id", "sub_index", "chunk_id", "num_tokens", "end_char", F.md5("chunk_text").alias("text_md5"))
 
 
-@query("w14_sub_chunk_provenance")
+@query(
+    "w14_sub_chunk_provenance",
+    f"""WITH RECURSIVE {SPLIT_CTE} SELECT doc_id::VARCHAR AS original_chunk_id, count(*) AS parts, max(sub_index) AS last_index, 'Body (Part ' || count(*) || ')' AS last_path FROM parts GROUP BY doc_id""",
+)
 def w14(t):
-    docs = documents(t).select(
-        F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.col("text").alias("chunk_text"), F.lit("Body").alias("section_path"))
-    return ch.split_oversized(docs, 300).groupBy("original_chunk_id").agg(
-        F.count("*").alias("parts"), F.max("sub_index").alias("last_index"), F.countDistinct("chunk_id").alias("ids"))
+    return split_documents(t).groupBy("original_chunk_id").agg(
+        F.count("*").alias("parts"), F.max("sub_index").alias("last_index"), F.max_by("section_path", "sub_index").alias("last_path"))
 
 
 # --- trees -----------------------------------------------------------------
