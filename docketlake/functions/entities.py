@@ -18,6 +18,8 @@ STATUTES = (
     rf"{B}s\.?\s*(\d+[A-Z]?)(?:\s*\(\d+\))?(?:\s*\([a-z]\))?|{B}section\s+(\d+[A-Z]?)(?:\s*\(\d+\))?(?:\s*\([a-z]\))?"
     rf"|{B}([A-Za-z\s]+)\s+Act\s+\[Chapter\s+(\d+:\d+)\]|{B}([A-Za-z\s]+)\s+Act{E}"
 )
+# the first two forms alone: texts without "Act" skip the costly title search
+SECTIONS = rf"{B}s\.?\s*(\d+[A-Z]?)(?:\s*\(\d+\))?(?:\s*\([a-z]\))?|{B}section\s+(\d+[A-Z]?)(?:\s*\(\d+\))?(?:\s*\([a-z]\))?"
 CASES = (
     r"\[(\d{4})\]\s+([A-Z]{2,5})\s+(\d+)|(\d{4})\s*\((\d+)\)\s*([A-Z]{2,5})\s*(\d+)"
     r"|S\s+v\s+([A-Z][a-z]+)\s+([A-Z]{2,5})\s+(\d+)/(\d+)"
@@ -76,7 +78,8 @@ def extract_entities(text: Column | str) -> Column:
     )
     found = {
         "dates": _unique(F.transform(_all(t, DATES), iso_date)),
-        "statute_refs": _unique(F.transform(_all(t, STATUTES), lambda m: _groups(m, STATUTES, 5))),
+        "statute_refs": _unique(F.transform(
+            F.when(t.contains("Act"), _all(t, STATUTES)).otherwise(_all(t, SECTIONS)), lambda m: _groups(m, STATUTES, 5))),
         "case_refs": _unique(F.transform(_all(t, CASES), lambda m: _groups(m, CASES, 11))),
         "courts": F.array_compact(F.array(*[F.when(t.contains(c), c) for c in COURT_NAMES])),
         "judges": _unique(judge),

@@ -74,11 +74,12 @@ def legal_tokens(col: Column | str, limit: int | None = None) -> Column:
     Tokens that touch other letters (accents, underscores) are not plain words and are left out.
     ``limit`` keeps only the first tokens of a text; by default the whole text is tokenized.
     """
-    t = F.lower(_c(col))
-    t = F.regexp_replace(t, rf"{NOT_AFTER_WORD}s\.?{WS}*([0-9]+[a-z]?){NOT_BEFORE_WORD}", "section$1")
+    low = F.lower(_c(col))
+    t = F.regexp_replace(low, rf"{NOT_AFTER_WORD}s\.?{WS}*([0-9]+[a-z]?){NOT_BEFORE_WORD}", "section$1")
     t = F.regexp_replace(t, rf"{NOT_AFTER_WORD}sec\.?{WS}*([0-9]+[a-z]?){NOT_BEFORE_WORD}", "section$1")
     t = F.regexp_replace(t, rf"\[chapter{WS}+([0-9:]+)\]", "chapter$1")
     t = F.regexp_replace(t, rf"\[([0-9]{{4}})\]{WS}*([a-z]+){WS}*([0-9]+)", "$1$2$3")
+    t = F.when(low.rlike("[0-9]"), t).otherwise(low)  # every fold needs a digit
     found = F.regexp_extract_all(t, F.lit(f"({NOT_AFTER_WORD}[a-z0-9]{{2,}}{NOT_BEFORE_WORD})"), F.lit(1))
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     kept = F.filter(found, lambda w: ~F.array_contains(stop, w))

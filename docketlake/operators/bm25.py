@@ -16,7 +16,10 @@ NO_TERM = ""  # one row per chunk under this term carries the chunk's length
 
 @dataclass(frozen=True)
 class SparseIndex:
-    """postings(term, chunk_id, doc_id, doc_type, tf, dl) and the parameters; all statistics derive from postings."""
+    """postings(term, chunk_id, dl, tf) and the parameters; all statistics derive from postings.
+
+    doc_id and doc_type stand only in the row of NO_TERM, so postings stay narrow.
+    """
 
     postings: DataFrame
     k1: float = BM25_K1
@@ -46,7 +49,7 @@ class SparseIndex:
 
     def save(self, path: str) -> None:
         """Postings first, then the statistics computed from what was written."""
-        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
+        self.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         saved = SparseIndex(self.postings.sparkSession.read.parquet(f"{path}/postings"), self.k1, self.b)
         saved.term_stats().write.mode("overwrite").parquet(f"{path}/term_stats")
         (
@@ -88,13 +91,16 @@ def build_bm25(
     every search read them again.
     """
     toks = F.col(tokens) if tokens else legal_tokens("chunk_text")
-    rows = chunks.select("chunk_id", "doc_id", "doc_type", toks.alias("_toks")).select(
+    term = F.coalesce("_term", F.lit(NO_TERM))
+    # one shuffle of whole token lists; counting then needs none, and searches aggregate per chunk in place
+    rows = chunks.select("chunk_id", "doc_id", "doc_type", toks.alias("_toks")).repartition("chunk_id").select(
         "chunk_id", "doc_id", "doc_type",
         F.size("_toks").alias("dl"),
         F.explode(F.concat(F.array(F.lit(NO_TERM)), F.col("_toks"))).alias("_term"),
     )
     postings = rows.groupBy(
-        F.coalesce("_term", F.lit(NO_TERM)).alias("term"), "chunk_id", "doc_id", "doc_type", "dl"
+        "chunk_id", term.alias("term"), "dl",
+        F.when(term == NO_TERM, F.col("doc_id")).alias("doc_id"), F.when(term == NO_TERM, F.col("doc_type")).alias("doc_type"),
     ).agg(F.count("*").alias("tf"))
     return SparseIndex(materialize(postings, "postings") if store else postings, k1, b)
 
@@ -112,7 +118,8 @@ def bm25_search(
 ) -> DataFrame:
     """Top chunks per query with score above zero; scores are rounded before ranking, ties go to chunk_id.
 
-    The query side is repeated over ``salts`` so that one frequent term never lands in one task.
+    The query side is repeated over ``salts`` so that one frequent term never lands in one task where
+    the sides are shuffled. Document columns are joined for the survivors only.
     """
     avgdl = index.corpus_stats().select("avgdl").scalar()
     wanted = (
@@ -129,9 +136,10 @@ def bm25_search(
     scored = (
         hits.withColumn("avgdl", avgdl)
         .withColumn("gain", gain)
-        .groupBy("query_id", "chunk_id", "doc_id", "doc_type")
+        .groupBy("query_id", "chunk_id")
         .agg(F.round(F.sum("gain"), 6).alias("score"))
         .where(F.col("score") > 0)
     )
     ranked = top_k(scored, k, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
+    ranked = ranked.join(index.doc_stats().select("chunk_id", "doc_id", "doc_type"), "chunk_id")
     return ranked.withColumn("source", F.lit("bm25")).withColumn("confidence", F.least("score", F.lit(1.0)))

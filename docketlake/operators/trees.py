@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from docketlake.constants import BANNER_TITLES, MIN_TOKENS
 from docketlake.functions.ids import chunk_id
 from docketlake.functions.text import _c, collapse_ws, estimate_tokens, strip
+from docketlake.session import materialize
 
 MAX_DEPTH = 6
 
@@ -132,6 +133,7 @@ def clean_tree(nodes: DataFrame) -> DataFrame:
     placed = kept.withColumn("_best", F.row_number().over(group.orderBy(F.desc(F.length("text")), "path"))).withColumn(
         "place", F.min("path").over(group)
     )
+    placed = materialize(placed, "tree")  # read three times below
     dropped = placed.where(F.col("_best") > 1).select("doc_id", F.col("path").alias("_gone"))
     prefixes = F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice(F.col("path"), F.lit(1), i))
     doomed = (

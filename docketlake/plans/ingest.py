@@ -419,7 +419,7 @@ def legal_chunks(t):
         F.lit("On "), F.date_format(d, "dd/MM/yyyy"), F.lit(" the Supreme Court of Zimbabwe per MOYO J applied section "), key,
         F.lit("A of the Labour Act [Chapter 28:01] in Shumba v Ncube, [2025] ZWSC "), F.col("o_orderkey").cast("string"), F.lit(". Heard "),
         F.date_format(d, "d MMMM yyyy"), F.lit(", see 1998 (2) ZLR "), key, F.lit(" and Justice Bere; "), F.col("o_orderpriority"))
-    return t.orders.select(F.col("o_orderkey").alias("chunk_id"), text.alias("chunk_text"))
+    return spread(t.orders).select(F.col("o_orderkey").alias("chunk_id"), text.alias("chunk_text"))
 
 
 ENTITY_TYPES = ["dates", "statute_refs", "case_refs", "courts", "judges", "parties"]

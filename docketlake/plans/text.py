@@ -9,6 +9,7 @@ from docketlake.operators.fusion import complexity_value
 from docketlake.operators.retrieval import query_variants
 from docketlake.plans.common import sql_any, sql_collapse, sql_normalize, sql_strip, sql_tokens, sql_words
 from docketlake.plans.registry import query
+from docketlake.session import spread
 
 
 @query(
@@ -183,7 +184,7 @@ def questions(t):
                    .when(status == "F", F.concat(F.lit("number "), key, F.lit(" s 12C chapter 7:11")))
                    .otherwise(F.concat(F.lit("unclear status "), key)))
     )
-    return t.orders.select(F.col("o_orderkey").alias("query_id"), text.alias("query"), "o_orderstatus")
+    return spread(t.orders).select(F.col("o_orderkey").alias("query_id"), text.alias("query"), "o_orderstatus")
 
 
 DATE_RE = r"(?i)\b(?:as\s+(?:at|of)|on|before|after)\s+(\d{4}[-/]\d{1,2}[-/]\d{1,2})\b"
