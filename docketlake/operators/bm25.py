@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from docketlake.constants import BM25_B, BM25_EPSILON, BM25_K1
 from docketlake.functions.text import legal_tokens
 from docketlake.operators.fusion import top_k
 from docketlake.session import materialize
 
+BROADCAST_TERMS = 200_000  # query terms, about 20 MB
 NO_TERM = ""  # one row per chunk under this term carries the chunk's length
 
 
 @dataclass(frozen=True)
 class SparseIndex:
-    """postings(term, chunk_id, dl, tf) and the parameters; all statistics derive from postings.
+    """postings(term, chunk_no, dl, tf) and the parameters; all statistics derive from postings.
 
-    doc_id and doc_type stand only in the row of NO_TERM, so postings stay narrow.
+    chunk_no is a number that holds within one stored index; chunk_id, doc_id and doc_type stand only
+    in the row of NO_TERM, so postings stay narrow and searches aggregate on numbers.
     """
 
     postings: DataFrame
@@ -45,7 +47,7 @@ class SparseIndex:
         ).where(F.col("idf").isNotNull())
 
     def doc_stats(self) -> DataFrame:
-        return self.postings.where(F.col("term") == NO_TERM).select("chunk_id", "doc_id", "doc_type", "dl")
+        return self.postings.where(F.col("term") == NO_TERM).select("chunk_no", "chunk_id", "doc_id", "doc_type", "dl")
 
     def save(self, path: str) -> None:
         """Postings first, then the statistics computed from what was written."""
@@ -93,15 +95,19 @@ def build_bm25(
     toks = F.col(tokens) if tokens else legal_tokens("chunk_text")
     term = F.coalesce("_term", F.lit(NO_TERM))
     # one shuffle of whole token lists; counting then needs none, and searches aggregate per chunk in place
-    rows = chunks.select("chunk_id", "doc_id", "doc_type", toks.alias("_toks")).repartition("chunk_id").select(
-        "chunk_id", "doc_id", "doc_type",
-        F.size("_toks").alias("dl"),
-        F.explode(F.concat(F.array(F.lit(NO_TERM)), F.col("_toks"))).alias("_term"),
+    rows = (
+        chunks.select("chunk_id", "doc_id", "doc_type", toks.alias("_toks")).repartition("chunk_id")
+        .withColumn("chunk_no", F.monotonically_increasing_id())
+        .select(
+            "chunk_id", "chunk_no", "doc_id", "doc_type", F.size("_toks").alias("dl"),
+            F.explode(F.concat(F.array(F.lit(NO_TERM)), F.col("_toks"))).alias("_term"),
+        )
+    )
+    counted = rows.groupBy("chunk_id", "chunk_no", "doc_id", "doc_type", "dl", term.alias("term")).agg(F.count("*").alias("tf"))
+    chunk_row = F.col("term") == NO_TERM
+    postings = counted.select(
+        "term", "chunk_no", "dl", "tf", *[F.when(chunk_row, F.col(c)).alias(c) for c in ("chunk_id", "doc_id", "doc_type")]
     )
-    postings = rows.groupBy(
-        "chunk_id", term.alias("term"), "dl",
-        F.when(term == NO_TERM, F.col("doc_id")).alias("doc_id"), F.when(term == NO_TERM, F.col("doc_type")).alias("doc_type"),
-    ).agg(F.count("*").alias("tf"))
     return SparseIndex(materialize(postings, "postings") if store else postings, k1, b)
 
 
@@ -118,28 +124,31 @@ def bm25_search(
 ) -> DataFrame:
     """Top chunks per query with score above zero; scores are rounded before ranking, ties go to chunk_id.
 
-    The query side is repeated over ``salts`` so that one frequent term never lands in one task where
-    the sides are shuffled. Document columns are joined for the survivors only.
+    Up to a counted number of query terms the query side is broadcast and the postings stay where they
+    are. Beyond it both sides are shuffled, with the query side repeated over ``salts`` so that one
+    frequent term never lands in one task. Document columns are joined for the survivors only.
     """
     avgdl = index.corpus_stats().select("avgdl").scalar()
-    wanted = (
-        query_terms(queries, text, tokens)
-        .join(index.term_stats(), "term")
-        .select("query_id", "term", (F.col("idf") * F.col("qtf")).alias("weight"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
+    terms = query_terms(queries, text, tokens)
+    wanted = terms.join(index.term_stats(), "term").select("query_id", "term", (F.col("idf") * F.col("qtf")).alias("weight"))
+    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        hits = index.postings.join(F.broadcast(wanted), "term")
+    else:
+        spread_terms = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = index.postings.withColumn("salt", F.pmod(F.xxhash64("chunk_no"), F.lit(salts)).cast("int"))
+        hits = salted.join(spread_terms, ["term", "salt"])
     k1, b = F.lit(index.k1), F.lit(index.b)
-    hits = index.postings.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int")).join(
-        wanted, ["term", "salt"]
-    )
     gain = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = (
         hits.withColumn("avgdl", avgdl)
         .withColumn("gain", gain)
-        .groupBy("query_id", "chunk_id")
+        .groupBy("query_id", "chunk_no")
         .agg(F.round(F.sum("gain"), 6).alias("score"))
         .where(F.col("score") > 0)
     )
-    ranked = top_k(scored, k, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
-    ranked = ranked.join(index.doc_stats().select("chunk_id", "doc_id", "doc_type"), "chunk_id")
+    # ties at the edge stay in until chunk_id can break them
+    edge = F.rank().over(W.partitionBy("query_id").orderBy(F.desc("score")))
+    leading = scored.withColumn("_edge", edge).where(F.col("_edge") <= k).drop("_edge")
+    named = leading.join(index.doc_stats().drop("dl"), "chunk_no").drop("chunk_no")
+    ranked = top_k(named, k, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
     return ranked.withColumn("source", F.lit("bm25")).withColumn("confidence", F.least("score", F.lit(1.0)))

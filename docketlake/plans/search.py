@@ -39,8 +39,10 @@ def benchmark_hits(t, k: int = 50):
     f"""WITH {INDEX_CTE} SELECT term, chunk_id, tf, dl FROM posts JOIN docs USING (chunk_id)""",
 )
 def r1(t):
-    p = build_bm25(chunks(t), store=False).postings
-    return p.where(F.col("term") != "").select("term", "chunk_id", "tf", "dl")
+    index = build_bm25(chunks(t))
+    named = index.doc_stats().select("chunk_no", F.col("chunk_id").alias("id"))
+    rows = index.postings.where(F.col("term") != "").select("term", "chunk_no", "tf", "dl").join(named, "chunk_no")
+    return rows.select("term", F.col("id").alias("chunk_id"), "tf", "dl")
 
 
 @query("a7_corpus_stats", f"""WITH {INDEX_CTE} SELECT n_docs, n_tokens, round(avgdl, 6) AS avgdl,

@@ -38,7 +38,7 @@ VECTOR = _row(
     parent_doc_id=S, tree_node_id=S, nature=S, chapter=S, date_context=S, authority_level=S, binding_scope=S, subject_category=S,
     num_tokens=L, year=L, hierarchy_rank=L,
 )
-POSTING = _row(term=S, chunk_id=S, doc_id=S, doc_type=S, dl=I, tf=L)
+POSTING = _row(term=S, chunk_no=L, dl=I, tf=L, chunk_id=S, doc_id=S, doc_type=S)
 HIT = _row(query_id=S, chunk_id=S, doc_id=S, doc_type=S, source=S, rank=I, score=D, confidence=D)
 QUERY_LOG = _row(
     request_id=S, ts=T.TimestampType(), user_hash=S, channel=S, query_text=S, response_topic=S, confidence=D, response_time_ms=L,
