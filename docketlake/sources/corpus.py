@@ -12,17 +12,22 @@ LEGISLATION_FOLDERS = ["acts", "ordinances", "statutory_instruments", "constitut
 
 
 def read_chunks(spark: SparkSession, path: str, doc_types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(chunks, malformed rows) of JSON files under doc_type folders; the file path is the object key."""
+    """(chunks, malformed rows) of JSON objects, one per line, under doc_type folders; the file path is the object key."""
     schema = T.StructType(CHUNK.fields + [T.StructField("_corrupt_record", T.StringType())])
-    rows = (
-        spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").option("basePath", path)
-        .option("recursiveFileLookup", "false").json(path)
-        .withColumn("chunk_object_key", F.col("_metadata.file_path"))
+    lines = spark.read.text(path)
+    if doc_types is not None and "doc_type" in lines.columns:
+        lines = lines.where(F.col("doc_type").isin(doc_types))  # prunes folders
+    folder = F.col("doc_type") if "doc_type" in lines.columns else F.lit(None).cast("string")
+    parsed = lines.select(
+        F.col("_metadata.file_path").alias("chunk_object_key"), folder.alias("_folder"), F.col("value").alias("line"),
+        F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("_c"),
     )
-    if doc_types is not None:
-        rows = rows.where(F.col("doc_type").isin(doc_types))
-    broken = F.col("_corrupt_record").isNotNull()
-    return rows.where(~broken & (F.coalesce("chunk_text", F.lit("")) != "")).drop("_corrupt_record"), rows.where(broken)
+    broken = F.col("_c._corrupt_record").isNotNull()
+    chunks = parsed.where(~broken & (F.coalesce(F.col("_c.chunk_text"), F.lit("")) != "")).select(
+        "chunk_object_key", *[F.col(f"_c.{c}").alias(c) for c in CHUNK.fieldNames() if c != "doc_type"],
+        F.coalesce("_folder", "_c.doc_type").alias("doc_type"),
+    )
+    return chunks, parsed.where(broken).select("chunk_object_key", "line")
 
 
 def read_manifest(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -51,7 +56,7 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "html") -> DataFrame:
     """url and html: one HTML file per page (the file path is the url), or a table with both columns."""
     if fmt != "html":
         return spark.read.format(fmt).load(path).select("url", "html")
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("url"), F.col("value").alias("html")
     )
 
