@@ -14,6 +14,7 @@ from docketlake.constants import (
     RRF_C,
     RRF_WEIGHTS,
 )
+from docketlake.session import materialize
 
 
 def top_k(df: DataFrame, k: int | Column, keys: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
@@ -44,17 +45,29 @@ def merge_best(hits: DataFrame, arrival: list[Column] | None = None) -> DataFram
     )
 
 
+def spread_rank(df: DataFrame, keys: list[str], score: str = "score", tie: str = "chunk_id", bands: int = 32) -> DataFrame:
+    """row_number by descending score per key, without ordering a whole group in one task.
+
+    Approximate quantiles cut every group into bands; rows are ordered inside their band and the
+    sizes of the bands above are added. Where the cuts lie does not change the result.
+    """
+    cuts = [i / bands for i in range(1, bands)]
+    bounds = materialize(df.groupBy(*keys).agg(F.percentile_approx(score, cuts, 1000).alias("_cuts")), "bands")
+    banded = df.join(bounds, keys).withColumn("_band", F.size(F.filter("_cuts", lambda c: c > F.col(score)))).drop("_cuts")
+    sizes = banded.groupBy(*keys, "_band").agg(F.count("*").alias("_n"))
+    above = F.sum("_n").over(W.partitionBy(*keys).orderBy("_band").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select(*keys, "_band", F.coalesce(above, F.lit(0)).alias("_above"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_band").orderBy(F.desc(score), F.asc(tie)))
+    return banded.join(offsets, [*keys, "_band"]).withColumn("rank", F.col("_above") + inside).drop("_band", "_above")
+
+
 def rank_fusion(
     hits: DataFrame, weights: dict[str, float] | None = None, c: int = RRF_C, rank: str | None = None
 ) -> DataFrame:
     """Weighted reciprocal ranks summed over branches. Give ``rank`` if the hits carry it already."""
     weights = weights or RRF_WEIGHTS
     if rank is None:
-        rank = "_rank"
-        hits = hits.withColumn(
-            rank,
-            F.row_number().over(W.partitionBy("query_id", "source").orderBy(F.desc("score"), F.asc("chunk_id"))),
-        )
+        rank, hits = "rank", spread_rank(hits, ["query_id", "source"])
     weight = F.lit(0.0)
     for name, value in weights.items():
         weight = F.when(F.col("source") == name, F.lit(value)).otherwise(weight)

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from docketlake.operators.fusion import top_k
+from docketlake.session import materialize
 
 BLOCK_ROWS = 4096
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -264,16 +265,25 @@ def nearest_above(
     query than its radius plus the threshold angle cannot hold a match.
     """
     centres = pick_centroids(index, cells)
-    placed = assign_cells(index, centres)
+    placed = materialize(assign_cells(index, centres), "cells")
     radii = placed.groupBy(by, "cell").agg(F.max("angle").alias("radius"))
-    fixed = queries.sparkSession.sparkContext.broadcast(centres)
+    widest = np.full(len(centres), -np.inf)  # one number per cell over all groups
+    for row in placed.groupBy("cell").agg(F.max("angle").alias("radius")).collect():
+        widest[row["cell"]] = row["radius"]
+    fixed = queries.sparkSession.sparkContext.broadcast((centres, widest))
     slack = float(np.arccos(threshold)) + 1e-6
 
-    @F.pandas_udf("array<double>")
-    def angles(vectors: pd.Series) -> pd.Series:
-        return pd.Series(list(np.arccos(np.clip(_unit(vectors) @ fixed.value.T, -1, 1))))
+    @F.pandas_udf("array<struct<cell:int,angle:double>>")
+    def reachable(vectors: pd.Series) -> pd.Series:
+        c, radius = fixed.value
+        angles = np.arccos(np.clip(_unit(vectors) @ c.T, -1, 1))
+        return pd.Series([
+            [{"cell": int(j), "angle": float(row[j])} for j in np.flatnonzero(row <= radius + slack)] for row in angles
+        ])
 
-    reach = queries.select("query_id", "embedding", by, F.posexplode(angles("embedding")).alias("cell", "angle"))
+    reach = queries.select("query_id", "embedding", by, F.explode(reachable("embedding")).alias("_c")).select(
+        "query_id", "embedding", by, "_c.cell", "_c.angle"
+    )
     reach = reach.join(radii, [by, "cell"]).where(F.col("angle") <= F.col("radius") + slack)
     group = F.struct(F.col(by), F.col("cell"))
     hits = tiled_search(

@@ -343,18 +343,20 @@ def j8(t):
 
 
 TWO_LEVEL_CTE = f"""{REQUEST_CTE},
-keyed AS (SELECT vec_id, label, floor(embedding[1]::DOUBLE * 50)::BIGINT::VARCHAR AS key FROM embeddings),
-firsts AS (SELECT label, key, min(vec_id) AS exact_id FROM keyed WHERE label < 5 GROUP BY ALL),
+keyed AS (SELECT vec_id, label, floor(embedding[1]::DOUBLE * 50)::BIGINT::VARCHAR AS key, floor(embedding[2]::DOUBLE * 50)::BIGINT::VARCHAR AS asked FROM embeddings),
+firsts AS (SELECT label, key, min(vec_id) AS exact_id FROM keyed GROUP BY ALL),
 lookups AS (SELECT k.vec_id AS query_id, coalesce(f.exact_id, s.item_id, -1) AS item_id,
     CASE WHEN f.exact_id IS NOT NULL THEN 'exact' WHEN s.item_id IS NOT NULL THEN 'semantic' ELSE 'miss' END AS hit_type
-  FROM keyed k LEFT JOIN firsts f USING (label, key) LEFT JOIN (SELECT s.* FROM
-    (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM pairs WHERE label < 5) s WHERE r = 1 AND score >= 0.9) s ON s.query_id = k.vec_id)"""
+  FROM keyed k LEFT JOIN firsts f ON f.label = k.label AND f.key = k.asked LEFT JOIN (SELECT s.* FROM
+    (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM pairs) s WHERE r = 1 AND score >= 0.9) s ON s.query_id = k.vec_id)"""
 
 
 def lookups(t):
-    key = F.floor(F.get("embedding", F.lit(0)).cast("double") * 50).cast("string")
-    cache = vector_index(t).where(F.col("label") < 5).withColumn("key", key).withColumnRenamed("label", "user_type")
-    keys = t.embeddings.select(F.col("vec_id").alias("query_id"), key.alias("key"))
+    def key(dim):
+        return F.floor(F.get("embedding", F.lit(dim)).cast("double") * 50).cast("string").alias("key")
+
+    cache = vector_index(t).withColumn("key", key(0)).withColumnRenamed("label", "user_type")
+    keys = t.embeddings.select(F.col("vec_id").alias("query_id"), key(1))
     req = cache_requests(t).join(keys, "query_id").withColumnRenamed("label", "user_type")
     return ca.two_level_lookup(req, cache, 0.9, cells=16)
 

@@ -147,3 +147,14 @@ def test_confidence_of_one_and_two_hits(spark):
     hits = spark.createDataFrame([("a", 1, 0.4567), ("b", 1, 0.8), ("b", 2, 0.4)], "query_id string, rank int, confidence double")
     got = {r.query_id: r.search_confidence for r in fu.search_confidence(hits).collect()}
     assert got == {"a": 0.4567, "b": 0.65}
+
+
+def test_spread_rank_equals_row_number_for_a_hot_query(spark):
+    rows = [("hot", "a", i, float(i * 37 % 101)) for i in range(900)] + [("q", "a", i, 1.0) for i in range(5)] + [("q", "b", 1, 0.5)]
+    df = spark.createDataFrame(rows, "query_id string, source string, chunk_id int, score double").repartition(4)
+    got = {(r.query_id, r.source, r.chunk_id): r["rank"] for r in fu.spread_rank(df, ["query_id", "source"]).collect()}
+    want = {}
+    for key in {(q, s) for q, s, _, _ in rows}:
+        group = sorted(((-sc, c) for q, s, c, sc in rows if (q, s) == key))
+        want.update({(*key, c): i + 1 for i, (_, c) in enumerate(group)})
+    assert got == want
