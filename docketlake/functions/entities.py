@@ -122,6 +122,6 @@ def enrich(chunks, text: str = "chunk_text"):
 
 def entity_counts(chunks):
     return (
-        chunks.select(F.explode("entities").alias("entity_type", "_v"))
+        chunks.select(F.explode_outer("entities").alias("entity_type", "_v")).where(F.col("_v").isNotNull())
         .groupBy("entity_type").agg(F.sum(F.size("_v")).alias("n"))
     )

@@ -100,7 +100,7 @@ def build_bm25(
         .withColumn("chunk_no", F.monotonically_increasing_id())
         .select(
             "chunk_id", "chunk_no", "doc_id", "doc_type", F.size("_toks").alias("dl"),
-            F.explode(F.concat(F.array(F.lit(NO_TERM)), F.col("_toks"))).alias("_term"),
+            F.explode_outer(F.concat(F.array(F.lit(NO_TERM)), F.col("_toks"))).alias("_term"),
         )
     )
     counted = rows.groupBy("chunk_id", "chunk_no", "doc_id", "doc_type", "dl", term.alias("term")).agg(F.count("*").alias("tf"))
@@ -114,9 +114,8 @@ def build_bm25(
 def query_terms(queries: DataFrame, text: str = "query", tokens: str | None = None) -> DataFrame:
     """query_id, term and how often the query repeats it."""
     toks = F.col(tokens) if tokens else legal_tokens(text)
-    return queries.select("query_id", F.explode(toks).alias("term")).groupBy("query_id", "term").agg(
-        F.count("*").alias("qtf")
-    )
+    rows = queries.select("query_id", F.explode_outer(toks).alias("term")).where(F.col("term").isNotNull())
+    return rows.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
 def bm25_search(

@@ -240,7 +240,7 @@ def link_array(html: Column) -> Column:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("_links", link_array(F.col("html"))).select("url", F.explode("_links").alias("_l")).select(
+    return pages.withColumn("_links", link_array(F.col("html"))).select("url", F.explode_outer("_links").alias("_l")).where(F.col("_l").isNotNull()).select(
         F.col("url").alias("page_url"), "_l.href", "_l.text",
         F.lower("_l.href").endswith(".pdf").alias("is_pdf"),
         F.col("_l.href").contains("/akn/zw/judgment/").alias("is_judgment"),

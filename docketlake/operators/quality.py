@@ -18,7 +18,7 @@ QUOTED = r'"([^"]{20,})"'
 def cited_positions(answers: DataFrame, answer: str = "answer") -> DataFrame:
     """One row per [Source n] marker."""
     found = F.regexp_extract_all(answer, F.lit(r"\[Source (\d+)\]"), F.lit(1))
-    return answers.select("query_id", F.posexplode(found).alias("mention", "_n")).select(
+    return answers.select("query_id", F.posexplode_outer(found).alias("mention", "_n")).where(F.col("_n").isNotNull()).select(
         "query_id", "mention", F.col("_n").cast("int").alias("position")
     )
 
@@ -55,7 +55,8 @@ def verify_quotes(answers: DataFrame, contexts: DataFrame, answer: str = "answer
 
     The check is a semi join: a quote stops at its first matching context and no pairs are kept.
     """
-    quotes = answers.select("query_id", F.posexplode(F.regexp_extract_all(answer, F.lit(QUOTED), F.lit(1))).alias("n", "quote"))
+    quotes = answers.select("query_id", F.posexplode_outer(F.regexp_extract_all(answer, F.lit(QUOTED), F.lit(1))).alias("n", "quote"))
+    quotes = quotes.where(F.col("quote").isNotNull())
     texts = contexts.select(F.col("query_id").alias("_q"), F.lower(content).alias("_content"))
     found = quotes.join(texts, (F.col("query_id") == F.col("_q")) & F.contains("_content", F.lower("quote")), "left_semi")
     marked = quotes.join(found.select("query_id", "n", F.lit(True).alias("_ok")), ["query_id", "n"], "left")

@@ -152,8 +152,8 @@ def rerank(hits: DataFrame, scorer=token_overlap, text: str = "chunk_text", comp
 def query_variants(queries: DataFrame, text: str = "query", limit: int = 4) -> DataFrame:
     """One row per reformulation of every query."""
     return queries.select(
-        "query_id", F.posexplode(reformulations(text, limit)).alias("variant_idx", "variant")
-    )
+        "query_id", F.posexplode_outer(reformulations(text, limit)).alias("variant_idx", "variant")
+    ).where(F.col("variant").isNotNull())
 
 
 def multi_variant_search(
@@ -210,7 +210,7 @@ def section_lookup(chunks: DataFrame, wanted: DataFrame, k: int = 6) -> DataFram
 def sentence_rows(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Sentences longer than 10 characters with their position and score."""
     pieces = F.transform(F.split(text, "[.!?]+"), strip)
-    rows = df.select(*keys, F.posexplode(pieces).alias("pos", "sentence")).where(F.length("sentence") > 10)
+    rows = df.select(*keys, F.posexplode_outer(pieces).alias("pos", "sentence")).where(F.length("sentence") > 10)
     n = word_count("sentence")
     vocabulary = F.array(*[F.lit(w) for w in SENTENCE_WORDS])
     hits = F.size(F.filter(words(F.lower("sentence")), lambda w: F.array_contains(vocabulary, w)))
