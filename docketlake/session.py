@@ -5,14 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "docketlake", cores: str | None = None) -> SparkSession:
     """Local session for tests and the bench; a cluster supplies its own."""
     cores = cores or os.environ.get("BENCH_CPUS", "8")
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -23,18 +25,18 @@ def build_session(app: str = "docketlake", cores: str | None = None) -> SparkSes
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
-        .getOrCreate()
     )
+    if not SparkConf().get("spark.checkpoint.dir", None):  # a local session shares its machine's folders
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
+    return builder.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    fallback = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    """The cluster's shared checkpoint folder; every executor must reach it, so there is no machine-local substitute."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -49,10 +51,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Inside, the shuffle files of a finished write go at once instead of waiting for the driver's garbage collection."""
+    keys = ["spark.sql.shuffleDependency.fileCleanup.enabled", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "true")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy work one partition per core where the input has fewer; otherwise no shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
