@@ -79,3 +79,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality_rules(table(spark, folder, "documents")).select(*names)
+
+
+@query("op7_hilbert_packing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from docketlake.llm.packing import pack
+
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
