@@ -88,3 +88,15 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     from docketlake.llm.packing import pack
 
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_bradley_terry_quality")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from docketlake.llm.common import labelled, remainder
+    from docketlake.llm.preference import fit, score
+
+    docs = table(spark, folder, "documents")
+    model = fit(labelled(docs, table(spark, folder, "labels"), "quality", 5, 0))
+    return score(docs, model, ["doc_id"]).select("doc_id", (remainder("doc_id", 5) == F.lit(0)).alias("held_out"), "score", "predicted")
