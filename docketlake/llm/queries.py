@@ -112,3 +112,15 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = fit(labelled(docs, table(spark, folder, "labels"), "toxic", 4, 2))
     return score(docs, model, ["doc_id"]).select("doc_id", (remainder("doc_id", 4) == F.lit(2)).alias("held_out"), "score", "predicted")
+
+
+@query("op1_crf_language_id")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from docketlake.llm.common import remainder
+    from docketlake.llm.crf import fit, identify, training_rows
+
+    docs = table(spark, folder, "documents")
+    found = identify(docs, fit(training_rows(docs)), ["doc_id"])
+    return found.select("doc_id", (remainder("doc_id", 4) == F.lit(2)).alias("held_out"), "lang_pred", "score")
