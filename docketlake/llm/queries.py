@@ -124,3 +124,20 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = identify(docs, fit(training_rows(docs)), ["doc_id"])
     return found.select("doc_id", (remainder("doc_id", 4) == F.lit(2)).alias("held_out"), "lang_pred", "score")
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+  f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)"""
+
+
+@query("op8_dictionary_warc", WARC_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from docketlake.llm.warc import read_archives, write_archives
+
+    pages = table(spark, folder, "pages")
+    return read_archives(write_archives(pages), pages.schema["page_id"].dataType.simpleString())
