@@ -44,7 +44,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/docketlake-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     """Write a frame that several plans read to the shared folder and read it back.
 
     Cuts lineage, survives lost executors, and keeps column pruning and filter push-down.
@@ -52,7 +52,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     with shuffles_removed(spark):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return spark.read.parquet(path)
 
 
