@@ -141,3 +141,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
     pages = table(spark, folder, "pages")
     return read_archives(write_archives(pages), pages.schema["page_id"].dataType.simpleString())
+
+
+@query("op4_chunked_media")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from docketlake.llm.media import media_columns
+
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks"]
+    return media_columns(table(spark, folder, "documents"), ["doc_id"]).select(*names)
