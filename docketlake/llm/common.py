@@ -110,26 +110,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int) -> DataFrame:
-    """Texts with a 0/1 label whose id hashes outside the held-out part: (doc_id, text, label).
+def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, per_label: int) -> DataFrame:
+    """(doc_id, text, label): about ``per_label`` texts of each 0/1 label whose id hashes outside the held-out part.
 
-    Rows with a null id, text or label teach nothing and are left out.
+    They are drawn among the labels, so the texts are only met by a join of bounded size. Rows with a null id, text or label
+    teach nothing and are left out.
     """
     marks = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     marks = marks.where(remainder("doc_id", parts) != held_out).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(marks, "doc_id")
+    drawn = draw(marks, per_label)  # its size is bounded by per_label, so it may be broadcast
+    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id")
 
 
-def sample_by_label(rows: DataFrame, per_label: int, seed: int = 0) -> list:
-    """About ``per_label`` rows of each label, chosen by a hash of the id; one count, then one pass.
+def draw(rows: DataFrame, per_label: int, seed: int = 0) -> DataFrame:
+    """About ``per_label`` rows of each label, chosen by a hash of the id; a label with fewer rows gives all of them.
 
-    The size is bounded by ``per_label`` and not by the input; a label with fewer rows gives all of them.
+    The counts per label come first, so the number drawn depends on ``per_label`` and not on the input.
     """
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return []
     share = F.lit(0.0)
-    for label, n in counts.items():
-        share = F.when(F.col("label") == label, F.lit(min(1.0, per_label / n))).otherwise(share)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000
-    return rows.where(drawn).orderBy("doc_id").collect()
+    for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect():
+        share = F.when(F.col("label") == r["label"], F.lit(min(1.0, per_label / r["n"]))).otherwise(share)
+    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) < share * (1 << 40))
+
+
+def examples(rows: DataFrame) -> list:
+    """Drawn rows on the driver, in an order that does not depend on partitions."""
+    return rows.orderBy("doc_id", "label", "text").collect()

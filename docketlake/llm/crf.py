@@ -15,12 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docketlake.llm.common import Words, blocks, remainder, sample_by_label, sums, utf8, words_of
+from docketlake.llm.common import Words, blocks, draw, examples, remainder, sums, utf8, words_of
 
 #: Words of a chain; a longer text is several chains, cut anywhere.
 CHAIN = 64
 #: Hashed features, lengths of character strings with the word's edges, words of the lexicon.
 DIMS, GRAMS, LEXICON = 1 << 16, (2, 3, 4), 50_000
+#: Texts of each language that teach.
+PER_LABEL = 300
 UNKNOWN = "und"
 
 
@@ -212,15 +214,15 @@ def train(texts: list[bytes], langs: list[str], chains: int = 2000, rounds: int
     return Field(labels, weights.astype(np.float32), lexicon, float(trust), transitions)
 
 
-def training_rows(docs: DataFrame, parts: int = 4, held_out: int = 2) -> DataFrame:
-    """(doc_id, text, label) of the rows that may teach: not held out, with text and language."""
+def training_rows(docs: DataFrame, parts: int = 4, held_out: int = 2, per_label: int = PER_LABEL) -> DataFrame:
+    """(doc_id, text, label) of rows drawn from those that may teach: not held out, with text and language."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (remainder("doc_id", parts) != held_out))
-    return rows.select("doc_id", "text", F.col("lang").cast("string").alias("label"))
+    return draw(rows.select("doc_id", "text", F.col("lang").cast("string").alias("label")), per_label)
 
 
-def fit(rows: DataFrame, per_label: int = 300) -> Field:
-    """Fit on labelled rows, at most about ``per_label`` texts of each language, chosen by a hash of the id."""
-    drawn = sample_by_label(rows, per_label)
+def fit(rows: DataFrame) -> Field:
+    """Fit on drawn rows (doc_id, text, label), of which there are at most about PER_LABEL of each language."""
+    drawn = examples(rows)
     return train([r["text"].encode() for r in drawn], [r["label"] for r in drawn])
 
 

@@ -95,10 +95,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     from docketlake.llm.common import labelled, remainder
-    from docketlake.llm.preference import fit, score
+    from docketlake.llm.preference import PER_LABEL, fit, score
 
     docs = table(spark, folder, "documents")
-    model = fit(labelled(docs, table(spark, folder, "labels"), "quality", 5, 0))
+    model = fit(labelled(docs, table(spark, folder, "labels"), "quality", 5, 0, PER_LABEL))
     return score(docs, model, ["doc_id"]).select("doc_id", (remainder("doc_id", 5) == F.lit(0)).alias("held_out"), "score", "predicted")
 
 
@@ -107,10 +107,10 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     from docketlake.llm.common import labelled, remainder
-    from docketlake.llm.toxicity import fit, score
+    from docketlake.llm.toxicity import PER_LABEL, fit, score
 
     docs = table(spark, folder, "documents")
-    model = fit(labelled(docs, table(spark, folder, "labels"), "toxic", 4, 2))
+    model = fit(labelled(docs, table(spark, folder, "labels"), "toxic", 4, 2, PER_LABEL))
     return score(docs, model, ["doc_id"]).select("doc_id", (remainder("doc_id", 4) == F.lit(2)).alias("held_out"), "score", "predicted")
 
 

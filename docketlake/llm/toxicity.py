@@ -20,7 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from docketlake.llm.common import Words, blocks, sample_by_label, sums, utf8, words_of
+from docketlake.llm.common import Words, blocks, examples, sums, utf8, words_of
 
 #: Lengths of the strings that a dictionary is built from, and the strings it takes.
 SIZES, TOXIC_STRINGS, COMMON_STRINGS, CARRIER = (5, 6, 7, 8), 150, 400, 48
@@ -28,6 +28,8 @@ SIZES, TOXIC_STRINGS, COMMON_STRINGS, CARRIER = (5, 6, 7, 8), 150, 400, 48
 TAIL = 12
 #: A string is toxic if it is so many times more frequent in toxic texts, and stands in so many of them at least.
 RATIO, LEAST = 12, 5
+#: Texts of each label that teach, savings of a window to choose a threshold from.
+PER_LABEL = 1500
 THRESHOLDS = (1, 2, 3, 4)
 PREDICT_FROM = 0.3
 
@@ -131,12 +133,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 30
     return w
 
 
-def fit(rows: DataFrame, per_label: int = 1500) -> Detector:
-    """Train on labelled rows (doc_id, text, label), at most about ``per_label`` of each label, chosen by a hash of the id.
+def fit(rows: DataFrame) -> Detector:
+    """Train on labelled rows (doc_id, text, label), of which there are at most about PER_LABEL of each label (``labelled``).
 
     Every second row trains the dictionaries, the others calibrate. Without rows of both labels every score is low.
     """
-    drawn = sample_by_label(rows, per_label)
+    drawn = examples(rows)
     texts, label = [r["text"].encode() for r in drawn], np.array([r["label"] for r in drawn], int)
     first, second = slice(0, None, 2), slice(1, None, 2)
     if min((label[half] == v).sum() for half in (first, second) for v in (0, 1)) == 0:
