@@ -149,3 +149,10 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks"]
     return media_columns(table(spark, folder, "documents"), ["doc_id"]).select(*names)
+
+
+@query("op3_grouped_prefix_join")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from docketlake.llm.group_join import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"), size=4, percent=85)
