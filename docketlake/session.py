@@ -53,7 +53,16 @@ def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     path = scratch(spark, name)
     with shuffles_removed(spark):
         df.write.options(**options).parquet(path)
-    return spark.read.parquet(path)
+    written = spark.read.parquet(path)
+    written.scratch_path = path
+    return written
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files behind materialized frames that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
