@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from docketlake.llm.common import Words, blocks, mix, utf8
-from docketlake.session import materialize
+from docketlake.session import discard, materialize
 
 #: A shingle is frequent if it stands in this share of the texts; there are at most (mean set size / share) of them.
 FREQUENT = 1e-3
@@ -131,12 +131,40 @@ def _compare(size: int):
                     spot = np.minimum(np.searchsorted(hub, own), len(hub) - 1)
                     for column, value in zip(out, (h, spoke, len(hub), len(own), int(np.count_nonzero(hub[spot] == own)))):
                         column.append(value)
-                kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+                key = part.schema.field("hub").type
+                kinds = [key, key, pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["a", "b", "n_a", "n_b", "shared"])
 
     return run
 
 
+def near_texts(docs: DataFrame, wanted: DataFrame, column: str = "text_id") -> DataFrame:
+    """Distinct texts (text_id, text) of ``docs`` (text) whose digest shares a hash bucket with one in ``wanted``.
+
+    The buckets are broadcast, and their number is fixed: the more texts are wanted, the less this filter saves.
+    """
+    place = F.pmod(F.xxhash64("text_id"), F.lit(BUCKETS))
+    needed = wanted.select(F.pmod(F.xxhash64(column), F.lit(BUCKETS)).alias("bucket")).distinct()
+    texts = docs.select(F.unhex(F.md5("text")).alias("text_id"), "text")
+    return texts.join(F.broadcast(needed), place == F.col("bucket"), "left_semi").groupBy("text_id").agg(F.first("text").alias("text"))
+
+
+def compare(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(a, b, n_a, n_b, shared) of distinct pairs (hub, spoke), from the whole ``texts`` (id, text).
+
+    Each spoke's text goes to its hub; a hub with many spokes is several blocks, read one text after another.
+    """
+    key = pairs.schema["hub"].dataType.simpleString()
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / 500).alias("parts"))
+    placed = materialize(pairs.join(sizes, "hub").select("hub", "spoke", F.pmod(F.xxhash64("spoke"), F.col("parts")).alias("part")), "placed")
+    spokes = placed.join(texts.withColumnRenamed("id", "spoke"), "spoke").select("hub", "part", "spoke", "text")
+    hubs = placed.select("hub", "part").distinct().join(texts.withColumnRenamed("id", "hub"), "hub").select("hub", "part", F.lit(None).cast(key).alias("spoke"), "text")
+    ordered = spokes.unionByName(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part", "spoke")  # nulls first
+    verified = materialize(ordered.select("hub", "spoke", "text").mapInArrow(_compare(size), f"a {key}, b {key}, n_a long, n_b long, shared long"), "verified")
+    discard(placed)
+    return verified
+
+
 def passes(percent: int, i: str, n: str, j: str, m: str) -> Column:
     """Whether sets of n and m shingles that share one at places i and j of the order can be similar enough."""
     size = f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
@@ -184,25 +212,13 @@ class GroupJoin:
         return outer.unionByName(self.sets.where("set_id <> rep").select(F.col("rep").alias("hub"), F.col("set_id").alias("spoke")))
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, n_a, n_b, shared) of pairs (hub, spoke), from their whole texts.
-
-        Each spoke's text goes to its hub; a hub with many spokes is several blocks. Texts are first reduced by a broadcast
-        of the hash buckets that are needed, whose number is fixed.
-        """
+        """(a, b, n_a, n_b, shared) of pairs (hub, spoke), from their whole texts."""
         pairs = materialize(pairs.distinct(), "pairs")
-        wanted = pairs.select(F.explode(F.array("hub", "spoke")).alias("set_id")).distinct().join(self.sets, "set_id").select("set_id", "text_id")
-        wanted = materialize(wanted, "wanted")
-        bucket = F.pmod(F.xxhash64("text_id"), F.lit(BUCKETS)).alias("bucket")
-        texts = self.docs.select(F.unhex(F.md5("text")).alias("text_id"), "text")
-        near = texts.join(F.broadcast(wanted.select(bucket).distinct()), F.pmod(F.xxhash64("text_id"), F.lit(BUCKETS)) == F.col("bucket"), "left_semi")
-        texts = materialize(near.groupBy("text_id").agg(F.first("text").alias("text")).join(wanted, "text_id").select("set_id", "text"), "texts", compression="zstd")
-        sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / 500).alias("parts"))
-        placed = pairs.join(sizes, "hub").select("hub", "spoke", F.pmod(F.xxhash64("spoke"), F.col("parts")).alias("part"))
-        placed = materialize(placed, "placed")
-        spokes = placed.join(texts.withColumnRenamed("set_id", "spoke"), "spoke").select("hub", "part", "spoke", "text")
-        hubs = placed.select("hub", "part").distinct().join(texts.withColumnRenamed("set_id", "hub"), "hub").select("hub", "part", F.lit(None).cast("binary").alias("spoke"), "text")
-        ordered = spokes.unionByName(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part", "spoke")  # nulls first
-        return materialize(ordered.select("hub", "spoke", "text").mapInArrow(_compare(self.size), "a binary, b binary, n_a long, n_b long, shared long"), "verified")
+        wanted = materialize(pairs.select(F.explode(F.array("hub", "spoke")).alias("set_id")).distinct().join(self.sets, "set_id").select("set_id", "text_id"), "wanted")
+        texts = materialize(near_texts(self.docs, wanted).join(wanted, "text_id").select(F.col("set_id").alias("id"), "text"), "texts", compression="zstd")
+        verified = compare(pairs, texts, self.size)
+        discard(pairs, wanted, texts)
+        return verified
 
     def _linked(self, verified: DataFrame) -> DataFrame:
         return verified.where(F.expr(f"100 * shared >= {self.percent} * (n_a + n_b - shared)")).select("a", "b")

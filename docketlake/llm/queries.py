@@ -156,3 +156,20 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     from docketlake.llm.group_join import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"), size=4, percent=85)
+
+
+@query("op5_line_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_lines (with a word), n_removed, removed (line numbers from 0, joined by commas)."""
+    from pyspark.sql import functions as F
+
+    from docketlake.llm.line_dedup import repeated_lines
+
+    docs = table(spark, folder, "documents")
+    found = repeated_lines(docs)
+    named = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_id"))
+    same = named["doc_id"].eqNullSafe(found["doc_id"]) & (named["text_id"] == found["text_id"])
+    return named.join(found, same, "left").select(
+        named["doc_id"], F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"),
+        F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"),
+    )
