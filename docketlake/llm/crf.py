@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from docketlake.llm.common import Words, blocks, draw, examples, remainder, sums, utf8, words_of
 
@@ -237,8 +237,14 @@ def identify(docs: DataFrame, model: Field, keys: list[str]) -> DataFrame:
                 own = [part.column(k) for k in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(label, pa.string()), pa.array(score)], [*part.schema.names[:-1], "lang_pred", "score"])
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(run, f"{types}, lang_pred string, score double")
+    kept = [f for f in rows.schema if f.name != "text"]
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+
+
+def keep_identified(docs: DataFrame, model: Field, least: float = 0.4) -> DataFrame:
+    """``docs`` with its columns, without texts that have no letter (or are null) or whose language has a lower score."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return identify(whole, model, ["row"]).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
 
 
 def label_words(docs: DataFrame, model: Field) -> DataFrame:

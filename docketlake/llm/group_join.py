@@ -1,13 +1,12 @@
 """Shingle sets whose Jaccard similarity reaches a threshold, by a grouped prefix join.
 
 The shingles of a text are put in one global order: those that stand in few texts first. Two sets that are similar enough
-share a shingle in their prefixes. Sets with the same prefix and size form a group, and only groups are joined; pairs of
-groups that pass the size and position filters are expanded to their members, which are verified on their whole sets.
+share shingles in their prefixes. Sets with the same prefix and size form a group, and only groups are joined; pairs of
+groups that pass the filters on size and common prefix are expanded to their members, which are verified on their whole sets.
 
 Links are needed only as far as they connect. Each group is first verified against one centre; what is connected then needs
 no further check among itself, so a large group of near copies costs a line, not a square. The remaining candidate pairs lie
-between different components; they are verified all, but for those that the triangle inequality of the Jaccard distance
-rules out by way of a centre.
+between different components and are all verified.
 """
 
 from __future__ import annotations
@@ -165,11 +164,18 @@ def compare(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return verified
 
 
-def passes(percent: int, i: str, n: str, j: str, m: str) -> Column:
-    """Whether sets of n and m shingles that share one at places i and j of the order can be similar enough."""
-    size = f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
-    most = f"(least({i}, {j}) + 1 + least({n} - 1 - {i}, {m} - 1 - {j}))"
-    return F.expr(f"{size} AND {100 + percent} * {most} >= {percent} * ({n} + {m})")
+def alike(percent: int, n: str, m: str) -> Column:
+    """Whether sets of n and m members can be similar enough."""
+    return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
+
+
+def enough(percent: int, c: str, n: str, m: str) -> Column:
+    """Whether sets of n and m members with c common ones in their prefixes can be similar enough.
+
+    Up to the end of the prefix that ends first in the global order, all common members are among the c; behind it that set
+    has ceil(percent * size / 100) - 1 more. This holds every place that a member can have in its prefix to account at once.
+    """
+    return F.expr(f"{100 + percent} * ({c} + ceil({percent} * greatest({n}, {m}) / 100) - 1) >= {percent} * ({n} + {m})")
 
 
 class GroupJoin:
@@ -186,15 +192,15 @@ class GroupJoin:
         self.rows = materialize(keyed.mapInArrow(_prefixes(size, percent, *shared), f"doc_id {kind}, text_id binary, n long, set_id binary, group_key binary, prefix array<long>"), "prefixes")
 
     def _candidates(self) -> None:
-        """``tokens`` (token, i, n, gid): prefix tokens of groups that another set has too; ``sets`` with their group."""
+        """``tokens`` (token, n, gid): prefix tokens of groups that another set has too; ``sets`` with their group."""
         some = self.rows.where("n > 0")
         sets = materialize(some.groupBy("set_id").agg(F.min("text_id").alias("text_id"), F.first("group_key").alias("group_key")), "sets")
         grouped = some.groupBy("group_key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         held = sets.groupBy("group_key").agg(F.min("set_id").alias("rep"), F.count("*").alias("k"))
         groups = materialize(grouped.join(held, "group_key").withColumn("gid", F.monotonically_increasing_id()), "groups")
-        tokens = groups.select("gid", "n", "k", F.posexplode("prefix").alias("i", "token"))
+        tokens = groups.select("gid", "n", "k", F.explode("prefix").alias("token"))
         several = F.sum("k").over(Window.partitionBy("token")) > 1
-        self.tokens = materialize(tokens.withColumn("several", several).where("several").select("token", "i", "n", "gid"), "tokens")
+        self.tokens = materialize(tokens.withColumn("several", several).where("several").select("token", "n", "gid"), "tokens")
         self.sets = materialize(sets.join(groups.select("group_key", "gid", "rep"), "group_key").select("set_id", "text_id", "gid", "rep"), "members")
 
     def _stars(self) -> DataFrame:
@@ -203,9 +209,10 @@ class GroupJoin:
         The centre of a token is its first group of about the same size.
         """
         band = F.floor(F.log("n") / F.log(F.lit(100 / self.percent)))
-        first = F.min(F.struct("gid", "i", "n")).over(Window.partitionBy("token", "band"))
-        met = self.tokens.withColumn("band", band).withColumn("c", first).where("gid <> c.gid").where(passes(self.percent, "i", "n", "c.i", "c.n"))
-        votes = met.groupBy("gid", F.col("c.gid").alias("center")).agg(F.count("*").alias("votes"))
+        first = F.min(F.struct("gid", "n")).over(Window.partitionBy("token", "band"))
+        met = self.tokens.withColumn("band", band).withColumn("c", first).where("gid <> c.gid").where(alike(self.percent, "n", "c.n"))
+        votes = met.groupBy("gid", F.col("c.gid").alias("center")).agg(F.count("*").alias("votes"), F.first("n").alias("n"), F.first("c.n").alias("m"))
+        votes = votes.where(enough(self.percent, "votes", "n", "m"))
         best = votes.groupBy("gid").agg(F.max_by("center", F.struct("votes", -F.col("center"))).alias("center"))
         reps = self.sets.where("set_id = rep").select(F.col("gid").alias("center"), F.col("rep").alias("hub"))
         outer = self.sets.join(best, "gid").join(reps, "center").select("hub", F.col("set_id").alias("spoke"))
@@ -226,39 +233,17 @@ class GroupJoin:
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Verified links (a, b) that connect all linked sets, and the component (set_id, component) of every linked set."""
         self._candidates()
-        stars = self._verify(self._stars())
-        found = self._linked(stars)
-        component = components(found)
-
-        def apart(frame):
-            """Tokens of sets that stand in several components."""
-            of = self.tokens.join(self.sets.select("set_id", "gid"), "gid").join(frame, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-            w = Window.partitionBy("token")
-            mixed = of.withColumn("low", F.min("component").over(w)).withColumn("high", F.max("component").over(w))
-            return mixed.where("low <> high").select("token", "i", "n", "set_id", "component")
-
-        # the second round meets the centres of the stars of other components, the third what is left
-        star = self._linked(stars).groupBy(F.col("b").alias("set_id")).agg(F.min("a").alias("star"))
-        open_tokens = materialize(apart(component), "apart").join(star, "set_id", "left").withColumn("star", F.coalesce("star", "set_id"))
-        x, y = open_tokens.alias("x"), open_tokens.alias("y")
-        near = x.join(y, F.expr("x.token = y.token AND x.component <> y.component")).where(passes(self.percent, "x.i", "x.n", "y.i", "y.n"))
-        near = materialize(near.select(F.col("x.set_id").alias("x"), F.col("y.set_id").alias("y"), F.col("y.star").alias("star")).distinct(), "near")
-        known = stars.select("a", "b")
-        to_centres = near.select(F.col("star").alias("hub"), F.col("x").alias("spoke")).distinct()
-        to_centres = to_centres.join(known.select(F.col("a").alias("hub"), F.col("b").alias("spoke")), ["hub", "spoke"], "left_anti")
-        centred = self._verify(to_centres)
-        found = found.unionByName(self._linked(centred))
+        found = self._linked(self._verify(self._stars()))
         component = components(found)
-        distance = stars.unionByName(centred).withColumn("d", 1 - F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b", "d")
-        distance = materialize(distance.groupBy("a", "b").agg(F.min("d").alias("d")), "distances")
-        mine = component.select(F.col("set_id").alias("x"), F.col("component").alias("cx"))
-        other = component.select(F.col("set_id").alias("y"), F.col("component").alias("cy"))
-        rest = near.where("x < y AND star <> y").join(mine, "x", "left").join(other, "y", "left").where("coalesce(cx, x) <> coalesce(cy, y)")
-        rest = rest.join(distance.select(F.col("a").alias("star"), F.col("b").alias("x"), F.col("d").alias("dx")), ["star", "x"], "left")
-        rest = rest.join(distance.select(F.col("a").alias("star"), F.col("b").alias("y"), F.col("d").alias("dy")), ["star", "y"], "left")
-        rest = rest.where(F.expr(f"coalesce(abs(dx - dy) <= {1 - self.percent / 100 + 1e-9}, true)"))
-        last = self._linked(self._verify(rest.select(F.col("x").alias("hub"), F.col("y").alias("spoke"))))
-        found = found.unionByName(last)
+        of = self.tokens.join(self.sets.select("set_id", "gid"), "gid").join(component, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        w = Window.partitionBy("token")
+        mixed = of.withColumn("low", F.min("component").over(w)).withColumn("high", F.max("component").over(w)).where("low <> high")
+        mixed = materialize(mixed.select("token", "n", "set_id", "component"), "apart")
+        x, y = mixed.alias("x"), mixed.alias("y")
+        near = x.join(y, F.expr("x.token = y.token AND x.set_id < y.set_id AND x.component <> y.component")).where(alike(self.percent, "x.n", "y.n"))
+        near = near.groupBy(F.col("x.set_id").alias("hub"), F.col("y.set_id").alias("spoke")).agg(F.count("*").alias("c"), F.first("x.n").alias("n"), F.first("y.n").alias("m"))
+        rest = self._linked(self._verify(near.where(enough(self.percent, "c", "n", "m")).select("hub", "spoke")))
+        found = found.unionByName(rest)
         return found, components(found)
 
 
@@ -289,3 +274,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rows = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "set_id")).alias("component"))
     smallest = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.join(smallest, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with its columns, one row of each component: the one with the smallest doc_id (nulls last), then text digest.
+
+    Texts without words are components of their own, so all their rows stay, but for rows that repeat an id and a text.
+    """
+    join = GroupJoin(docs, size, percent)
+    _, component = join.links()
+    rows = join.rows.select("doc_id", "text_id", "n", "set_id").join(component, "set_id", "left")
+    group = F.when(F.col("n") > 0, F.coalesce("component", "set_id"))
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_id")
+    chosen = rows.where("n > 0").groupBy(group.alias("g")).agg(F.min(key).alias("k")).select("k.doc_id", "k.text_id")
+    chosen = chosen.unionByName(rows.where("n = 0").select("doc_id", "text_id").distinct())
+    counts = rows.groupBy("doc_id", "text_id").agg(F.count("*").alias("_rows"))
+    same = chosen["doc_id"].eqNullSafe(counts["doc_id"]) & (chosen["text_id"] == counts["text_id"])
+    keep = materialize(chosen.join(counts, same).select(chosen["doc_id"].alias("_doc"), chosen["text_id"].alias("_text"), "_rows"), "kept")
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    left = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_doc")) & (digest == F.col("_text")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if not keep.where("_rows > 1").limit(1).count():
+        return left.select(*columns)
+    # rows that repeat an id and a text: any one of them
+    once = left.where("_rows > 1").groupBy("_doc", "_text").agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
+    return left.where("_rows = 1").select(*columns).unionByName(once)

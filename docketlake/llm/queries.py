@@ -173,3 +173,30 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         named["doc_id"], F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"),
         F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"),
     )
+
+
+MIX_SQL = r"""
+WITH items AS (SELECT doc_id, source, md5(coalesce(text, '')) AS text_id, max(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS n_tokens, count(*)::BIGINT AS n_rows
+    FROM documents GROUP BY doc_id, source, md5(coalesce(text, ''))),
+  tot AS (SELECT source, sum(n_tokens * n_rows)::BIGINT AS total FROM items GROUP BY source),
+  ends AS (SELECT max(total) AS hi, min(total) FILTER (total > 0) AS lo FROM tot),
+  a AS (SELECT hi, CASE WHEN lo = hi OR hi / lo <= 2 THEN 0.0 ELSE 1 - ln(2) / ln(hi / lo) END AS ex FROM ends),
+  plan AS (SELECT source, total, CASE WHEN total = 0 THEN 0 ELSE greatest(total, floor(total * pow(total / hi, ex - 1) + 0.5)::BIGINT) END AS run_tokens FROM tot, a),
+  p AS (SELECT items.*, n_tokens * n_rows AS size, total, run_tokens,
+      ('0x' || substr(md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, 'null'), text_id)), 1, 8))::BIGINT % greatest(ceil(total / 1048576)::BIGINT, 1) AS block,
+      unnest(generate_series(1, greatest(ceil(run_tokens / greatest(total, 1))::BIGINT, 1))) AS epoch
+    FROM items JOIN plan ON items.source IS NOT DISTINCT FROM plan.source),
+  b AS (SELECT *, sum(bs) OVER (PARTITION BY source, epoch ORDER BY md5(concat_ws('|', 'mix', epoch::VARCHAR, coalesce(source, 'null'), block::VARCHAR)), block) - bs AS before
+    FROM (SELECT source, epoch, block, sum(size) AS bs FROM p GROUP BY source, epoch, block)),
+  o AS (SELECT *, sum(size) OVER (PARTITION BY source, epoch, block ORDER BY md5(concat_ws('|', 'mix', epoch::VARCHAR, coalesce(doc_id::VARCHAR, 'null'), text_id)), doc_id, text_id) - size AS off FROM p)
+SELECT doc_id, o.source, n_tokens, o.epoch::INT AS epoch, ((o.epoch - 1) * total + before + off)::BIGINT AS start, run_tokens
+FROM o JOIN b ON o.source IS NOT DISTINCT FROM b.source AND o.epoch = b.epoch AND o.block = b.block
+WHERE o.epoch = 1 OR (o.epoch - 1) * total + before + off + size <= run_tokens"""
+
+
+@query("op2_temperature_mixing", MIX_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, source, n_tokens, epoch, start, run_tokens: no source is repeated more than twice."""
+    from docketlake.llm.mixing import mixture
+
+    return mixture(table(spark, folder, "documents")).select("doc_id", "source", "n_tokens", "epoch", "start", "run_tokens")
