@@ -17,6 +17,11 @@ def utf8(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit("")).cast("binary")
 
 
+def in_one(docs: DataFrame) -> DataFrame:
+    """All columns of each row in one column ``row``, where no name can clash with an operator's own; ``row.*`` undoes it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def remainder(col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the text 'null'."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("null")).cast("binary")) % parts

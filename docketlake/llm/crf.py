@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from docketlake.llm.common import Words, blocks, draw, examples, remainder, sums, utf8, words_of
+from docketlake.llm.common import Words, blocks, draw, examples, in_one, remainder, sums, utf8, words_of
 
 #: Words of a chain; a longer text is several chains, cut anywhere.
 CHAIN = 64
@@ -161,11 +161,11 @@ def train(texts: list[bytes], langs: list[str], chains: int = 2000, rounds: int
             by_lang[number[lang]].append(words)
             for w, n in Counter(words).items():
                 counts.setdefault(w, np.zeros(len(labels)))[number[lang]] += n
-    if any(not x for x in by_lang):
-        keep = [k for k, x in enumerate(by_lang) if x]
-        if not keep:
-            return Field([], np.zeros((DIMS, 0)), {}, 0.0, np.zeros((0, 0)))
-        return train([t for t, x in zip(texts, langs) if number[x] in keep and any(map(letters, t.split()))], [x for t, x in zip(texts, langs) if number[x] in keep and any(map(letters, t.split()))], chains, rounds, rate, ridge, seed)
+    if not all(by_lang):  # a language without words cannot be learned
+        rest = [(t, x) for t, x in zip(texts, langs) if by_lang[number[x]]]
+        return train([t for t, _ in rest], [x for _, x in rest], chains, rounds, rate, ridge, seed)
+    if not labels:
+        return Field([], np.zeros((DIMS, 0)), {}, 0.0, np.zeros((0, 0)))
     size = sum(counts.values())
     lexicon = {}
     for w in sorted(counts, key=lambda w: (-counts[w].sum(), w))[:LEXICON]:
@@ -243,8 +243,7 @@ def identify(docs: DataFrame, model: Field, keys: list[str]) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Field, least: float = 0.4) -> DataFrame:
     """``docs`` with its columns, without texts that have no letter (or are null) or whose language has a lower score."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return identify(whole, model, ["row"]).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    return identify(in_one(docs).select("row", "row.text"), model, ["row"]).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
 
 
 def label_words(docs: DataFrame, model: Field) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from docketlake.llm.common import Words, blocks, mix, utf8
+from docketlake.llm.common import Words, blocks, in_one, mix, utf8
 from docketlake.session import discard, materialize
 
 #: A shingle is frequent if it stands in this share of the texts; there are at most (mean set size / share) of them.
@@ -291,11 +291,9 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
     counts = rows.groupBy("doc_id", "text_id").agg(F.count("*").alias("_rows"))
     same = chosen["doc_id"].eqNullSafe(counts["doc_id"]) & (chosen["text_id"] == counts["text_id"])
     keep = materialize(chosen.join(counts, same).select(chosen["doc_id"].alias("_doc"), chosen["text_id"].alias("_text"), "_rows"), "kept")
-    digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    left = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_doc")) & (digest == F.col("_text")))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    left = in_one(docs).join(keep, F.col("row.doc_id").eqNullSafe(F.col("_doc")) & (F.unhex(F.md5(utf8("row.text"))) == F.col("_text")))
     if not keep.where("_rows > 1").limit(1).count():
-        return left.select(*columns)
+        return left.select("row.*")
     # rows that repeat an id and a text: any one of them
-    once = left.where("_rows > 1").groupBy("_doc", "_text").agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
-    return left.where("_rows = 1").select(*columns).unionByName(once)
+    once = left.where("_rows > 1").groupBy("_doc", "_text").agg(F.first("row").alias("row")).select("row.*")
+    return left.where("_rows = 1").select("row.*").unionByName(once)

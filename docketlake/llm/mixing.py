@@ -12,6 +12,7 @@ from math import exp, log
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from docketlake.llm.common import in_one, utf8
 from docketlake.session import materialize
 
 #: Tokens of a block: what one task orders. Repetition limit where no target is given.
@@ -70,7 +71,7 @@ def mixture(docs: DataFrame, max_repeats: float | None = MAX_REPEATS, target_ent
     source without any token is read once. The documents of a last, partial epoch are those that fit its tokens whole.
     Sorting by start / run_tokens gives all sources in their proportions all along. The driver sees one number per source.
     """
-    rows = docs.select("doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("text_id"), tokens().alias("n_tokens"))
+    rows = docs.select("doc_id", "source", F.md5(utf8("text")).alias("text_id"), tokens().alias("n_tokens"))
     items = rows.groupBy("doc_id", "source", "text_id").agg(F.max("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows"))
     items = materialize(items.withColumn("size", F.col("n_tokens") * F.col("n_rows")), "mix-items")
     found = items.groupBy("source").agg(F.sum("size").alias("total")).orderBy(F.col("source").asc_nulls_first()).collect()
@@ -103,7 +104,6 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with its columns, each row as often as its epochs say, at least once (options as in :func:`mixture`)."""
     chosen = mixture(docs, **options).groupBy("doc_id", "text_id", "source").agg(F.count("*").alias("_times"))
     chosen = chosen.select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text"), F.col("source").alias("_from"), "_times")
-    digest = F.md5(F.coalesce("text", F.lit("")))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (digest == F.col("_text")) & F.col("source").eqNullSafe(F.col("_from"))
-    copies = docs.join(chosen, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = F.col("row.doc_id").eqNullSafe(F.col("_doc")) & (F.md5(utf8("row.text")) == F.col("_text")) & F.col("row.source").eqNullSafe(F.col("_from"))
+    copies = in_one(docs).join(chosen, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    return copies.select("row.*")
