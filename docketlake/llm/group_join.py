@@ -178,6 +178,20 @@ def enough(percent: int, c: str, n: str, m: str) -> Column:
     return F.expr(f"{100 + percent} * ({c} + ceil({percent} * greatest({n}, {m}) / 100) - 1) >= {percent} * ({n} + {m})")
 
 
+def within(percent: int, i: str, n: str, j: str, m: str) -> Column:
+    """Whether places i and j lie in the prefixes that sets of n and m members must share a member of to be similar enough.
+
+    These prefixes are shorter than those for any partner, as both sizes are known.
+    """
+    need = f"{percent} * ({n} + {m})"
+    return F.expr(f"{100 + percent} * ({n} - {i}) >= {need} AND {100 + percent} * ({m} - {j}) >= {need}")
+
+
+def reachable(percent: int, c: str, i: str, n: str, j: str, m: str) -> Column:
+    """Whether c common members up to the last common places i and j, and all that lie behind these, can be enough."""
+    return F.expr(f"{100 + percent} * ({c} + least({n} - 1 - {i}, {m} - 1 - {j})) >= {percent} * ({n} + {m})")
+
+
 class GroupJoin:
     """One run over the texts of ``docs`` (doc_id, text): ``members`` and verified ``links`` between distinct sets."""
 
@@ -192,25 +206,26 @@ class GroupJoin:
         self.rows = materialize(keyed.mapInArrow(_prefixes(size, percent, *shared), f"doc_id {kind}, text_id binary, n long, set_id binary, group_key binary, prefix array<long>"), "prefixes")
 
     def _candidates(self) -> None:
-        """``tokens`` (token, n, gid): prefix tokens of groups that another set has too; ``sets`` with their group."""
+        """``tokens`` (token, i, n, gid): prefix tokens of groups that another set has too; ``sets`` with their group."""
         some = self.rows.where("n > 0")
         sets = materialize(some.groupBy("set_id").agg(F.min("text_id").alias("text_id"), F.first("group_key").alias("group_key")), "sets")
         grouped = some.groupBy("group_key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         held = sets.groupBy("group_key").agg(F.min("set_id").alias("rep"), F.count("*").alias("k"))
         groups = materialize(grouped.join(held, "group_key").withColumn("gid", F.monotonically_increasing_id()), "groups")
-        tokens = groups.select("gid", "n", "k", F.explode("prefix").alias("token"))
+        tokens = groups.select("gid", "n", "k", F.posexplode("prefix").alias("i", "token"))
         several = F.sum("k").over(Window.partitionBy("token")) > 1
-        self.tokens = materialize(tokens.withColumn("several", several).where("several").select("token", "n", "gid"), "tokens")
+        self.tokens = materialize(tokens.withColumn("several", several).where("several").select("token", "i", "n", "gid"), "tokens")
         self.sets = materialize(sets.join(groups.select("group_key", "gid", "rep"), "group_key").select("set_id", "text_id", "gid", "rep"), "members")
 
     def _stars(self) -> DataFrame:
         """(hub, spoke): each set with the centre that its group meets most often, and with the first set of its group.
 
-        The centre of a token is its first group of about the same size.
+        The centre of a token is, among its groups of about the same size, the one that shares most of its tokens: in a group
+        of near copies that is one with few changes of its own.
         """
         band = F.floor(F.log("n") / F.log(F.lit(100 / self.percent)))
-        first = F.min(F.struct("gid", "n")).over(Window.partitionBy("token", "band"))
-        met = self.tokens.withColumn("band", band).withColumn("c", first).where("gid <> c.gid").where(alike(self.percent, "n", "c.n"))
+        first = F.min(F.struct(-F.col("held"), "gid", "n")).over(Window.partitionBy("token", "band"))
+        met = self.tokens.withColumn("held", F.count("*").over(Window.partitionBy("gid"))).withColumn("band", band).withColumn("c", first).where("gid <> c.gid").where(alike(self.percent, "n", "c.n"))
         votes = met.groupBy("gid", F.col("c.gid").alias("center")).agg(F.count("*").alias("votes"), F.first("n").alias("n"), F.first("c.n").alias("m"))
         votes = votes.where(enough(self.percent, "votes", "n", "m"))
         best = votes.groupBy("gid").agg(F.max_by("center", F.struct("votes", -F.col("center"))).alias("center"))
@@ -238,15 +253,22 @@ class GroupJoin:
         of = self.tokens.join(self.sets.select("set_id", "gid"), "gid").join(component, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         w = Window.partitionBy("token")
         mixed = of.withColumn("low", F.min("component").over(w)).withColumn("high", F.max("component").over(w)).where("low <> high")
-        mixed = materialize(mixed.select("token", "n", "set_id", "component"), "apart")
+        mixed = materialize(mixed.select("token", "i", "n", "set_id", "component"), "apart")
         x, y = mixed.alias("x"), mixed.alias("y")
-        near = x.join(y, F.expr("x.token = y.token AND x.set_id < y.set_id AND x.component <> y.component")).where(alike(self.percent, "x.n", "y.n"))
-        near = near.groupBy(F.col("x.set_id").alias("hub"), F.col("y.set_id").alias("spoke")).agg(F.count("*").alias("c"), F.first("x.n").alias("n"), F.first("y.n").alias("m"))
-        rest = self._linked(self._verify(near.where(enough(self.percent, "c", "n", "m")).select("hub", "spoke")))
+        met = F.expr("x.token = y.token AND x.set_id < y.set_id AND x.component <> y.component") & within(self.percent, "x.i", "x.n", "y.i", "y.n")
+        near = common_places(x.join(y, met).where(alike(self.percent, "x.n", "y.n")), "set_id")
+        rest = self._linked(self._verify(near.where(reachable(self.percent, "c", "i", "n", "j", "m")).select("hub", "spoke")))
         found = found.unionByName(rest)
         return found, components(found)
 
 
+def common_places(joined: DataFrame, key: str) -> DataFrame:
+    """(hub, spoke, c, i, j, n, m) of rows x, y that share a token: how many, the last places, and the sizes."""
+    return joined.groupBy(F.col(f"x.{key}").alias("hub"), F.col(f"y.{key}").alias("spoke")).agg(
+        F.count("*").alias("c"), F.max("x.i").alias("i"), F.max("y.i").alias("j"), F.first("x.n").alias("n"), F.first("y.n").alias("m")
+    )
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(set_id, component): the smallest set_id that each end of an edge reaches. Labels are lowered until none changes."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()

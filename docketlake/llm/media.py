@@ -14,14 +14,16 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from docketlake.llm.common import blocks, utf8
+from docketlake.llm.common import BLOCK, blocks, utf8
 from docketlake.session import materialize
 
 #: Chunk sizes: none shorter but the last, none longer, a cut about every 2**MASK_BITS bytes.
 LEAST, MOST, MASK_BITS, WINDOW = 256, 8192, 10, 32
 UNIT = 64
+ZSTD = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
 HEADER = 44
 GEAR = np.random.default_rng(20240101).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -95,13 +97,22 @@ def _list_chunks(batches):
             )
 
 
+def _squeeze(batches):
+    """Texts as Zstandard frames, for the shuffle."""
+    compress = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        for part in blocks(batch):
+            yield pa.RecordBatch.from_arrays([part.column("media_id"), pa.array([compress(t) for t in part.column("text").to_pylist()], pa.binary())], ["media_id", "frame"])
+
+
 _OWNED = pa.list_(pa.struct([("seq", pa.int32()), ("digest", pa.binary()), ("shared", pa.bool_()), ("data", pa.binary())]))
 
 
 def _store_owned(batches):
+    expand = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        for part in blocks(batch):
-            media = [medium(payload(t)) for t in part.column("text").to_pylist()]
+        for part in blocks(batch, "frame", BLOCK // 4):
+            media = [medium(payload(expand(f))) for f in part.column("frame").to_pylist()]
             stored = []
             for cs, plan in zip(chunks(media), part.column("plan").to_pylist()):
                 stored.append([{"seq": p["seq"], "digest": p["digest"], "shared": p["shared"], "data": cs[p["seq"]]} for p in plan])
@@ -125,10 +136,10 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     plan = joined.groupBy("media_id").agg(F.sort_array(F.collect_list(F.when(F.col("mine"), item))).alias("plan"), F.count("*").alias("n"))
     plan = materialize(plan.where(F.size("plan") > 0), "media-plan")
     keys = lists.select("media_id", "n_bytes", "media_digest")
-    texts = rows.groupBy("media_id").agg(F.first("text").alias("text"))
-    work = texts.join(plan, "media_id").join(keys, "media_id").select("media_id", "n_bytes", "media_digest", (F.size("plan") == F.col("n")).alias("complete"), "text", "plan")
+    frames = rows.mapInArrow(_squeeze, "media_id binary, frame binary").groupBy("media_id").agg(F.first("frame").alias("frame"))
+    work = frames.join(plan, "media_id").join(keys, "media_id").select("media_id", "n_bytes", "media_digest", (F.size("plan") == F.col("n")).alias("complete"), "frame", "plan")
     kinds = "media_id binary, n_bytes long, media_digest binary, complete boolean, chunks array<struct<seq: int, digest: binary, shared: boolean, data: binary>>"
-    return lists, materialize(work.mapInArrow(_store_owned, kinds), "media-store", compression="zstd")
+    return lists, materialize(work.mapInArrow(_store_owned, kinds), "media-store", **ZSTD)
 
 
 def describe(samples: bytes) -> str:
