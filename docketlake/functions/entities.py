@@ -68,7 +68,7 @@ def extract_entities(text: Column | str) -> Column:
     t = _c(text)
     judge = F.transform(
         _all(t, JUDGES),
-        lambda m: F.when(m.startswith("Justice"), F.regexp_replace(m, r"\s+", " ")).otherwise(F.regexp_replace(m, r"\s+", " ")),
+        lambda m: F.regexp_replace(m, r"\s+", " "),
     )
     party = F.transform(
         _all(t, PARTIES),

@@ -24,20 +24,35 @@ def live(cache: DataFrame, as_of: Column) -> DataFrame:
     return cache.where(F.col("expires_at") > as_of)
 
 
-def exact_lookup(requests: DataFrame, cache: DataFrame, value: str = "response") -> DataFrame:
-    """requests(query_id, user_type, query) with the newest live entry of the same key."""
-    newest = cache.groupBy("user_type", "key").agg(F.max_by(value, "created_at").alias(value))
+def cache_append(responses: DataFrame, path: str, ttl: Column | None = None) -> DataFrame:
+    """Add responses to the cache table at ``path``. Nothing is rewritten: at lookup the newest live entry of a key wins."""
+    rows = cache_rows(responses, ttl)
+    rows.write.mode("append").parquet(path)
+    return rows
+
+
+def exact_lookup(requests: DataFrame, cache: DataFrame, value: str = "response", as_of: Column | None = None) -> DataFrame:
+    """requests(query_id, user_type, query) with the newest entry of the same key; with ``as_of``, among the live ones.
+
+    Of entries made at the same time the one with the greater value wins.
+    """
+    found = cache if as_of is None else live(cache, as_of)
+    newest = found.groupBy("user_type", "key").agg(F.max_by(value, F.struct("created_at", value)).alias(value))
     return requests.withColumn("key", cache_key("query")).join(newest, ["user_type", "key"], "left")
 
 
 def two_level_lookup(
-    requests: DataFrame, cache: DataFrame, threshold: float = CACHE_THRESHOLD, cells: int = 64
+    requests: DataFrame, cache: DataFrame, threshold: float = CACHE_THRESHOLD, cells: int = 64, as_of: Column | None = None
 ) -> DataFrame:
     """requests(query_id, user_type, key, embedding) against cache(item_id, user_type, key, embedding).
 
-    Only requests without an exact hit reach the vector search.
+    With ``as_of``, entries that have expired by then are not served (expires_at). Of several entries with a key the newest
+    wins (created_at, where the cache has it; the smaller item_id among equals). Only requests without an exact hit reach the
+    vector search.
     """
-    firsts = cache.groupBy("user_type", "key").agg(F.min("item_id").alias("exact_id"))
+    cache = cache if as_of is None else live(cache, as_of)
+    age = [F.unix_micros(F.col("created_at").cast("timestamp"))] if "created_at" in cache.columns else []
+    firsts = cache.groupBy("user_type", "key").agg(F.min_by("item_id", F.struct(*[-a for a in age], "item_id")).alias("exact_id"))
     exact = requests.join(firsts, ["user_type", "key"], "left")
     missed = exact.where(F.col("exact_id").isNull()).select("query_id", "user_type", "embedding")
     near = nearest_above(cache, missed, threshold, by="user_type", cells=cells)

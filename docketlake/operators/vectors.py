@@ -207,7 +207,7 @@ def pick_centroids(index: DataFrame, cells: int, rounds: int = 2) -> np.ndarray:
                     nearest = (v @ c.T).argmax(axis=1)
                     np.add.at(sums, nearest, v)
                     seen[nearest] = True
-            yield pd.DataFrame({"cell": np.flatnonzero(seen).astype(np.int32), "sums": list(sums[seen])})
+            yield pd.DataFrame({"cell": np.flatnonzero(seen).astype(np.int32), "sums": pd.Series(list(sums[seen]), dtype=object)})
 
         merged = (
             index.select("embedding").mapInPandas(partial, schema)

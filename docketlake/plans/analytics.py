@@ -323,7 +323,8 @@ def w8(t):
 # --- cache -----------------------------------------------------------------
 
 CACHE_CTE = """entries AS (SELECT CASE WHEN user_id < 75 THEN 'citizen' ELSE 'professional' END AS user_type, lower(event_type) || ' ' || json_extract_string(props, '$.k') AS norm,
-    arg_max(event_id, ts) AS response FROM events WHERE event_type IN ('purchase', 'view') GROUP BY ALL)"""
+    max(struct_pack(ts := ts, id := event_id)).id AS response FROM events
+    WHERE event_type IN ('purchase', 'view') AND ts + INTERVAL 10 DAY > TIMESTAMP '2024-01-31 00:00:00' GROUP BY ALL)"""
 
 
 @query(
@@ -336,10 +337,12 @@ def j8(t):
     kind = F.when(F.col("user_id") < 75, "citizen").otherwise("professional").alias("user_type")
     rows = log(t)
     cache = rows.where(F.col("event_type").isin("purchase", "view")).select(
-        kind, tx.cache_key("query_text").alias("key"), F.col("event_id").alias("response"), F.col("ts").alias("created_at")
+        kind, tx.cache_key("query_text").alias("key"), F.col("event_id").alias("response"), F.col("ts").alias("created_at"),
+        (F.col("ts") + F.expr("INTERVAL 10 DAYS")).alias("expires_at"),
     )
     req = rows.select(F.col("event_id").alias("query_id"), kind, F.col("query_text").alias("query"))
-    return ca.exact_lookup(req, cache).select("query_id", "key", F.coalesce("response", F.lit(-1)).alias("response"))
+    as_of = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    return ca.exact_lookup(req, cache, as_of=as_of).select("query_id", "key", F.coalesce("response", F.lit(-1)).alias("response"))
 
 
 TWO_LEVEL_CTE = f"""{REQUEST_CTE},

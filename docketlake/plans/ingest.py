@@ -12,7 +12,6 @@ from docketlake.plans.common import (
     CHUNK_CTE, DOC_TYPE_SQL, chunk_cte, chunks, doc_type_of_lang, sql_any, sql_chunk_id, sql_collapse, sql_normalize, sql_strip, sql_words,
 )
 from docketlake.plans.registry import query
-from docketlake.session import spread
 
 LINES_CTE = "lines AS (SELECT doc_id, lang, source, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS line FROM (SELECT *, string_split(text, chr(10)) AS ls FROM documents))"
 BOILER = sql_any("line", PARAGRAPH_BOILERPLATE) + f" OR length({sql_strip('line')}) < 10"
@@ -20,7 +19,7 @@ BODY_CTE = f"{LINES_CTE}, body AS (SELECT doc_id, i, {sql_normalize('line')} AS
 
 
 def documents(t):
-    return spread(t.documents.select("doc_id", "lang", "source", "text"))
+    return t.documents.select("doc_id", "lang", "source", "text")
 
 
 def lines(t):
@@ -419,7 +418,7 @@ def legal_chunks(t):
         F.lit("On "), F.date_format(d, "dd/MM/yyyy"), F.lit(" the Supreme Court of Zimbabwe per MOYO J applied section "), key,
         F.lit("A of the Labour Act [Chapter 28:01] in Shumba v Ncube, [2025] ZWSC "), F.col("o_orderkey").cast("string"), F.lit(". Heard "),
         F.date_format(d, "d MMMM yyyy"), F.lit(", see 1998 (2) ZLR "), key, F.lit(" and Justice Bere; "), F.col("o_orderpriority"))
-    return spread(t.orders).select(F.col("o_orderkey").alias("chunk_id"), text.alias("chunk_text"))
+    return t.orders.select(F.col("o_orderkey").alias("chunk_id"), text.alias("chunk_text"))
 
 
 ENTITY_TYPES = ["dates", "statute_refs", "case_refs", "courts", "judges", "parties"]

@@ -50,11 +50,13 @@ def s4(t):
     return pages.select("url", F.md5("html").alias("html_md5"), F.length("html").alias("chars"))
 
 
-@query("s5_read_golden", "SELECT item_id::VARCHAR AS id, 0.7::DOUBLE AS expected_confidence_min, 'moderate' AS complexity, 0 AS tags FROM benchmark")
+@query("s5_read_golden", """SELECT item_id::VARCHAR AS id, 0.7::DOUBLE AS expected_confidence_min, 'moderate' AS complexity, 0 AS tags FROM benchmark
+    UNION ALL SELECT 'plain-' || item_id, 0.9::DOUBLE, 'moderate', 0 FROM benchmark""")
 def s5(t):
     path = scratch(t.spark, "golden")
     t.benchmark.select(F.array(F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"))).alias("queries")).write.json(path)
-    g = co.with_golden_defaults(t.spark.read.json(path, schema="queries array<struct<id:string,query:string,expected_confidence_min:double,complexity:string,tags:array<string>>>").select(F.explode("queries").alias("q")).select("q.*"))
+    t.benchmark.select(F.concat(F.lit("plain-"), F.col("item_id")).alias("id"), F.col("text").alias("query"), F.lit(0.9).alias("expected_confidence_min")).write.mode("append").json(path)
+    g = co.read_golden(t.spark, path, lines=True)
     return g.select("id", "expected_confidence_min", "complexity", F.size("tags").alias("tags"))
 
 

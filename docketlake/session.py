@@ -20,6 +20,7 @@ def build_session(app: str = "docketlake", cores: str | None = None) -> SparkSes
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cores)
+        .config("spark.sql.files.maxPartitionBytes", "2m")  # small test files still feed every core
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -77,9 +78,3 @@ def shuffles_removed(spark: SparkSession):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work one partition per core where the input has fewer; otherwise no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -69,10 +69,12 @@ def with_golden_defaults(df: DataFrame) -> DataFrame:
     })
 
 
-def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """Golden queries, from {"queries": [...]} or a plain array."""
-    wrapped = spark.read.schema(T.StructType([T.StructField("queries", T.ArrayType(GOLDEN_QUERY))])).option("multiLine", True).json(path)
-    return with_golden_defaults(wrapped.select(F.explode("queries").alias("q")).select("q.*"))
+def read_golden(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Golden queries, from {"queries": [...]} or a plain array of queries; with ``lines``, one such value per line."""
+    either = T.StructType([*GOLDEN_QUERY.fields, T.StructField("queries", T.ArrayType(GOLDEN_QUERY))])
+    rows = spark.read.schema(either).option("multiLine", not lines).json(path)
+    alone = F.array(F.struct(*[F.col(c) for c in GOLDEN_QUERY.fieldNames()]))  # a plain array gives a row per query
+    return with_golden_defaults(rows.select(F.explode(F.coalesce("queries", alone)).alias("q")).select("q.*"))
 
 
 def valid_key(key: Column | str, size: Column | str | None = None) -> Column:

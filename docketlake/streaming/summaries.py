@@ -25,7 +25,8 @@ def profile_counters(log: DataFrame) -> DataFrame:
     """Running counters per user, for update mode: log(user_id, ts, area, complexity, user_type)."""
     return log.groupBy("user_id").agg(
         F.count("*").alias("query_count"), F.max("ts").alias("updated_at"),
-        F.max_by("complexity", "ts").alias("last_query_complexity"), F.max_by("user_type", "ts").alias("detected_user_type"),
+        F.max_by("complexity", F.struct("ts", "complexity")).alias("last_query_complexity"),
+        F.max_by("user_type", F.struct("ts", "user_type")).alias("detected_user_type"),
         F.array_sort(F.collect_set("area")).alias("legal_interests"),
     )
 
