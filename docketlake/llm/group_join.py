@@ -187,6 +187,14 @@ def within(percent: int, i: str, n: str, j: str, m: str) -> Column:
     return F.expr(f"{100 + percent} * ({n} - {i}) >= {need} AND {100 + percent} * ({m} - {j}) >= {need}")
 
 
+def placed_alike(percent: int, i: str, n: str, j: str, m: str) -> Column:
+    """Whether a common member at places i and j leaves room for enough others before and behind it.
+
+    Every common member of similar sets passes, so those that pass can be counted for :func:`enough`.
+    """
+    return F.expr(f"{100 + percent} * (least({i}, {j}) + 1 + least({n} - 1 - {i}, {m} - 1 - {j})) >= {percent} * ({n} + {m})")
+
+
 def reachable(percent: int, c: str, i: str, n: str, j: str, m: str) -> Column:
     """Whether c common members up to the last common places i and j, and all that lie behind these, can be enough."""
     return F.expr(f"{100 + percent} * ({c} + least({n} - 1 - {i}, {m} - 1 - {j})) >= {percent} * ({n} + {m})")

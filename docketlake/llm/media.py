@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from docketlake.llm.common import BLOCK, blocks, utf8
-from docketlake.session import materialize
+from docketlake.session import discard, materialize
 
 #: Chunk sizes: none shorter but the last, none longer, a cut about every 2**MASK_BITS bytes.
 LEAST, MOST, MASK_BITS, WINDOW = 256, 8192, 10, 32
@@ -99,7 +99,7 @@ def _list_chunks(batches):
 
 def _squeeze(batches):
     """Texts as Zstandard frames, for the shuffle."""
-    compress = zstandard.ZstdCompressor(level=3).compress
+    compress = zstandard.ZstdCompressor(level=9).compress
     for batch in batches:
         for part in blocks(batch):
             yield pa.RecordBatch.from_arrays([part.column("media_id"), pa.array([compress(t) for t in part.column("text").to_pylist()], pa.binary())], ["media_id", "frame"])
@@ -112,11 +112,12 @@ def _store_owned(batches):
     expand = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for part in blocks(batch, "frame", BLOCK // 4):
-            media = [medium(payload(expand(f))) for f in part.column("frame").to_pylist()]
+            texts = [expand(f) for f in part.column("frame").to_pylist()]
+            media = [medium(payload(t)) for t in texts]
             stored = []
             for cs, plan in zip(chunks(media), part.column("plan").to_pylist()):
-                stored.append([{"seq": p["seq"], "digest": p["digest"], "shared": p["shared"], "data": cs[p["seq"]]} for p in plan])
-            keep = [part.column(c) for c in ("media_id", "n_bytes", "media_digest", "complete")]
+                stored.append([{"seq": p["seq"], "digest": digest(cs[p["seq"]]), "shared": p["shared"], "data": cs[p["seq"]]} for p in plan])
+            keep = [part.column("media_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([sha256(m).digest() for m in media]), part.column("complete")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(stored, _OWNED)], ["media_id", "n_bytes", "media_digest", "complete", "chunks"])
 
 
@@ -132,14 +133,15 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     refs = lists.select("media_id", F.posexplode("chunks").alias("seq", "chunk")).select("media_id", "seq", "chunk.digest")
     owners = refs.groupBy("digest").agg(F.min(F.struct("media_id", "seq")).alias("owner"), F.count("*").alias("uses"))
     joined = refs.join(owners, "digest").withColumn("mine", F.col("owner") == F.struct("media_id", "seq"))
-    item = F.struct("seq", "digest", (F.col("uses") > 1).alias("shared"))
+    item = F.struct("seq", (F.col("uses") > 1).alias("shared"))
     plan = joined.groupBy("media_id").agg(F.sort_array(F.collect_list(F.when(F.col("mine"), item))).alias("plan"), F.count("*").alias("n"))
     plan = materialize(plan.where(F.size("plan") > 0), "media-plan")
-    keys = lists.select("media_id", "n_bytes", "media_digest")
     frames = rows.mapInArrow(_squeeze, "media_id binary, frame binary").groupBy("media_id").agg(F.first("frame").alias("frame"))
-    work = frames.join(plan, "media_id").join(keys, "media_id").select("media_id", "n_bytes", "media_digest", (F.size("plan") == F.col("n")).alias("complete"), "frame", "plan")
+    work = frames.join(plan, "media_id").select("media_id", (F.size("plan") == F.col("n")).alias("complete"), "frame", "plan")
     kinds = "media_id binary, n_bytes long, media_digest binary, complete boolean, chunks array<struct<seq: int, digest: binary, shared: boolean, data: binary>>"
-    return lists, materialize(work.mapInArrow(_store_owned, kinds), "media-store", **ZSTD)
+    stored = materialize(work.mapInArrow(_store_owned, kinds), "media-store", **ZSTD)
+    discard(plan)
+    return lists, stored
 
 
 def describe(samples: bytes) -> str:
@@ -172,17 +174,20 @@ def _rebuild(batches):
 def read_back(lists: DataFrame, stored: DataFrame) -> DataFrame:
     """One row per medium, put together from the store: sizes, digests, features.
 
-    A medium that owns all its chunks is read where it lies. For the others, chunks meet their references in a join.
+    A medium that owns all its chunks is read where it lies. The others gather their own chunks and those of other media,
+    which meet their references in a join.
     """
     kinds = "media_id binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int"
     part = F.transform("chunks", lambda c: F.struct(c.seq.alias("seq"), c.data.alias("data")))
     whole = stored.where("complete").select("media_id", "n_bytes", "media_digest", part.alias("parts"))
+    keys = ["media_id", "n_bytes", "media_digest"]
+    own = stored.where("NOT complete").select(*keys, F.explode("chunks").alias("c")).select(*keys, "c.seq", "c.data")
     others = lists.join(stored.where("complete").select("media_id"), "media_id", "left_anti")
-    refs = others.select("media_id", "n_bytes", "media_digest", F.posexplode("chunks").alias("seq", "chunk")).select("media_id", "n_bytes", "media_digest", "seq", "chunk.digest")
-    held = stored.select("complete", F.explode("chunks").alias("c")).where("c.shared OR NOT complete").select("c.digest", "c.data")
-    found = refs.join(held, "digest").groupBy("media_id").agg(
-        F.first("n_bytes").alias("n_bytes"), F.first("media_digest").alias("media_digest"), F.collect_list(F.struct("seq", "data")).alias("parts")
-    )
+    refs = others.select(*keys, F.posexplode("chunks").alias("seq", "chunk")).select(*keys, "seq", "chunk.digest")
+    foreign = refs.join(own.select("media_id", "seq"), ["media_id", "seq"], "left_anti")
+    shared = stored.select(F.explode("chunks").alias("c")).where("c.shared").select("c.digest", "c.data")
+    parts = own.unionByName(foreign.join(shared, "digest").select(*keys, "seq", "data"))
+    found = parts.groupBy("media_id").agg(F.first("n_bytes").alias("n_bytes"), F.first("media_digest").alias("media_digest"), F.collect_list(F.struct("seq", "data")).alias("parts"))
     return whole.mapInArrow(_rebuild, kinds).unionByName(found.mapInArrow(_rebuild, kinds))
 
 
