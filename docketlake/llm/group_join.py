@@ -195,11 +195,6 @@ def placed_alike(percent: int, i: str, n: str, j: str, m: str) -> Column:
     return F.expr(f"{100 + percent} * (least({i}, {j}) + 1 + least({n} - 1 - {i}, {m} - 1 - {j})) >= {percent} * ({n} + {m})")
 
 
-def reachable(percent: int, c: str, i: str, n: str, j: str, m: str) -> Column:
-    """Whether c common members up to the last common places i and j, and all that lie behind these, can be enough."""
-    return F.expr(f"{100 + percent} * ({c} + least({n} - 1 - {i}, {m} - 1 - {j})) >= {percent} * ({n} + {m})")
-
-
 class GroupJoin:
     """One run over the texts of ``docs`` (doc_id, text): ``members`` and verified ``links`` between distinct sets."""
 
@@ -263,20 +258,16 @@ class GroupJoin:
         mixed = of.withColumn("low", F.min("component").over(w)).withColumn("high", F.max("component").over(w)).where("low <> high")
         mixed = materialize(mixed.select("token", "i", "n", "set_id", "component"), "apart")
         x, y = mixed.alias("x"), mixed.alias("y")
-        met = F.expr("x.token = y.token AND x.set_id < y.set_id AND x.component <> y.component") & within(self.percent, "x.i", "x.n", "y.i", "y.n")
-        near = common_places(x.join(y, met).where(alike(self.percent, "x.n", "y.n")), "set_id")
-        rest = self._linked(self._verify(near.where(reachable(self.percent, "c", "i", "n", "j", "m")).select("hub", "spoke")))
+        met = F.expr("x.token = y.token AND x.set_id < y.set_id AND x.component <> y.component")
+        both = x.join(y, met).where(alike(self.percent, "x.n", "y.n") & placed_alike(self.percent, "x.i", "x.n", "y.i", "y.n"))
+        near = both.groupBy(F.col("x.set_id").alias("hub"), F.col("y.set_id").alias("spoke")).agg(
+            F.count("*").alias("c"), F.max(within(self.percent, "x.i", "x.n", "y.i", "y.n")).alias("early"), F.first("x.n").alias("n"), F.first("y.n").alias("m")
+        )
+        rest = self._linked(self._verify(near.where("early").where(enough(self.percent, "c", "n", "m")).select("hub", "spoke")))
         found = found.unionByName(rest)
         return found, components(found)
 
 
-def common_places(joined: DataFrame, key: str) -> DataFrame:
-    """(hub, spoke, c, i, j, n, m) of rows x, y that share a token: how many, the last places, and the sizes."""
-    return joined.groupBy(F.col(f"x.{key}").alias("hub"), F.col(f"y.{key}").alias("spoke")).agg(
-        F.count("*").alias("c"), F.max("x.i").alias("i"), F.max("y.i").alias("j"), F.first("x.n").alias("n"), F.first("y.n").alias("m")
-    )
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(set_id, component): the smallest set_id that each end of an edge reaches. Labels are lowered until none changes."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
