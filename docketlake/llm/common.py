@@ -75,6 +75,10 @@ def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return [w for ws in found for w in ws], at
 
 
+#: The table that this process filled last: a worker that goes on to another operator lets the earlier one's go.
+_IN_USE: list = []
+
+
 class Words(dict):
     """Numbers words as they come; ``describe`` gives new words their rows in ``rows``.
 
@@ -90,10 +94,17 @@ class Words(dict):
         self.fresh.append(word)
         return n
 
+    def forget(self) -> None:
+        self.clear()
+        self.fresh, self.rows, self.filled = [], None, 0
+
     def number(self, words: list[bytes]) -> np.ndarray:
+        if not _IN_USE or _IN_USE[0] is not self:
+            for other in _IN_USE:
+                other.forget()
+            _IN_USE[:] = [self]
         if len(self) > self.limit:
-            self.clear()
-            self.filled = 0
+            self.forget()
         codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.fresh and self.describe:
             new = self.describe(self.fresh)
