@@ -33,13 +33,22 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 _WORDS = Words()
 
 
+def windows(codes: np.ndarray) -> np.ndarray:
+    """A number for each window of three codes; windows have the same number exactly if their codes are the same."""
+    bits = int(codes.max()).bit_length()
+    pair = (codes[:-1] << bits) | codes[1:]
+    if 3 * bits > 63:  # pairs are numbered anew, so that a number and a code fit side by side
+        pair = np.unique(pair, return_inverse=True)[1]
+    return (pair[:-1] << bits) | codes[2:]
+
+
 def repeated_words(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Per text: words that lie in a window of three words which the text has twice or more."""
     if len(codes) < 3:
         return np.zeros(len(at) - 1, np.int64)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     inside = doc[2:] == doc[:-2]
-    key = (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]  # exact: a code has 21 bits
+    key = windows(codes)
     start = np.flatnonzero(inside)
     start = start[np.argsort(key[start], kind="stable")]
     same = (key[start[1:]] == key[start[:-1]]) & (doc[start[1:]] == doc[start[:-1]])

@@ -88,6 +88,26 @@ def test_sketches_merge_and_bound_their_error(spark):
     assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, rules.sketch(stats, ["lang"]).collect()))
 
 
+def test_words_beyond_21_bits_are_counted_apart(spark):
+    # two windows that fall together where a code has 21 bits
+    far = np.array([0, 1 << 21, 5, 1, 0, 5, 9, 9, 0, 1 << 21, 5])
+    assert rules.repeated_words(far, np.array([0, 11])).tolist() == [6]
+    assert rules.repeated_words(far[:8], np.array([0, 8])).tolist() == [0]
+    wide = np.array([1 << 30, 2, 3, 1 << 30, 2, 4, 7, 2, 3, 1 << 30, 2, 3])
+    assert rules.repeated_words(wide, np.array([0, 9, 12])).tolist() == [0, 0]
+    assert rules.repeated_words(wide, np.array([0, 12])).tolist() == [10]
+    n = (1 << 21) + 1000
+    long = " ".join(map(str, range(n))) + " a b c x a b c"
+    counts = rules.measure(spark.createDataFrame([(1, long)], "doc_id long, text string"), ["doc_id"]).first()
+    assert (counts.n_words, counts.n_repeat_words) == (n + 7, 6)
+    named = dict(zip(preference.NAMED, preference.features([b"short text", long.encode()])[1]))
+    assert named["distinct"] == pytest.approx((n + 4) / (n + 7)) and named["repeat"] == pytest.approx(6 / (n + 7))
+
+
+def test_a_word_has_its_whole_shape():
+    assert preference._shape("ab1-" * 10 + "Z") == "a0-" * 10 + "A" != preference._shape("ab1-" * 10)
+
+
 # packing
 
 
