@@ -136,17 +136,28 @@ class Field:
             out[part[is_word]] = m[is_word]
         return out, rows[:, -1] > 0, at
 
-    def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
-        """Language and score (mean marginal over the words with a letter) of every text."""
+    def judge(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and certainty of every text: means over its words with a letter, 0 where it has none.
+
+        The score is the language's mean marginal, its share of the text. The certainty is the mean of each word's highest
+        marginal, whichever language has it, so a text in several languages is as certain as its words. A field without
+        labels has nothing to doubt: the language is 'und', the score 0 and the certainty 1.
+        """
         if not self.labels:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            certain = [float(any(letters(w) for w in t.split())) for t in texts]
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.array(certain, np.float64)
         m, has_letter, at = self.marginals(texts)
         total = sums(m * has_letter[:, None], at)
         n = sums(has_letter.astype(np.int64), at)
         mean = total / np.maximum(n, 1)[:, None]
         best = mean.argmax(1)
         label = [self.labels[b] if c else UNKNOWN for b, c in zip(best, n)]
-        return label, np.where(n > 0, np.clip(mean[np.arange(len(best)), best], 0, 1), 0.0)
+        certain = sums(m.max(1) * has_letter, at) / np.maximum(n, 1)
+        return label, np.where(n > 0, np.clip(mean[np.arange(len(best)), best], 0, 1), 0.0), certain
+
+    def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
+        """Language and score (mean marginal over the words with a letter) of every text."""
+        return self.judge(texts)[:2]
 
 
 def train(texts: list[bytes], langs: list[str], chains: int = 2000, rounds: int = 60, rate: float = 0.1, ridge: float = 1e-4, seed: int = 3) -> Field:
@@ -226,24 +237,35 @@ def fit(rows: DataFrame) -> Field:
     return train([r["text"].encode() for r in drawn], [r["label"] for r in drawn])
 
 
-def identify(docs: DataFrame, model: Field, keys: list[str]) -> DataFrame:
-    """Language of every whole text: the ``keys``, lang_pred ('und' without a letter, also for null), score (0 to 1)."""
+def _judged(docs: DataFrame, model: Field, keys: list[str]) -> DataFrame:
+    """The ``keys``, lang_pred, score and _certainty (``Field.judge``) of every whole text."""
     rows = docs.select(*keys, utf8("text").alias("text"))
 
     def run(batches):
         for batch in batches:
             for part in blocks(batch):
-                label, score = model.predict(part.column("text").to_pylist())
+                label, score, certain = model.judge(part.column("text").to_pylist())
                 own = [part.column(k) for k in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(label, pa.string()), pa.array(score)], [*part.schema.names[:-1], "lang_pred", "score"])
+                found = [pa.array(label, pa.string()), pa.array(score), pa.array(certain)]
+                yield pa.RecordBatch.from_arrays([*own, *found], [*part.schema.names[:-1], "lang_pred", "score", "_certainty"])
 
     kept = [f for f in rows.schema if f.name != "text"]
-    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("_certainty", T.DoubleType())]
+    return rows.mapInArrow(run, T.StructType([*kept, *new]))
+
+
+def identify(docs: DataFrame, model: Field, keys: list[str]) -> DataFrame:
+    """Language of every whole text: the ``keys``, lang_pred ('und' without a letter, also for null), score (0 to 1)."""
+    return _judged(docs, model, keys).drop("_certainty")
 
 
 def keep_identified(docs: DataFrame, model: Field, least: float = 0.4) -> DataFrame:
-    """``docs`` with its columns, without texts that have no letter (or are null) or whose language has a lower score."""
-    return identify(in_one(docs).select("row", "row.text"), model, ["row"]).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    """``docs`` with its columns, without texts that have no letter (or are null) or whose words are less certain.
+
+    Texts that mix languages stay if the language of their words is clear; without labels every text with a letter stays.
+    """
+    judged = _judged(in_one(docs).select("row", "row.text"), model, ["row"])
+    return judged.where((F.col("_certainty") > 0) & (F.col("_certainty") >= least)).select("row.*")
 
 
 def label_words(docs: DataFrame, model: Field) -> DataFrame:

@@ -339,6 +339,25 @@ def test_language_of_rows_without_letters_is_unknown(docs, rows):
     assert crf.label_words(docs.where("doc_id = 3"), field).first().word == "a"
 
 
+def test_mixed_languages_are_kept_and_so_are_all_without_labels(spark):
+    rng = random.Random(6)
+    vocab = {
+        "de": ["schön", "straße", "nicht", "gehen", "haus"], "en": ["which", "the", "house", "going", "they"],
+        "fr": ["quelle", "maison", "avec", "pour", "été"], "pl": ["który", "dziękuję", "jest", "wszystko", "być"],
+    }
+    train = [(lang, " ".join(rng.choice(v) for _ in range(60))) for lang, v in vocab.items() for _ in range(20)]
+    field = crf.train([t.encode() for _, t in train], [x for x, _ in train], chains=200, rounds=30)
+    parts = {lang: " ".join(rng.choice(v) for _ in range(30)) for lang, v in vocab.items()}
+    made = [(1, " ".join(parts[x] for x in ("de", "en", "fr"))), (2, " ".join(parts.values())), (3, parts["pl"]), (4, "123 !!!"), (5, None), (6, "")]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    score = {r.doc_id: r.score for r in crf.identify(docs, field, ["doc_id"]).collect()}
+    assert score[1] < 0.4 and score[2] < 0.4
+    assert {r.doc_id for r in crf.keep_identified(docs, field).collect()} == {1, 2, 3}
+    assert crf.keep_identified(docs, field, 1.01).count() == 0
+    blank = crf.fit(crf.training_rows(docs.withColumn("lang", F.lit(None).cast("string"))))
+    assert not blank.labels and {r.doc_id for r in crf.keep_identified(docs, blank).collect()} == {1, 2, 3}
+
+
 def test_models_score_every_row(spark, docs, rows):
     rng = random.Random(8)
     made = [(k, (words(rng, 60) + (" loserish" * (k % 2))) if k % 4 else "bad### " * 40 + " loserish" * (k % 2)) for k in range(400)]
