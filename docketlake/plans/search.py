@@ -117,7 +117,16 @@ def r5_tiled(t):
 
 @query("r5_approximate_vector_search")
 def r5_approximate(t):
-    return approximate_search(vector_index(t), label_centroids(t), 10, cells=16, nprobe=6)
+    return approximate_search(vector_index(t), label_centroids(t), 10, cells=16, nprobe=14)
+
+
+@query(
+    "r5_all_cells_vector_search",
+    f"""WITH {CENTROID_CTE} SELECT query_id, item_id, score, rank FROM (SELECT *, row_number() OVER
+    (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM dense) WHERE rank <= 10""",
+)
+def r5_all_cells(t):
+    return approximate_search(vector_index(t), label_centroids(t), 10, cells=16, nprobe=16)
 
 
 @query(

@@ -1,14 +1,17 @@
 """BM25, vectors and selection against brute force."""
 
 import math
+import os
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from docketlake.operators import bm25, fusion as fu, retrieval as rt, vectors as ve
 
+FOLDER = "/root/testdata/sf0.001"
 CORPUS = {
     "c1": "lawful strike procedure strike", "c2": "minimum wage section 5", "c3": "strike notice wage wage", "c4": "unrelated text here strike",
     "c5": "", "c6": "strike wage",
@@ -107,6 +110,14 @@ def test_approximate_with_all_cells_is_exact(vectors):
     assert all(len(v) <= 5 for v in some.values())
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
+def test_registered_approximate_search_finds_nine_of_ten(spark):
+    found, every = (entry.queries()[n](spark, FOLDER) for n in ("r5_approximate_vector_search", "r5_vector_search"))
+    want = {(r.query_id, r.item_id) for r in every.where("rank <= 10").collect()}
+    got = {(r.query_id, r.item_id) for r in found.collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
 def test_threshold_search_is_exact(vectors):
     idx, qs, index, queries = vectors
     assert rows(ve.nearest_above(idx, qs, 0.6, by="kind", cells=8, block_rows=32)) == best(index, queries, 1, same=True, floor=0.6)
