@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from docketlake.constants import BANNER_TITLES, MIN_TOKENS
@@ -9,11 +11,12 @@ from docketlake.functions.ids import chunk_id
 from docketlake.functions.text import _c, collapse_ws, estimate_tokens, strip
 from docketlake.session import materialize
 
-MAX_DEPTH = 6
+#: Levels that one pass over the trees descends; deeper trees take more passes.
+LEVELS = 6
 
 
-def tree_schema(depth: int = MAX_DEPTH) -> T.ArrayType:
-    """Nested node type; what lies deeper stays as text so that it can be detected."""
+def tree_schema(depth: int = LEVELS) -> T.ArrayType:
+    """Nested node type; what lies deeper stays as text for the next pass."""
     fields = [
         T.StructField("title", T.StringType()), T.StructField("node_id", T.StringType()),
         T.StructField("text", T.StringType()), T.StructField("page_index", T.IntegerType()),
@@ -28,51 +31,82 @@ def is_wrapper(title: Column) -> Column:
     return t.isin(BANNER_TITLES) | t.rlike(r"(?i)^Chapter\s+\d+:\d+(?![\p{L}\p{N}_])")
 
 
-def flatten_tree(df: DataFrame, tree: str = "tree", depth: int = MAX_DEPTH) -> DataFrame:
-    """JSON trees to one row per node, with path, breadcrumb and the nearest ancestor that is not a wrapper.
+def _children(parent: Column, nodes: Column) -> Column:
+    """The nodes below a parent (path, kept_parent, breadcrumb and title), in order."""
+    return F.transform(
+        nodes,
+        lambda c, i: F.struct(
+            F.concat(parent["path"], F.array(i)).alias("path"),
+            F.when(is_wrapper(parent["title"]), parent["kept_parent"]).otherwise(parent["path"]).alias("kept_parent"),
+            F.concat(parent["breadcrumb"], F.lit(" > "), F.coalesce(c["title"], F.lit(""))).alias("breadcrumb"),
+            c.alias("n"),
+        ),
+    )
+
+
+def _placed(p: Column) -> Column:
+    return F.struct(p["path"].alias("path"), p["kept_parent"].alias("kept_parent"), p["breadcrumb"].alias("breadcrumb"), p["n"]["title"].alias("title"))
 
-    The tree is descended level by level inside one row: no recursion and no join. A tree deeper
-    than ``depth`` raises an error instead of losing nodes.
+
+def _descend(df: DataFrame, first: Column, others: list[str], levels: int, last: bool = False) -> DataFrame:
+    """One pass: the nodes of ``levels`` levels in the struct ``_n``, whose ``below`` is the JSON text under the last level.
+
+    With ``last`` there must be nothing below.
     """
-    others = [c for c in df.columns if c != tree]
-    out = df.withColumn("_l0", F.transform(
-        F.from_json(tree, tree_schema(depth)),
-        lambda n, i: F.struct(
-            F.array(i).alias("path"), F.lit(None).cast("array<int>").alias("kept_parent"),
-            F.coalesce(n["title"], F.lit("")).alias("breadcrumb"), n.alias("n"),
-        ),
-    ))
-    for level in range(1, depth):
+    out = df.withColumn("_l0", first)
+    for level in range(1, levels):
         out = out.withColumn(f"_l{level}", F.flatten(F.transform(
-            F.filter(f"_l{level - 1}", lambda p: p["n"]["nodes"].isNotNull()),
-            lambda p: F.transform(
-                p["n"]["nodes"],
-                lambda c, i: F.struct(
-                    F.concat(p["path"], F.array(i)).alias("path"),
-                    F.when(is_wrapper(p["n"]["title"]), p["kept_parent"]).otherwise(p["path"]).alias("kept_parent"),
-                    F.concat(p["breadcrumb"], F.lit(" > "), F.coalesce(c["title"], F.lit(""))).alias("breadcrumb"),
-                    c.alias("n"),
-                ),
-            ),
+            F.filter(f"_l{level - 1}", lambda p: p["n"]["nodes"].isNotNull()), lambda p: _children(_placed(p), p["n"]["nodes"]),
         )))
-    lost = F.exists(f"_l{depth - 1}", lambda p: p["n"]["nodes"].isNotNull())
     flat = [
         F.transform(f"_l{k}", lambda p: F.struct(
             p["path"].alias("path"), p["kept_parent"].alias("kept_parent"), p["breadcrumb"].alias("breadcrumb"),
             p["n"]["title"].alias("title"), p["n"]["node_id"].alias("node_id"), p["n"]["text"].alias("text"),
-            p["n"]["page_index"].alias("page_index"),
+            p["n"]["page_index"].alias("page_index"), (p["n"]["nodes"] if k == levels - 1 else F.lit(None).cast("string")).alias("below"),
         ))
-        for k in range(depth)
+        for k in range(levels)
     ]
     nothing = F.array().cast(
-        "array<struct<path:array<int>,kept_parent:array<int>,breadcrumb:string,title:string,node_id:string,text:string,page_index:int>>"
+        "array<struct<path:array<int>,kept_parent:array<int>,breadcrumb:string,title:string,node_id:string,text:string,page_index:int,below:string>>"
     )
     every = F.concat(*[F.coalesce(a, nothing) for a in flat])
-    checked = F.when(F.coalesce(lost, F.lit(False)), F.raise_error(F.lit(f"tree deeper than {depth} levels"))).otherwise(every)
-    rows = out.withColumn("_nodes", checked).select(*others, F.explode_outer("_nodes").alias("_n"))
-    return rows.where(F.col("_n").isNotNull()).select(
-        *others, "_n.*", (F.size("_n.path") - 1).alias("depth"),
-        F.element_at("_n.path", -1).alias("ordinal"),
+    if last:
+        lost = F.exists(f"_l{levels - 1}", lambda p: p["n"]["nodes"].isNotNull())
+        every = F.when(F.coalesce(lost, F.lit(False)), F.raise_error(F.lit(f"tree deeper than {levels} levels"))).otherwise(every)
+    rows = out.withColumn("_nodes", every).select(*others, F.explode_outer("_nodes").alias("_n"))
+    return rows.where(F.col("_n").isNotNull())
+
+
+def flatten_tree(df: DataFrame, tree: str = "tree", depth: int | None = None) -> DataFrame:
+    """JSON trees to one row per node, with path, breadcrumb and the nearest ancestor that is not a wrapper.
+
+    The depth is not capped here: a pass descends LEVELS levels inside one row, without recursion or joins, and is materialized;
+    what lies deeper is descended from its nodes by the next pass, until nothing is left. With ``depth`` the trees are
+    declared to have no more levels: there is one pass, and a deeper tree raises an error instead of losing nodes.
+    """
+    others = [c for c in df.columns if c != tree]
+    levels = LEVELS if depth is None else depth
+    text = F.col(tree)
+    if depth is None:  # the reader would drop what nests deeper than it reads: only a text with so many brackets can, and is tried first
+        readable = F.size(F.from_json(tree, "array<struct<nodes:string>>", {"mode": "FAILFAST"})) >= 0
+        text = F.when(F.length(tree) - F.length(F.translate(tree, "[{", "")) < 1000, text).when(readable, text)
+    roots = F.transform(
+        F.from_json(text, tree_schema(levels)),
+        lambda n, i: F.struct(
+            F.array(i).alias("path"), F.lit(None).cast("array<int>").alias("kept_parent"),
+            F.coalesce(n["title"], F.lit("")).alias("breadcrumb"), n.alias("n"),
+        ),
+    )
+    found = _descend(df, roots, others, levels, last=depth is not None)
+    if depth is None:
+        passes = [materialize(found, "tree-levels")]
+        while not (deeper := passes[-1].where(F.col("_n.below").isNotNull())).isEmpty():
+            below = _children(F.col("_n"), F.from_json("_n.below", tree_schema(levels)))
+            passes.append(materialize(_descend(deeper, below, others, levels), "tree-levels"))
+        found = reduce(DataFrame.unionByName, passes)
+    return found.select(
+        *others, *[f"_n.{c}" for c in ("path", "kept_parent", "breadcrumb", "title", "node_id", "text", "page_index")],
+        (F.size("_n.path") - 1).alias("depth"), F.element_at("_n.path", -1).alias("ordinal"),
     )
 
 

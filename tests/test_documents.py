@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from docketlake.functions import entities as en, ids, query as fq, text as tx
@@ -25,6 +26,33 @@ def test_banner_tree_is_hoisted_and_deduplicated(spark):
     assert tr.tree_markdown(nodes.where("depth = 0")).collect()[0].markdown == "# Zimbabwe\n\nb\n\n"
 
 
+def test_deep_trees_keep_every_node(spark):
+    levels = 20
+    inner = '{"title": "leaf", "text": "last", "nodes": []}, {"title": "leaf", "node_id": "b", "page_index": 4}'
+    deep = "[" + "".join(f'{{"title": "{"Contents" if k == 7 else f"t{k}"}", "text": "x{k}", "nodes": [' for k in range(levels - 1)) + inner + "]}" * (levels - 1) + "]"
+    trees = [("deep", 1, deep), ("flat", 2, '[{"title": "a"}, {"title": "b", "nodes": [{"title": "c"}]}]'), ("none", 3, "[]"), ("null", 4, None)]
+    nodes = tr.flatten_tree(spark.createDataFrame(trees, "doc_id string, n int, tree string"))
+    assert nodes.columns == ["doc_id", "n", "path", "kept_parent", "breadcrumb", "title", "node_id", "text", "page_index", "depth", "ordinal"]
+    got = {(r.doc_id, *r.path): r for r in nodes.collect()}
+    assert set(got) == {("deep", *[0] * k) for k in range(1, levels + 1)} | {("deep", *[0] * (levels - 1), 1), ("flat", 0), ("flat", 1), ("flat", 1, 0)}
+    titles = ["Contents" if k == 7 else f"t{k}" for k in range(levels - 1)] + ["leaf"]
+    for k in range(levels):
+        r = got[("deep", *[0] * (k + 1))]
+        assert (r.title, r.depth, r.breadcrumb, r.n) == (titles[k], k, " > ".join(titles[: k + 1]), 1)
+        assert r.kept_parent == (None if k == 0 else [0] * (7 if k == 8 else k))
+    last = got[("deep", *[0] * (levels - 1), 1)]
+    assert (last.node_id, last.page_index, last.ordinal, last.text) == ("b", 4, 1, None)
+
+
+def test_trees_beyond_the_json_reader_are_refused(spark):
+    for n in (501, 700):
+        deep = "[" + '{"title": "t", "nodes": [' * (n - 1) + '{"title": "leaf"}' + "]}" * (n - 1) + "]"
+        with pytest.raises(Exception, match="(?i)malformed"):
+            tr.flatten_tree(spark.createDataFrame([("d", deep)], "doc_id string, tree string"))
+    wide = json.dumps([{"title": "t", "nodes": [{"title": str(k)} for k in range(1200)]}])
+    assert tr.flatten_tree(spark.createDataFrame([("d", wide)], "doc_id string, tree string")).count() == 1201
+
+
 def test_too_deep_trees_are_refused(spark):
     tree = [{"title": "a", "nodes": [{"title": "b", "nodes": [{"title": "c"}]}]}]
     df = spark.createDataFrame([("d", json.dumps(tree))], "doc_id string, tree string")
