@@ -200,3 +200,18 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     from docketlake.llm.mixing import mixture
 
     return mixture(table(spark, folder, "documents")).select("doc_id", "source", "n_tokens", "epoch", "start", "run_tokens")
+
+
+@query("op13_pair_index_bpe")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of the ids and of the text they decode to."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from docketlake.llm.bpe import encode
+
+    made = encode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"], decoded=True)
+    return made.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
