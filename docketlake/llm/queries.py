@@ -241,3 +241,10 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     from docketlake.llm.divergence import audit
 
     return audit(table(spark, folder, "documents"))
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from docketlake.llm.spelling import group_variants
+
+    return group_variants(table(spark, folder, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
