@@ -1,114 +1,137 @@
-"""Sparse index tables and batch BM25 search."""
+"""Stored sparse index and batch BM25 search with block-max pruning.
+
+Postings lie in blocks: one row per term and range of ``RANGE`` chunks, with the greatest gain that any chunk of the block gives.
+A search first adds up these maxima per query and range, scores the most promising ranges, and then scores only the ranges
+whose sum reaches the k-th score found so far. What is skipped cannot hold a hit, so results are exact.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from docketlake.constants import BM25_B, BM25_EPSILON, BM25_K1
 from docketlake.functions.text import legal_tokens
 from docketlake.operators.fusion import top_k
-from docketlake.session import materialize
+from docketlake.session import materialize, scratch
 
-BROADCAST_TERMS = 200_000  # query terms, about 20 MB
-NO_TERM = ""  # one row per chunk under this term carries the chunk's length
+#: Bits of a chunk number within its range, and of a range within its part; parts of a term lie in different buckets.
+RANGE_BITS, PART_BITS = 6, 12
+#: Postings of a bucket (a folder of the stored table), and how many buckets there are at least and at most.
+BUCKET_POSTINGS, MIN_BUCKETS, MAX_BUCKETS = 20_000_000, 16, 8192
+#: Ranges that a query scores first, at least.
+SEEDS = 4
+_BLOCKS = "term string, range long, n long, top double, posts array<struct<chunk_no: long, tf: int, dl: int>>, bucket int"
+_SLACK = 1e-5  # bounds and scores are sums in different orders, and scores are rounded to six digits
 
 
 @dataclass(frozen=True)
 class SparseIndex:
-    """postings(term, chunk_no, dl, tf) and the parameters; all statistics derive from postings.
+    """Tables of one stored index.
 
-    chunk_no is a number that holds within one stored index; chunk_id, doc_id and doc_type stand only
-    in the row of NO_TERM, so postings stay narrow and searches aggregate on numbers.
+    ``chunks``(chunk_no, chunk_id, doc_id, doc_type, dl), ``blocks``(bucket, term, range, n, top, posts of chunk_no, tf, dl),
+    ``terms``(term, df, idf, parts), ``corpus``(n_docs, n_tokens, avgdl, k1, b, buckets, built_at).
     """
 
-    postings: DataFrame
-    k1: float = BM25_K1
-    b: float = BM25_B
+    chunks: DataFrame
+    blocks: DataFrame
+    terms: DataFrame
+    corpus: DataFrame
+
+    @property
+    def postings(self) -> DataFrame:
+        """(term, chunk_no, tf, dl): one row per term of a chunk."""
+        return self.blocks.select("term", F.inline("posts"))
 
     def corpus_stats(self) -> DataFrame:
-        is_chunk = F.col("term") == NO_TERM
-        return self.postings.agg(
-            F.count(F.when(is_chunk, 1)).alias("n_docs"),
-            F.sum(F.when(is_chunk, F.col("dl"))).alias("n_tokens"),
-            F.avg(F.when(is_chunk, F.col("dl"))).alias("avgdl"),
-        )
+        return self.corpus.select("n_docs", "n_tokens", "avgdl")
 
     def term_stats(self) -> DataFrame:
-        """df and idf per term; idf below zero becomes a share of the mean idf."""
-        n = self.corpus_stats().select("n_docs").scalar()
-        per_term = self.postings.groupBy("term").agg(F.count("*").alias("df"))
-        raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        terms = per_term.withColumn("raw_idf", F.when(F.col("term") != NO_TERM, raw))
-        floor = terms.agg(F.avg("raw_idf") * BM25_EPSILON).scalar()
-        return terms.select(
-            "term", "df", F.when(F.col("raw_idf") < 0, floor).otherwise(F.col("raw_idf")).alias("idf")
-        ).where(F.col("idf").isNotNull())
+        """df and idf per term; idf below zero became a share of the mean idf."""
+        return self.terms.select("term", "df", "idf")
 
     def doc_stats(self) -> DataFrame:
-        return self.postings.where(F.col("term") == NO_TERM).select("chunk_no", "chunk_id", "doc_id", "doc_type", "dl")
-
-    def save(self, path: str) -> None:
-        """Postings first, then the statistics computed from what was written."""
-        self.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        saved = SparseIndex(self.postings.sparkSession.read.parquet(f"{path}/postings"), self.k1, self.b)
-        saved.term_stats().write.mode("overwrite").parquet(f"{path}/term_stats")
-        (
-            saved.corpus_stats()
-            .withColumn("k1", F.lit(self.k1)).withColumn("b", F.lit(self.b))
-            .withColumn("built_at", F.current_timestamp())
-            .write.mode("overwrite").parquet(f"{path}/corpus_stats")
-        )
+        return self.chunks.select("chunk_no", "chunk_id", "doc_id", "doc_type", "dl")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> "SavedIndex":
-        return SavedIndex(
-            spark.read.parquet(f"{path}/postings"),
-            terms=spark.read.parquet(f"{path}/term_stats"),
-            corpus=spark.read.parquet(f"{path}/corpus_stats"),
+    def load(spark: SparkSession, path: str) -> SparseIndex:
+        return SparseIndex(
+            spark.read.parquet(f"{path}/chunks"), spark.read.schema(_BLOCKS).parquet(f"{path}/blocks"),
+            spark.read.parquet(f"{path}/term_stats"), spark.read.parquet(f"{path}/corpus_stats"),
         )
 
 
-@dataclass(frozen=True)
-class SavedIndex(SparseIndex):
-    """Index whose statistics are read back instead of recomputed."""
+def _counted(chunks: DataFrame, tokens: Column) -> DataFrame:
+    """chunk_no, chunk_id, doc_id, doc_type, dl, terms, tfs: each chunk's distinct tokens and counts, without a shuffle."""
+    names = ["chunk_id", "doc_id", "doc_type"]
+    rows = chunks.select(F.monotonically_increasing_id().alias("chunk_no"), *names, F.coalesce(tokens, F.array().cast("array<string>")).alias("_toks"))
 
-    terms: DataFrame | None = None
-    corpus: DataFrame | None = None
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("_toks")
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+            coded = lists.flatten().dictionary_encode()
+            pairs = pa.table({"row": pc.list_parent_indices(lists), "term": coded.indices}).drop_null()
+            counts = pairs.group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")]).sort_by("row").combine_chunks()
+            at = pa.array(np.searchsorted(counts["row"].to_numpy(), np.arange(len(lists) + 1)).astype(np.int32))
+            terms = coded.dictionary.take(counts["term"].combine_chunks())
+            tfs = counts["count_all"].combine_chunks().cast(pa.int32())
+            own = [batch.column(k) for k in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(
+                [*own, pa.array(sizes), pa.ListArray.from_arrays(at, terms), pa.ListArray.from_arrays(at, tfs)], [*batch.schema.names[:-1], "dl", "terms", "tfs"]
+            )
 
-    def corpus_stats(self) -> DataFrame:
-        return self.corpus.select("n_docs", "n_tokens", "avgdl")
+    kept = [f for f in rows.schema if f.name != "_toks"]
+    new = [T.StructField("dl", T.IntegerType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))]
+    return rows.mapInArrow(run, T.StructType([*kept, *new]))
 
-    def term_stats(self) -> DataFrame:
-        return self.terms
 
+def _gain(k1: float, b: float, avgdl: float) -> Column:
+    """What one occurrence row adds to a score, before the term's weight."""
+    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
 
-def build_bm25(
-    chunks: DataFrame, tokens: str | None = None, k1: float = BM25_K1, b: float = BM25_B, store: bool = True
-) -> SparseIndex:
-    """``tokens`` names an array column made by another tokenizer; by default chunk_text is tokenized.
 
-    The postings are written once to the shared folder (``store``), because the statistics and
-    every search read them again.
+def build_bm25(chunks: DataFrame, tokens: str | None = None, k1: float = BM25_K1, b: float = BM25_B, path: str | None = None) -> SparseIndex:
+    """Write the index of ``chunks`` (chunk_id, doc_id, doc_type, chunk_text) to ``path``, by default to the shared scratch folder.
+
+    ``tokens`` names an array column made by another tokenizer; by default chunk_text is tokenized. Counting needs no shuffle;
+    the counted postings are shuffled once, to their bucket. Chunk numbers are fixed by the first table that is written.
     """
-    toks = F.col(tokens) if tokens else legal_tokens("chunk_text")
-    term = F.coalesce("_term", F.lit(NO_TERM))
-    # one shuffle of whole token lists; counting then needs none, and searches aggregate per chunk in place
-    rows = (
-        chunks.select("chunk_id", "doc_id", "doc_type", toks.alias("_toks")).repartition("chunk_id")
-        .withColumn("chunk_no", F.monotonically_increasing_id())
-        .select(
-            "chunk_id", "chunk_no", "doc_id", "doc_type", F.size("_toks").alias("dl"),
-            F.explode_outer(F.concat(F.array(F.lit(NO_TERM)), F.col("_toks"))).alias("_term"),
-        )
+    spark = chunks.sparkSession
+    path = path or scratch(spark, "index")
+    _counted(chunks, F.col(tokens) if tokens else legal_tokens("chunk_text")).write.mode("overwrite").parquet(f"{path}/chunks")
+    stored = spark.read.parquet(f"{path}/chunks")
+    total = stored.agg(F.count("*").alias("n"), F.sum("dl").cast("long").alias("tokens"), F.avg("dl").alias("avgdl"), F.sum(F.size("tfs")).alias("posts")).first()
+    buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, -(-(total["posts"] or 0) // BUCKET_POSTINGS)))
+    avgdl = total["avgdl"] or 1.0
+
+    rows = stored.select("chunk_no", "dl", F.inline_outer(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf")))).where(F.col("term").isNotNull())
+    rows = rows.withColumn("range", F.shiftright("chunk_no", RANGE_BITS)).withColumn("bucket", _bucket("term", F.shiftright("range", PART_BITS), buckets))
+    blocks = rows.repartitionById(buckets, F.col("bucket")).groupBy("bucket", "term", "range").agg(
+        F.count("*").alias("n"), F.max(_gain(k1, b, avgdl)).alias("top"), F.collect_list(F.struct("chunk_no", "tf", "dl")).alias("posts")
     )
-    counted = rows.groupBy("chunk_id", "chunk_no", "doc_id", "doc_type", "dl", term.alias("term")).agg(F.count("*").alias("tf"))
-    chunk_row = F.col("term") == NO_TERM
-    postings = counted.select(
-        "term", "chunk_no", "dl", "tf", *[F.when(chunk_row, F.col(c)).alias(c) for c in ("chunk_id", "doc_id", "doc_type")]
+    blocks.sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+
+    counted = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").groupBy("term").agg(
+        F.sum("n").alias("df"), F.collect_set(F.shiftright("range", PART_BITS)).alias("parts")
     )
-    return SparseIndex(materialize(postings, "postings") if store else postings, k1, b)
+    raw = F.log(total["n"] - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    counted.withColumn("raw_idf", raw).write.mode("overwrite").parquet(f"{path}/term_counts")
+    terms = spark.read.parquet(f"{path}/term_counts")
+    floor = terms.agg(F.avg("raw_idf") * BM25_EPSILON).scalar()
+    terms.select("term", "df", F.when(F.col("raw_idf") < 0, floor).otherwise(F.col("raw_idf")).alias("idf"), "parts").write.mode("overwrite").parquet(f"{path}/term_stats")
+    facts = [(total["n"], total["tokens"] or 0, total["avgdl"], k1, b, buckets)]
+    corpus = spark.createDataFrame(facts, "n_docs long, n_tokens long, avgdl double, k1 double, b double, buckets int")
+    corpus.withColumn("built_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+    return SparseIndex.load(spark, path)
+
+
+def _bucket(term: str, part: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term, part), F.lit(buckets)).cast("int")
 
 
 def query_terms(queries: DataFrame, text: str = "query", tokens: str | None = None) -> DataFrame:
@@ -118,36 +141,39 @@ def query_terms(queries: DataFrame, text: str = "query", tokens: str | None = No
     return rows.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25_search(
-    index: SparseIndex, queries: DataFrame, k: int = 50, text: str = "query", tokens: str | None = None, salts: int = 8
-) -> DataFrame:
+def bm25_search(index: SparseIndex, queries: DataFrame, k: int = 50, text: str = "query", tokens: str | None = None, seeds: int = SEEDS) -> DataFrame:
     """Top chunks per query with score above zero; scores are rounded before ranking, ties go to chunk_id.
 
-    Up to a counted number of query terms the query side is broadcast and the postings stay where they
-    are. Beyond it both sides are shuffled, with the query side repeated over ``salts`` so that one
-    frequent term never lands in one task. Document columns are joined for the survivors only.
+    Query terms meet blocks by bucket, term and part of the chunk numbers, so the blocks of a frequent term spread over tasks and
+    only the folders of the query terms are read. Posting lists are read for the ranges that may hold one of the k best.
     """
-    avgdl = index.corpus_stats().select("avgdl").scalar()
-    terms = query_terms(queries, text, tokens)
-    wanted = terms.join(index.term_stats(), "term").select("query_id", "term", (F.col("idf") * F.col("qtf")).alias("weight"))
-    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        hits = index.postings.join(F.broadcast(wanted), "term")
-    else:
-        spread_terms = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = index.postings.withColumn("salt", F.pmod(F.xxhash64("chunk_no"), F.lit(salts)).cast("int"))
-        hits = salted.join(spread_terms, ["term", "salt"])
-    k1, b = F.lit(index.k1), F.lit(index.b)
-    gain = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = (
-        hits.withColumn("avgdl", avgdl)
-        .withColumn("gain", gain)
-        .groupBy("query_id", "chunk_no")
-        .agg(F.round(F.sum("gain"), 6).alias("score"))
-        .where(F.col("score") > 0)
+    facts = index.corpus.select("avgdl", "k1", "b", "buckets").first()
+    terms = query_terms(queries, text, tokens).join(index.terms, "term")
+    wanted = terms.select("query_id", "term", (F.col("idf") * F.col("qtf")).alias("weight"), F.explode("parts").alias("part"))
+    wanted = materialize(wanted.withColumn("bucket", _bucket("term", F.col("part"), facts["buckets"])), "query-terms")
+    met = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]  # at most MAX_BUCKETS numbers
+    blocks = index.blocks.where(F.col("bucket").isin(met)).withColumn("part", F.shiftright("range", PART_BITS))
+
+    most = F.greatest(F.col("weight") * F.col("top"), F.lit(0.0))  # a term of negative weight adds nothing where it is absent
+    bounds = materialize(
+        wanted.join(blocks.select("bucket", "term", "part", "range", "top"), ["bucket", "term", "part"])
+        .groupBy("query_id", "range").agg(F.sum(most).alias("bound")), "range-bounds"
     )
+    gain = F.col("weight") * _gain(facts["k1"], facts["b"], facts["avgdl"] or 1.0)
+
+    def scored(ranges: DataFrame) -> DataFrame:
+        """(query_id, chunk_no, score) of all chunks in the ranges (query_id, range)."""
+        asked = ranges.select("query_id", "range", F.shiftright("range", PART_BITS).alias("part")).join(wanted, ["query_id", "part"])
+        posts = asked.join(blocks.select("bucket", "term", "range", "posts"), ["bucket", "term", "range"])
+        rows = posts.select("query_id", "weight", F.inline("posts")).withColumn("gain", gain)
+        return rows.groupBy("query_id", "chunk_no").agg(F.round(F.sum("gain"), 6).alias("score")).where(F.col("score") > 0)
+
+    first = top_k(bounds, max(seeds, -(-seeds * k >> RANGE_BITS)), ["query_id"], [F.desc("bound"), F.asc("range")])
+    least = top_k(scored(first), k, ["query_id"], [F.desc("score")]).where(F.col("rank") == k).select("query_id", F.col("score").alias("_least"))
+    able = bounds.join(least, "query_id", "left").where(F.col("_least").isNull() | (F.col("bound") >= F.col("_least") - _SLACK))
     # ties at the edge stay in until chunk_id can break them
     edge = F.rank().over(W.partitionBy("query_id").orderBy(F.desc("score")))
-    leading = scored.withColumn("_edge", edge).where(F.col("_edge") <= k).drop("_edge")
+    leading = scored(able).withColumn("_edge", edge).where(F.col("_edge") <= k).drop("_edge")
     named = leading.join(index.doc_stats().drop("dl"), "chunk_no").drop("chunk_no")
     ranked = top_k(named, k, ["query_id"], [F.desc("score"), F.asc("chunk_id")])
     return ranked.withColumn("source", F.lit("bm25")).withColumn("confidence", F.least("score", F.lit(1.0)))

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docketlake.constants import (
     AUTHORITY_TAGS,
+    COMPLEXITY,
     CONTEXT_CHARS_PER_DOC,
     CONTEXT_TOKENS,
     CONTEXT_TOKENS_PER_DOC,
     DEFAULT_AUTHORITY_TAG,
     MIN_RERANK_SCORE,
     RERANK_TEXT_CHARS,
+    RRF_C,
     SENTENCE_WORDS,
 )
 from docketlake.functions.query import reformulations
@@ -26,20 +28,31 @@ from docketlake.operators.fusion import (
     top_k,
     union_branches,
 )
+from docketlake.operators.reduction import only_asked
 from docketlake.operators.vectors import embed, vector_search
+from docketlake.session import materialize
 
 
 def populate_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunk text by id, joined after the hits are selected."""
-    return hits.join(chunks.select("chunk_id", "chunk_text"), "chunk_id", "left")
+    """Chunk text by id, joined after the hits are selected.
+
+    The hits are written once; their ids then thin out the chunks before a text is shuffled.
+    """
+    hits = hits if hasattr(hits, "scratch_path") else materialize(hits, "hits")
+    texts = only_asked(chunks.select("chunk_id", "chunk_text"), hits.select("chunk_id"), "chunk_id")
+    return hits.join(texts, "chunk_id", "left")
 
 
-def expand_to_parents(hits: DataFrame, parents: DataFrame, clamp: bool = False) -> DataFrame:
+def expand_to_parents(hits: DataFrame, parents: DataFrame, clamp: bool = False, asked: DataFrame | None = None) -> DataFrame:
     """Replace chunk text by the parent's text; a hit without parent keeps its own.
 
-    ``parents``: doc_id, text, title, chapter, canonical_citation. ``clamp`` lifts confidence to [0.7, 1].
+    ``parents``: doc_id, text, title, chapter, canonical_citation. ``clamp`` lifts confidence to [0.7, 1]. ``asked`` is a narrow
+    table with at least the doc_ids of the hits, by which the parents are thinned out before a text is shuffled; without it
+    the hits are written first.
     """
-    p = parents.select(
+    if asked is None:
+        hits = asked = hits if hasattr(hits, "scratch_path") else materialize(hits, "hits")
+    p = only_asked(parents, asked.select("doc_id"), "doc_id").select(
         "doc_id",
         F.col("text").alias("_parent_text"),
         F.col("title"), F.col("chapter"), F.col("canonical_citation"),
@@ -139,9 +152,8 @@ def rerank(hits: DataFrame, scorer=token_overlap, text: str = "chunk_text", comp
         .withColumn("confidence", F.col("score"))
     )
     target = complexity_value("keep", complexity)
-    ranked = scored.withColumn(
-        "rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id")))
-    ).where(F.col("rank") <= target * 2)
+    most = 2 * max(row[2] for row in COMPLEXITY)
+    ranked = top_k(scored, most, ["query_id"], [F.desc("score"), F.asc("chunk_id")]).where(F.col("rank") <= target * 2)
     good = ranked.where(F.col("score") >= MIN_RERANK_SCORE)
     return diversify(good, target)
 
@@ -167,30 +179,63 @@ def multi_variant_search(
     return hits.withColumnRenamed("query_id", "_key").join(keyed.drop("variant"), "_key").drop("_key")
 
 
+_HIT = ["query_id", "chunk_id", "doc_id", "doc_type", "score"]
+
+
+def branch_hits(
+    hits: DataFrame, queries: DataFrame, chunks: DataFrame, doc_types: list[str] | None = None, min_score: float | None = None,
+    as_of: str | None = None,
+) -> DataFrame:
+    """Hits of one search (query_id, chunk_id, doc_id, doc_type, score) that may be fused, limited per complexity, with ``rank``.
+
+    ``doc_types`` keeps these types; ``min_score`` drops hits of less confidence (score, at most 1); ``as_of`` (ISO date) drops chunks
+    whose date_context lies after it, undated ones stay.
+    """
+    if doc_types is not None:
+        hits = hits.where(F.col("doc_type").isin(doc_types))
+    if min_score is not None:
+        hits = hits.where(F.least("score", F.lit(1.0)) >= min_score)
+    if as_of is not None:
+        late = chunks.where(F.to_date("date_context") > F.lit(as_of).cast("date")).select("chunk_id")
+        hits = hits.join(late, "chunk_id", "left_anti")
+    return adaptive_top_k(hits.select(*_HIT).join(queries.select("query_id", "complexity"), "query_id"), "retrieve")
+
+
+def limit_per_document(fused: DataFrame, limit: int) -> DataFrame:
+    """The best ``limit`` hits of each document and query; ties go to the smaller chunk_id."""
+    return top_k(fused, limit, ["query_id", "doc_id"], [F.desc("score"), F.asc("chunk_id")], "_within").drop("_within")
+
+
 def hybrid_search(
-    queries: DataFrame, sparse: SparseIndex, dense_hits: DataFrame, chunks: DataFrame, parents: DataFrame,
-    fusion: str = "rrf", scorer=token_overlap,
+    queries: DataFrame, sparse: SparseIndex | DataFrame, dense_hits: DataFrame, chunks: DataFrame, parents: DataFrame,
+    fusion: str = "rrf", scorer=token_overlap, doc_types: list[str] | None = None, min_score: float | None = None,
+    as_of: str | None = None, max_per_doc: int | None = None, rrf_k: int = RRF_C,
 ) -> DataFrame:
     """queries(query_id, query, complexity) to a context bundle per query.
 
-    Sparse and dense hits are limited per complexity, fused ("rrf" or "max"), given their text,
-    reranked, expanded to parents and cut to the context budget. Texts are joined only for survivors.
+    Sparse and dense hits are limited per complexity, fused ("rrf" with its constant ``rrf_k``, or "max"), given their text,
+    reranked, expanded to parents and cut to the context budget. Texts are joined only for survivors. ``sparse`` is an index
+    or the hits of any other search; dense hits may name a query several times, once for each variant of it, of which the
+    best counts. ``doc_types``, ``min_score`` and ``as_of`` filter the hits of both searches before they are limited;
+    ``max_per_doc`` limits the fused hits of a document.
     """
-    levels = queries.select("query_id", "complexity")
-    lexical = bm25_search(sparse, queries, 50).join(levels, "query_id").drop("rank", "source")
-    dense = dense_hits.join(levels, "query_id").select("query_id", "chunk_id", "doc_id", "doc_type", "score", "complexity")
-    lexical = adaptive_top_k(lexical.select(*dense.columns), "retrieve")
-    dense = adaptive_top_k(dense, "retrieve")
-    both = union_branches(bm25=lexical, dense=dense)
-    facts = both.groupBy("query_id", "chunk_id").agg(F.first("doc_id").alias("doc_id"), F.first("doc_type").alias("doc_type"))
+    lexical = bm25_search(sparse, queries, 50) if isinstance(sparse, SparseIndex) else sparse
+    options = (queries, chunks, doc_types, min_score, as_of)
+    dense = merge_best(dense_hits.select(*_HIT))
+    both = union_branches(bm25=branch_hits(lexical, *options), dense=branch_hits(dense, *options))
+    facts = both.groupBy("query_id", "chunk_id").agg(F.min("doc_id").alias("doc_id"), F.min("doc_type").alias("doc_type"))
     if fusion == "max":
-        fused = merge_best(both.withColumn("score", F.least("score", F.lit(1.0)))).select("query_id", "chunk_id", "score", "source")
+        best = both.withColumn("score", F.least("score", F.lit(1.0)))
+        fused = merge_best(best, arrival=[(F.col("source") == "dense").cast("int")]).select("query_id", "chunk_id", "score", "source")
     else:
-        fused = rank_fusion(both, rank="rank").withColumnRenamed("sources", "source")
-    candidates = fused.join(facts, ["query_id", "chunk_id"]).join(queries.select("query_id", "query", "complexity"), "query_id")
+        fused = rank_fusion(both, c=rrf_k, rank="rank").withColumnRenamed("sources", "source")
+    candidates = fused.join(facts, ["query_id", "chunk_id"])
+    if max_per_doc is not None:
+        candidates = limit_per_document(candidates, max_per_doc)
+    candidates = materialize(candidates.join(queries.select("query_id", "query", "complexity"), "query_id"), "candidates")
     ranked = rerank(populate_text(candidates, chunks), scorer)
     ranked = ranked.drop("rank").withColumnRenamed("position", "rank")
-    expanded = expand_to_parents(ranked, parents)
+    expanded = expand_to_parents(ranked, parents, asked=candidates)
     return within_context_budget(
         expanded.withColumn("_body", F.when(F.col("expanded_to_parent"), F.col("chunk_text"))), "_body"
     )

@@ -106,7 +106,7 @@ chunks AS (SELECT doc_id, lang, source, {DOC_TYPE_SQL} AS doc_type, start_char,
 
 def chunks(t) -> DataFrame:
     """Documents cut into chunks with ids; the language stands in for the document type."""
-    docs = t.documents.select("doc_id", "lang", "source", "text")
+    docs = t.dealt("documents", "doc_id").select("doc_id", "lang", "source", "text")
     cut = chunk_text(docs).withColumn("section_path", F.lit("Body"))
     return with_chunk_ids(cut).withColumn("doc_type", doc_type_of_lang())
 

@@ -91,7 +91,7 @@ def f32(t):
 def f33(t):
     text = F.when(F.col("o_orderstatus") == "O", "The Act says so, the Constitution too").otherwise("The Constitution and the Act")
     cites = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "").otherwise(" (Source: Act 1)")
-    rows = t.orders.select(F.col("o_orderkey").alias("query_id"), F.concat(text, cites).alias("answer"),
+    rows = t.dealt("orders", "o_orderkey").select(F.col("o_orderkey").alias("query_id"), F.concat(text, cites).alias("answer"),
                            F.array(F.lit("constitution"), F.lit("act")).alias("kinds"))
     return rows.withColumns(qu.hierarchy_check("answer", "kinds")).select(
         "query_id", "hierarchy_passed", "hierarchy_confidence", F.size("hierarchy_issues").alias("issues"))
@@ -106,12 +106,12 @@ sents AS (SELECT doc_id, pos, sentence, n, CASE WHEN n BETWEEN 5 AND 25 THEN 2 W
 
 @query("f31_sentence_scores", f"WITH {SENT_CTE} SELECT doc_id, pos, score AS sentence_score FROM sents")
 def f31(t):
-    return rt.sentence_rows(t.documents, "text", ["doc_id"]).select("doc_id", "pos", "sentence_score")
+    return rt.sentence_rows(t.dealt("documents", "doc_id"), "text", ["doc_id"]).select("doc_id", "pos", "sentence_score")
 
 
 @query("t5_key_sentences", f"""WITH {SENT_CTE} SELECT doc_id, r AS sentence_rank, md5(sentence) AS sentence_md5 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS r FROM sents) WHERE r <= 3""")
 def t5(t):
-    return rt.key_sentences(t.documents, "text", ["doc_id"]).select("doc_id", "sentence_rank", F.md5("sentence").alias("sentence_md5"))
+    return rt.key_sentences(t.dealt("documents", "doc_id"), "text", ["doc_id"]).select("doc_id", "sentence_rank", F.md5("sentence").alias("sentence_md5"))
 
 
 @query(
@@ -167,7 +167,7 @@ def p19(t):
 )
 def p18s(t):
     one, none = F.array(F.lit("x")), F.array().cast("array<string>")
-    rows = t.documents.select(
+    rows = t.dealt("documents", "doc_id").select(
         F.col("doc_id").alias("query_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("tldr"), F.when(F.col("lang") == "de", none).otherwise(one).alias("key_points"),
         F.when(F.col("lang") == "fr", none).otherwise(one).alias("citations"), (F.col("n_chars") / 3000).alias("confidence"))
     return qu.synthesis_checks(rows).withColumn("warnings", F.array_join("warnings", "; "))

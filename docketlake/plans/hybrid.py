@@ -181,7 +181,7 @@ def f28(t):
 )
 def d5(t):
     c = chunks(t).withColumn("tokens", tx.words(F.lower("chunk_text")))
-    p = build_bm25(c, tokens="tokens", store=False).postings.where(F.col("term") != "")
+    p = build_bm25(c, tokens="tokens").postings
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 

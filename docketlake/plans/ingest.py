@@ -19,7 +19,7 @@ BODY_CTE = f"{LINES_CTE}, body AS (SELECT doc_id, i, {sql_normalize('line')} AS
 
 
 def documents(t):
-    return t.documents.select("doc_id", "lang", "source", "text")
+    return t.dealt("documents", "doc_id").select("doc_id", "lang", "source", "text")
 
 
 def lines(t):
@@ -49,7 +49,7 @@ def p5(t):
 @query("p6_oversize_split", """SELECT 'rejected' AS part, count(*) AS n, sum(n_chars // 4)::BIGINT AS tokens, max(left(source, 50)) AS title FROM documents WHERE n_chars // 4 > 1000
     UNION ALL SELECT 'usable', count(*), sum(n_chars // 4)::BIGINT, max(source) FROM documents WHERE n_chars // 4 <= 1000""")
 def p6(t):
-    rows = t.documents.select(
+    rows = t.dealt("documents", "doc_id").select(
         F.col("doc_id").alias("chunk_id"), F.floor(F.col("n_chars") / 4).alias("num_tokens"), F.col("source").alias("title"))
     usable, rejected = ch.split_by_size(rows, 1000)
 
@@ -83,7 +83,7 @@ ROUTE_SQL = """SELECT doc_id, CASE WHEN kind IN ('act', 'si', 'ordinance', 'cons
 @query("p2_class_routing", ROUTE_SQL)
 def p2(t):
     lang = F.col("lang")
-    docs = t.documents.select(
+    docs = t.dealt("documents", "doc_id").select(
         "doc_id", F.when(lang == "en", "Act").when(lang == "de", "legislation").when(lang == "fr", "constitution").otherwise("judgment").alias("doc_type"),
         F.when(F.col("source") == "src1", "Statutory Instrument").alias("nature"))
     return ch.route_by_class(docs).select("doc_id", "doc_class", "routed_type")
@@ -418,7 +418,7 @@ def legal_chunks(t):
         F.lit("On "), F.date_format(d, "dd/MM/yyyy"), F.lit(" the Supreme Court of Zimbabwe per MOYO J applied section "), key,
         F.lit("A of the Labour Act [Chapter 28:01] in Shumba v Ncube, [2025] ZWSC "), F.col("o_orderkey").cast("string"), F.lit(". Heard "),
         F.date_format(d, "d MMMM yyyy"), F.lit(", see 1998 (2) ZLR "), key, F.lit(" and Justice Bere; "), F.col("o_orderpriority"))
-    return t.orders.select(F.col("o_orderkey").alias("chunk_id"), text.alias("chunk_text"))
+    return t.dealt("orders", "o_orderkey").select(F.col("o_orderkey").alias("chunk_id"), text.alias("chunk_text"))
 
 
 ENTITY_TYPES = ["dates", "statute_refs", "case_refs", "courts", "judges", "parties"]
@@ -486,7 +486,7 @@ def p10(t):
     CASE o_orderstatus WHEN 'O' THEN CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 2 END WHEN 'F' THEN 3 ELSE 2 END AS hierarchy_rank, CASE o_orderstatus WHEN 'O' THEN 'all_courts' WHEN 'F' THEN 'persuasive' ELSE 'national' END AS binding_scope FROM orders""")
 def p11(t):
     st = F.col("o_orderstatus")
-    docs = t.orders.select(
+    docs = t.dealt("orders", "o_orderkey").select(
         F.col("o_orderkey").alias("doc_id"), F.when(st == "P", "act").otherwise("judgment").alias("doc_type"),
         F.when(st == "F", "Labour Court of Zimbabwe").when(F.col("o_custkey") % 2 == 0, "Constitutional Court of Zimbabwe").otherwise("Supreme Court of Zimbabwe").alias("court"))
     return docs.withColumns(md.parse_hierarchy(F.col("doc_type"), F.col("court"))).drop("doc_type", "court")
@@ -499,7 +499,7 @@ INSTR_CTE = """ins AS (SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'O'
 def instruments(t):
     st, pr = F.col("o_orderstatus"), F.col("o_orderpriority")
     key = F.col("o_custkey").cast("string")
-    return t.orders.select(
+    return t.dealt("orders", "o_orderkey").select(
         F.col("o_orderkey").alias("doc_id"), F.when(st == "O", "si").when(st == "F", "ordinance").otherwise("act").alias("doc_type"),
         F.when(st == "O", F.concat(F.lit("x/akn_zw_act_si_2024_"), key, F.lit("_eng_2024-11-15.pdf")))
         .otherwise(F.concat(F.lit("x/akn_zw_act_ord_1900_"), key, F.lit("_eng_2016-12-31.pdf"))).alias("pdf_key"),
@@ -521,7 +521,7 @@ def p12(t):
 @query("j3_propagate_metadata", """SELECT l_orderkey AS doc_id, l_linenumber, CASE WHEN l_linenumber = 1 THEN 1999 ELSE coalesce(year(o_orderdate), 0) END AS year, CASE WHEN o_orderstatus = 'O' THEN '2001-01-01' ELSE '2016-12-31' END AS date_context,
     o_orderpriority AS nature, 'T' || l_orderkey AS title, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""")
 def j3(t):
-    docs = t.orders.select(
+    docs = t.dealt("orders", "o_orderkey").select(
         F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("year"), F.year("o_orderdate").alias("act_year"),
         F.when(F.col("o_orderstatus") == "O", "2001-01-01").otherwise("").alias("date_context"), F.lit("2016-12-31").alias("version_date"),
         F.col("o_orderpriority").alias("nature"), F.concat(F.lit("T"), F.col("o_orderkey")).alias("title"),
@@ -554,7 +554,7 @@ F18_SQL = """SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'O' THEN 'act'
 def f18(t):
     st = F.col("o_orderstatus")
     key = F.col("o_custkey").cast("string")
-    docs = t.orders.select(
+    docs = t.dealt("orders", "o_orderkey").select(
         F.col("o_orderkey").alias("doc_id"),
         F.when(st == "O", F.concat(F.lit("corpus/sources/legislation/acts/akn_zw_act_2001_"), key, F.lit("_eng_2016-12-31.pdf")))
         .when(st == "F", F.lit("misc/scan_17.pdf")).otherwise(F.lit("corpus/sources/legislation/constitution/doc_1.pdf")).alias("key"),
@@ -568,7 +568,7 @@ def f18(t):
 @query("f18_judgment_metadata", """SELECT o_orderkey AS doc_id, 'judgment' AS doc_type, 'Petro Line V Hova' AS title, '[2025] ZWSC ' || o_custkey AS citation, CASE o_orderstatus WHEN 'O' THEN 'Supreme Court of Zimbabwe' ELSE 'Supreme Court of Zimbabwe' END AS court,
     'Petro Line V Hova [2025] ZWSC ' || o_custkey || ' (2025-07-30)' AS canonical_citation, 2 AS hierarchy_rank FROM orders""")
 def f18j(t):
-    docs = t.orders.select(
+    docs = t.dealt("orders", "o_orderkey").select(
         F.col("o_orderkey").alias("doc_id"),
         F.concat(F.lit("corpus/sources/judgements/zwsc_2025_"), F.col("o_custkey"), F.lit("_eng_2025-07-30_petro_line_v_hova_abcdef12.pdf")).alias("key"), F.lit("").alias("markdown"))
     return md.document_metadata(docs, judgments=True).select("doc_id", "doc_type", "title", "citation", "court", "canonical_citation", "hierarchy_rank")

@@ -18,6 +18,10 @@ class Tables:
     spark: SparkSession
     folder: str
 
+    def dealt(self, name: str, key: str) -> DataFrame:
+        """A table whose rows are dealt out by a key, ahead of heavy work on its texts: a small file is one partition."""
+        return getattr(self, name).repartition(key)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

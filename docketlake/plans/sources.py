@@ -105,7 +105,7 @@ def s10(t):
 
 def saved_index(t):
     path = scratch(t.spark, "index")
-    build_bm25(chunks(t), store=False).save(path)
+    build_bm25(chunks(t), path=path)
     return path
 
 

@@ -17,7 +17,7 @@ from docketlake.plans.registry import query
     floor(len({sql_words('text')}) / 0.75)::BIGINT AS by_ratio FROM documents""",
 )
 def f1(t):
-    return t.documents.select(
+    return t.dealt("documents", "doc_id").select(
         "doc_id",
         tx.estimate_tokens("text").alias("by_chars"),
         F.round(tx.estimate_tokens("text", "words"), 4).alias("by_words"),
@@ -27,7 +27,7 @@ def f1(t):
 
 @query("f2_normalize_text", f"SELECT doc_id, md5({sql_normalize('text')}) AS text_md5 FROM documents")
 def f2(t):
-    return t.documents.select("doc_id", F.md5(tx.normalize_text("text")).alias("text_md5"))
+    return t.dealt("documents", "doc_id").select("doc_id", F.md5(tx.normalize_text("text")).alias("text_md5"))
 
 
 NORM_Q = sql_strip(rf"regexp_replace({sql_collapse(sql_strip('lower(text)'))}, '[^\p{{L}}\p{{N}}_\s\p{{Z}}\-.]', ' ', 'g')")
@@ -49,7 +49,7 @@ def f3(t):
     FROM (SELECT doc_id, {sql_tokens('text')} AS ts FROM documents)""",
 )
 def f4(t):
-    d = t.documents.select("doc_id", tx.legal_tokens("text").alias("ts"))
+    d = t.dealt("documents", "doc_id").select("doc_id", tx.legal_tokens("text").alias("ts"))
     return d.select(
         "doc_id", F.size("ts").alias("n_tokens"), F.size(F.array_distinct("ts")).alias("n_terms"),
         F.size(F.slice("ts", 1, 200)).alias("n_capped"), F.md5(F.array_join("ts", " ")).alias("tokens_md5"),
@@ -133,7 +133,7 @@ def f36(t):
       lambda x: regexp_matches(x, '(?i)^(Supreme Court Rules|High Court Rules|[A-Z][A-Za-z\s]+Rules|Statutory Instrument|[A-Z][A-Za-z\s]+Act)'))[1], 'none') AS title FROM documents""",
 )
 def f38(t):
-    return t.documents.select("doc_id", tx.rule_title("text", "none").alias("title"))
+    return t.dealt("documents", "doc_id").select("doc_id", tx.rule_title("text", "none").alias("title"))
 
 
 @query("f39_answer_tokens", """SELECT query_id, CASE complexity WHEN 'simple' THEN 800 WHEN 'moderate' THEN 2500 WHEN 'complex' THEN 5000 WHEN 'expert' THEN 8000 ELSE 2500 END AS answer_tokens,
@@ -146,7 +146,7 @@ def f39(t):
         F.when(p == "1-URGENT", "simple").when(p == "2-HIGH", "moderate").when(p == "3-MEDIUM", "complex")
         .when(p == "5-LOW", "expert").otherwise("other")
     )
-    return t.orders.select(
+    return t.dealt("orders", "o_orderkey").select(
         F.col("o_orderkey").alias("query_id"),
         complexity_value("answer_tokens", level).alias("answer_tokens"), complexity_value("ttl", level).alias("ttl"),
     )
@@ -183,7 +183,7 @@ def questions(t):
                    .when(status == "F", F.concat(F.lit("number "), key, F.lit(" s 12C chapter 7:11")))
                    .otherwise(F.concat(F.lit("unclear status "), key)))
     )
-    return t.orders.select(F.col("o_orderkey").alias("query_id"), text.alias("query"), "o_orderstatus")
+    return t.dealt("orders", "o_orderkey").select(F.col("o_orderkey").alias("query_id"), text.alias("query"), "o_orderstatus")
 
 
 DATE_RE = r"(?i)\b(?:as\s+(?:at|of)|on|before|after)\s+(\d{4}[-/]\d{1,2}[-/]\d{1,2})\b"

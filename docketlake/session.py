@@ -20,7 +20,6 @@ def build_session(app: str = "docketlake", cores: str | None = None) -> SparkSes
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cores)
-        .config("spark.sql.files.maxPartitionBytes", "2m")  # small test files still feed every core
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")

@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 from collections import Counter
 
 import numpy as np
@@ -37,9 +38,9 @@ def brute(k1=1.5, b=0.75):
     return out
 
 
-@pytest.mark.parametrize("bound", [bm25.BROADCAST_TERMS, 0])
-def test_bm25_equals_brute_force(spark, monkeypatch, bound):
-    monkeypatch.setattr(bm25, "BROADCAST_TERMS", bound)
+@pytest.mark.parametrize("bits", [0, 1, 6])
+def test_bm25_equals_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(bm25, "RANGE_BITS", bits)
     chunks = spark.createDataFrame([(c, "d" + c, "act", t) for c, t in CORPUS.items()], "chunk_id string, doc_id string, doc_type string, chunk_text string")
     queries = spark.createDataFrame(list(QUERIES.items()), "query_id string, query string")
     hits = bm25.bm25_search(bm25.build_bm25(chunks), queries, 10).collect()
@@ -54,7 +55,7 @@ def test_index_round_trip_and_ties(spark, tmp_path):
     chunks = spark.createDataFrame([(f"c{i}", "d", "act", "same words again") for i in range(9)] + [("z", "d", "act", "other thing")],
                                    "chunk_id string, doc_id string, doc_type string, chunk_text string")
     queries = spark.createDataFrame([("q", "other"), ("r", "thing other")], "query_id string, query string")
-    bm25.build_bm25(chunks, store=False).save(str(tmp_path))
+    bm25.build_bm25(chunks, path=str(tmp_path))
     saved = bm25.SparseIndex.load(spark, str(tmp_path))
     assert {h.chunk_id for h in bm25.bm25_search(saved, queries, 3).collect()} == {"z"}
     more = spark.createDataFrame([("q", "same")], "query_id string, query string")
@@ -63,6 +64,46 @@ def test_index_round_trip_and_ties(spark, tmp_path):
     assert [h.chunk_id for h in bm25.bm25_search(bm25.build_bm25(two), more, 2).orderBy("rank").collect()] == ["c0", "c1"]
 
 
+def test_pruned_search_equals_search_of_all_ranges(spark, monkeypatch):
+    """Frequent words in every range, rare ones in few: pruning skips ranges and loses nothing, also at ties and for weights below zero."""
+    monkeypatch.setattr(bm25, "RANGE_BITS", 2)
+    monkeypatch.setattr(bm25, "PART_BITS", 3)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(["hot"] * (i % 3) + ["half"] * (i % 2) + [f"w{x}" for x in rng.zipf(1.4, rng.integers(1, 30)) if x < 400]) for i in range(900)]
+    rows = [(f"c{i:04d}", f"d{i // 7}", "act", t) for i, t in enumerate(texts)] + [("none", "d", "act", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id string, doc_type string, chunk_text string").repartition(5)
+    queries = spark.createDataFrame([(f"q{i}", " ".join(rng.choice(["hot", "half", *(f"w{x}" for x in range(1, 60))], 6))) for i in range(25)] + [("empty", ""), ("null", None)], "query_id string, query string")
+    index = bm25.build_bm25(chunks)
+    n_docs, *_ = index.corpus_stats().first()
+    assert n_docs == 901 and index.blocks.select("bucket").distinct().count() > 8
+    pruned = {(h.query_id, h.rank): (h.chunk_id, h.score) for h in bm25.bm25_search(index, queries, 7).collect()}
+    every = {(h.query_id, h.rank): (h.chunk_id, h.score) for h in bm25.bm25_search(index, queries, 7, seeds=900).collect()}
+    assert pruned == every and len({q for q, _ in pruned}) == 25
+    idf = {r.term: r.idf for r in index.term_stats().collect()}
+    avgdl, want = index.corpus_stats().first()["avgdl"], {}
+    docs = [(c, Counter(w for w in (t or "").split() if len(w) > 1)) for c, _, _, t in rows]
+    for q in queries.collect():
+        asked = [w for w in (q.query or "").split() if len(w) > 1 and w in idf]
+        scores = [(round(sum(idf[w] * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * tf.total() / avgdl)) for w in asked), 6), c) for c, tf in docs]
+        for r, (s, c) in enumerate(sorted(((s, c) for s, c in scores if s > 0), key=lambda x: (-x[0], x[1]))[:7], 1):
+            want[q.query_id, r] = (c, s)
+    assert {k: v[0] for k, v in pruned.items()} == {k: v[0] for k, v in want.items()} and all(abs(pruned[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+def test_search_reads_the_folders_of_the_query_terms(spark):
+    chunks = spark.createDataFrame([(f"c{i}", "d", "act", f"word{i} other{i}") for i in range(300)], "chunk_id string, doc_id string, doc_type string, chunk_text string")
+    hits = bm25.bm25_search(bm25.build_bm25(chunks), spark.createDataFrame([("q", "word7")], "query_id string, query string"), 3)
+    assert [h.chunk_id for h in hits.collect()] == ["c7"]
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    filters = re.findall(r"PartitionFilters: \[([^]]*bucket#\d+[^]]*)\]", plan)
+    assert filters and all(" IN (" in f or " = " in f for f in filters)
+
+
+def test_an_empty_corpus_gives_no_hits(spark):
+    none = spark.createDataFrame([], "chunk_id string, doc_id string, doc_type string, chunk_text string")
+    assert bm25.bm25_search(bm25.build_bm25(none), spark.createDataFrame([("q", "word")], "query_id string, query string")).collect() == []
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(4)
