@@ -20,7 +20,7 @@ from docketlake.operators.fusion import top_k
 from docketlake.session import materialize, scratch
 
 #: Bits of a chunk number within its range, and of a range within its part; parts of a term lie in different buckets.
-RANGE_BITS, PART_BITS = 6, 12
+RANGE_BITS, PART_BITS = 8, 10
 #: Postings of a bucket (a folder of the stored table), and how many buckets there are at least and at most.
 BUCKET_POSTINGS, MIN_BUCKETS, MAX_BUCKETS = 20_000_000, 16, 8192
 #: Ranges that a query scores first, at least.
@@ -163,14 +163,15 @@ def bm25_search(index: SparseIndex, queries: DataFrame, k: int = 50, text: str =
 
     def scored(ranges: DataFrame) -> DataFrame:
         """(query_id, chunk_no, score) of all chunks in the ranges (query_id, range)."""
-        asked = ranges.select("query_id", "range", F.shiftright("range", PART_BITS).alias("part")).join(wanted, ["query_id", "part"])
-        posts = asked.join(blocks.select("bucket", "term", "range", "posts"), ["bucket", "term", "range"])
+        met = blocks.select("bucket", "term", "part", "range", "posts").join(wanted, ["bucket", "term", "part"])
+        posts = met.join(ranges.select("query_id", "range"), ["query_id", "range"])  # both small sides are tables, so Spark knows their size
         rows = posts.select("query_id", "weight", F.inline("posts")).withColumn("gain", gain)
         return rows.groupBy("query_id", "chunk_no").agg(F.round(F.sum("gain"), 6).alias("score")).where(F.col("score") > 0)
 
     first = top_k(bounds, max(seeds, -(-seeds * k >> RANGE_BITS)), ["query_id"], [F.desc("bound"), F.asc("range")])
     least = top_k(scored(first), k, ["query_id"], [F.desc("score")]).where(F.col("rank") == k).select("query_id", F.col("score").alias("_least"))
-    able = bounds.join(least, "query_id", "left").where(F.col("_least").isNull() | (F.col("bound") >= F.col("_least") - _SLACK))
+    reach = F.col("_least").isNull() | (F.col("bound") >= F.col("_least") - _SLACK)
+    able = materialize(bounds.join(least, "query_id", "left").where(reach).select("query_id", "range"), "ranges")
     # ties at the edge stay in until chunk_id can break them
     edge = F.rank().over(W.partitionBy("query_id").orderBy(F.desc("score")))
     leading = scored(able).withColumn("_edge", edge).where(F.col("_edge") <= k).drop("_edge")
