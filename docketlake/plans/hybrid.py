@@ -9,7 +9,7 @@ from docketlake.functions import ids, text as tx
 from docketlake.operators import retrieval as rt
 from docketlake.operators.bm25 import bm25_search, build_bm25
 from docketlake.operators.chunking import register_functions
-from docketlake.operators.fusion import complexity_value, search_confidence
+from docketlake.operators.fusion import complexity_value, search_confidence, top_k
 from docketlake.operators.vectors import embed, vector_search
 from docketlake.plans.analytics import TWO_LEVEL_CTE, lookups
 from docketlake.plans.common import chunks, sql_chunk_id, sql_words
@@ -109,32 +109,60 @@ def f41(t):
     return rt.rerank(rt.populate_text(hits, c)).select("query_id", "chunk_id", "original_confidence", "source", "confidence")
 
 
-@query(
-    "r6_hybrid_search",
-    f"""WITH {BM25_CTE}, {SIZES}, lv AS (SELECT item_id AS query_id, {LEVEL_SQL} AS complexity, {sql_letters('text')} AS qv FROM benchmark),
-    cv AS (SELECT chunk_id, doc_id, {sql_letters('chunk_text')} AS cv FROM chunks),
+def hybrid_sql(bm25: str = "true", dense: str = "true", after_dense: str = "true", per_doc: int = 1_000_000, c: int = 60, sparse: str = "SELECT query_id, chunk_id, doc_id, doc_type, score FROM scored WHERE score > 0") -> str:
+    """The whole chain; filters of either branch (``dense`` before the 50 nearest are taken), the hits of a document, the fusion's constant."""
+    return f"""WITH {BM25_CTE}, {SIZES}, lv AS (SELECT item_id AS query_id, {LEVEL_SQL} AS complexity, {sql_letters('text')} AS qv FROM benchmark),
+    cv AS (SELECT chunk_id, doc_id, doc_type, {sql_letters('chunk_text')} AS cv FROM chunks WHERE {dense}),
     dn AS (SELECT query_id, complexity, chunk_id, doc_id, CASE WHEN list_sum(cv) = 0 OR list_sum(qv) = 0 THEN 0 ELSE round(list_cosine_similarity(qv, cv), 6) END AS score FROM lv, cv),
-    dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dn),
-    br AS (SELECT query_id, complexity, chunk_id, doc_id, rank, 0.4 AS w FROM bm25 JOIN lv USING (query_id) UNION ALL SELECT query_id, complexity, chunk_id, doc_id, rank, 0.6 FROM dr),
-    fused AS (SELECT query_id, complexity, chunk_id, doc_id, sum(w / (60 + rank)) AS fusion FROM br JOIN sizes USING (complexity) WHERE rank <= fetch_k GROUP BY ALL),
+    dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dn WHERE {after_dense}),
+    sp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS all_rank FROM ({sparse})) WHERE all_rank <= 50),
+    sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sp WHERE {bm25}),
+    br AS (SELECT query_id, complexity, chunk_id, doc_id, rank, 0.4 AS w FROM sr JOIN lv USING (query_id) UNION ALL SELECT query_id, complexity, chunk_id, doc_id, rank, 0.6 FROM dr),
+    every AS (SELECT query_id, complexity, chunk_id, doc_id, round(sum(w / ({c} + rank)), 9) AS fusion FROM br JOIN sizes USING (complexity) WHERE rank <= fetch_k GROUP BY ALL),
+    fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY fusion DESC, chunk_id) AS of_doc FROM every) WHERE of_doc <= {per_doc}),
     {rerank_sql('fused')},
     par AS (SELECT r.*, d.text AS body, length(d.text) // 4 AS est FROM reranked r JOIN documents d USING (doc_id)),
     us AS (SELECT *, coalesce(sum(least(est, 500)) OVER (PARTITION BY query_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used FROM par)
     SELECT query_id, chunk_id, doc_id, position AS rank, overlap AS score, est AS est_tokens, md5(left(body, 2000)) AS content_md5
-    FROM (SELECT *, max((used + est > 8000)::INTEGER) OVER (PARTITION BY query_id ORDER BY position) AS o FROM us) WHERE o = 0""",
-)
+    FROM (SELECT *, max((used + est > 8000)::INTEGER) OVER (PARTITION BY query_id ORDER BY position) AS o FROM us) WHERE o = 0"""
+
+
+@query("r6_hybrid_search", hybrid_sql())
 def r6(t):
+    return hybrid_rows(t)
+
+
+def hybrid_rows(t, sparse=None, **options):
     c = materialize(chunks(t), "chunks")
     q = leveled_queries(t)
     vectors = q.select("query_id", letter_vector("query").alias("embedding"))
-    dense = vector_search(chunk_vectors(c), vectors, 50, dim=26).withColumnRenamed("item_id", "chunk_id")
+    types = options.get("doc_types")  # the search of the vectors must not spend its hits on types that are left out
+    index = chunk_vectors(c if types is None else c.where(F.col("doc_type").isin(types)))
+    dense = vector_search(index, vectors, 50, dim=26).withColumnRenamed("item_id", "chunk_id")
     dense = dense.join(c.select("chunk_id", "doc_id", "doc_type"), "chunk_id")
     none = F.lit(None).cast("string")
     parents = t.documents.select("doc_id", "text", F.col("source").alias("title"), none.alias("chapter"), none.alias("canonical_citation"))
-    out = rt.hybrid_search(q, build_bm25(c), dense, c, parents)
+    out = rt.hybrid_search(q, sparse(t, c, q) if sparse else build_bm25(c), dense, c, parents, **options)
     return out.select("query_id", "chunk_id", "doc_id", "rank", "score", "est_tokens", F.md5("content").alias("content_md5"))
 
 
+@query("r6_hybrid_options", hybrid_sql(bm25="doc_type IN ('act', 'si') AND least(score, 1.0) >= 0.9", dense="doc_type IN ('act', 'si')", after_dense="score >= 0.9", per_doc=1, c=20))
+def r6_options(t):
+    """Two document types, hits of at least 0.9, one hit of a document, another constant of the fusion."""
+    return hybrid_rows(t, doc_types=["act", "si"], min_score=0.9, max_per_doc=1, rrf_k=20)
+
+
+def longest_chunks(t, c, q):
+    """Another search in place of the sparse one: chunks by length, the same for every query."""
+    best = top_k(c.select("chunk_id", "doc_id", "doc_type", F.length("chunk_text").cast("double").alias("score"), F.lit(1).alias("_one")), 50, ["_one"], [F.desc("score"), F.asc("chunk_id")], "_r")
+    return q.select("query_id", F.lit(1).alias("_one")).join(best, "_one").drop("_one", "_r")
+
+
+@query("r6_foreign_branch", hybrid_sql(sparse="SELECT item_id AS query_id, chunk_id, doc_id, doc_type, length(chunk_text)::DOUBLE AS score FROM benchmark, (SELECT * FROM chunks ORDER BY length(chunk_text) DESC, chunk_id LIMIT 50)"))
+def r6_foreign(t):
+    return hybrid_rows(t, sparse=longest_chunks)
+
+
 @query(
     "r8_search_confidence",
     f"""WITH {BM25_CTE}, w AS (SELECT *, least(score, 1.0) AS c, CASE rank WHEN 1 THEN 0.5 WHEN 2 THEN 0.3 WHEN 3 THEN 0.2 ELSE 0.1 END AS w FROM bm25 WHERE rank <= 20)

@@ -401,14 +401,19 @@ def sql_list(expr):
     return f"array_to_string(list_sort(list_distinct({expr})), '|')"
 
 
-ENTITY_CTE = f"""legal AS (SELECT o_orderkey AS chunk_id, {LEGAL_SQL} AS text FROM orders),
-ents AS (SELECT chunk_id,
+DOC_LEGAL_SQL = """coalesce(text, '') || '. On ' || (doc_id % 28 + 1) || '/05/2019 the Supreme Court of Zimbabwe per MOYO J applied section ' || doc_id || 'B of the Labour Act [Chapter 28:01] in Shumba v Ncube, [2025] ZWSC '
+    || doc_id || '; 7 May 2021. ' || coalesce(text, '')"""
+LEGAL_CTE = f"legal AS (SELECT o_orderkey AS chunk_id, {LEGAL_SQL} AS text FROM orders)"
+DOC_LEGAL_CTE = f"legal AS (SELECT doc_id AS chunk_id, {DOC_LEGAL_SQL} AS text FROM documents)"
+FOUND_CTE = f"""ents AS (SELECT chunk_id,
     {sql_list(f"list_transform(regexp_extract_all(text, '{SQL_DATES}'), lambda m: {ISO_SQL})")} AS dates,
     {sql_list(f"list_transform(regexp_extract_all(text, '{SQL_STATUTES}'), lambda m: {sql_groups('m', SQL_STATUTES, 5)})")} AS statute_refs,
     {sql_list(f"list_transform(regexp_extract_all(text, '{en.CASES}'), lambda m: {sql_groups('m', en.CASES, 9)})")} AS case_refs,
     'Supreme Court of Zimbabwe' AS courts,
     {sql_list(f"regexp_extract_all(text, '{SQL_JUDGES}')")} AS judges,
     array_to_string(list_transform(regexp_extract_all(text, '{SQL_PARTIES}'), lambda m: regexp_extract(m, '{SQL_PARTIES}', 1) || ' v ' || regexp_extract(m, '{SQL_PARTIES}', 2)), '|') AS parties FROM legal)"""
+ENTITY_CTE = f"{LEGAL_CTE}, {FOUND_CTE}"
+DOC_ENTITY_CTE = f"{DOC_LEGAL_CTE}, {FOUND_CTE}"
 
 
 def legal_chunks(t):
@@ -430,6 +435,26 @@ def f22(t):
     return e.select("chunk_id", *[F.array_join(F.try_element_at("e", F.lit(k)), "|").alias(k) for k in ENTITY_TYPES])
 
 
+def cited_documents(t):
+    """Every whole text twice, with a citation between the two."""
+    text, key = F.coalesce("text", F.lit("")), F.col("doc_id").cast("string")
+    cited = F.concat(
+        text, F.lit(". On "), (F.col("doc_id") % 28 + 1).cast("string"), F.lit("/05/2019 the Supreme Court of Zimbabwe per MOYO J applied section "), key,
+        F.lit("B of the Labour Act [Chapter 28:01] in Shumba v Ncube, [2025] ZWSC "), key, F.lit("; 7 May 2021. "), text)
+    return t.dealt("documents", "doc_id").select(F.col("doc_id").alias("chunk_id"), cited.alias("chunk_text"))
+
+
+@query("f22_document_entities", f"WITH {DOC_ENTITY_CTE} SELECT chunk_id, {', '.join(ENTITY_TYPES)} FROM ents")
+def f22_documents(t):
+    e = cited_documents(t).withColumn("e", en.extract_entities("chunk_text"))
+    return e.select("chunk_id", *[F.array_join(F.try_element_at("e", F.lit(k)), "|").alias(k) for k in ENTITY_TYPES])
+
+
+@query("a5_document_entity_counts", f"""WITH {DOC_ENTITY_CTE} SELECT entity_type, sum(n)::BIGINT AS n FROM ({' UNION ALL '.join(f"SELECT '{k}' AS entity_type, len(string_split({k}, '|')) AS n FROM ents WHERE {k} <> ''" for k in ENTITY_TYPES)}) GROUP BY 1""")
+def a5_documents(t):
+    return en.entity_counts(cited_documents(t).withColumn("entities", en.extract_entities("chunk_text")))
+
+
 @query(
     "u3_entity_merge",
     f"""WITH {ENTITY_CTE} SELECT chunk_id, 'High Court of Zimbabwe|Supreme Court of Zimbabwe' AS courts, parties, 'DUBE J|' || judges AS judges, string_split(dates, '|')[1] AS date_context,
