@@ -35,7 +35,7 @@ class TokenIds(Words):
     token are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 1_000_000, end: int = 0):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,6 +45,7 @@ class TokenIds(Words):
         self.plain = Tokenizer.from_file(path)  # for words that its normalizer would only put in lower case
         self.plain.normalizer = None
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.table = projection(max(self.vocabulary, end + 1))  # a word's place is the sum of its ids' places
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         super().__init__(self._describe, limit)
 
@@ -65,7 +66,7 @@ class TokenIds(Words):
             parts.append((base, w[len(base):]) if cut else (w,))
             need.update(dict.fromkeys(parts[-1]))
         ids = self._encode(list(need))
-        rows = np.empty((len(fresh), 2), np.int64)
+        rows = np.empty((len(fresh), 2 + DIMS))  # start and length of its ids, and its place; whole numbers stay exact
         new: list[int] = []
         for k, ps in enumerate(parts):
             rows[k, 0] = self.used + len(new)
@@ -74,23 +75,34 @@ class TokenIds(Words):
             rows[k, 1] = self.used + len(new) - rows[k, 0]
         while self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        rows[:, 2:] = sums(self.table[np.array(new, np.int64)], np.append(rows[:, 0] - self.used, len(new)).astype(np.int64))
         self.flat[self.used : self.used + len(new)] = new
         self.used += len(new)
         return rows
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end``, and the offsets of the texts in them."""
+        return self.placed(texts, end)[:2]
+
+    def placed(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by ``end``, the offsets of the texts in them, and each text's mean place."""
         found = [[] if b"<|" in t else t.lower().split() for t in texts]
         words = [w for ws in found for w in ws]
         codes = self.number(words)
-        starts, lengths = (self.rows[codes].T if len(codes) else np.zeros((2, 0), np.int64))
+        told = self.rows[codes] if len(codes) else np.zeros((0, 2 + DIMS))
+        starts, lengths = told[:, :2].T.astype(np.int64)
         ids = spread(self.flat, starts, lengths)
         at = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(w) for w in found], out=at[1:])
         counts = sums(lengths, at)
         whole = {k: e.ids for k, e in ((k, self.tokenizer.encode(t.decode(), add_special_tokens=False)) for k, t in enumerate(texts) if b"<|" in t)}
+        place = np.repeat(self.table[end][None].astype(np.float64), len(texts), axis=0)
+        filled = np.flatnonzero(np.diff(at))
+        if len(filled):
+            place[filled] += np.add.reduceat(told[:, 2:], at[filled])
         for k, own in whole.items():
             counts[k] = len(own)
+            place[k] += self.table[own].sum(0, dtype=np.float64)
         out_at = np.zeros(len(texts) + 1, np.int64)
         np.cumsum(counts + 1, out=out_at[1:])
         out = np.empty(out_at[-1], np.uint32)
@@ -101,12 +113,12 @@ class TokenIds(Words):
             body[out_at[k] : out_at[k + 1]] = False
         out[body] = ids
         out[out_at[1:] - 1] = end
-        return out, out_at
+        return out, out_at, place / np.diff(out_at)[:, None]
 
 
 @lru_cache(2)
-def token_ids(path: str) -> TokenIds:
-    return TokenIds(path)
+def token_ids(path: str, end: int) -> TokenIds:
+    return TokenIds(path, end=end)
 
 
 @lru_cache(2)
@@ -145,22 +157,20 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(ids: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
+def curve_keys(mean: np.ndarray) -> np.ndarray:
     """Hilbert key of each document's mean projected vector."""
-    mean = sums(table[ids], at) / np.diff(at)[:, None]
     cells = (0.5 + np.arctan(8 * mean) / np.pi) * (1 << BITS)
     return hilbert(np.clip(cells, 0, (1 << BITS) - 1).astype(np.int64))
 
 
 def _tokenize(path: str, end: int):
     def run(batches):
-        tokens = token_ids(path)
-        table = projection(max(tokens.vocabulary, end + 1))
-        kind = np.dtype("<u2") if len(table) <= 1 << 16 else np.dtype("<u4")
+        tokens = token_ids(path, end)
+        kind = np.dtype("<u2") if len(tokens.table) <= 1 << 16 else np.dtype("<u4")
         for batch in batches:
             for part in blocks(batch):
-                ids, at = tokens.encode(part.column("text").to_pylist(), end)
-                keys = curve_keys(ids, at, table)
+                ids, at, mean = tokens.placed(part.column("text").to_pylist(), end)
+                keys = curve_keys(mean)
                 data = ids.astype(kind).tobytes()
                 binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * kind.itemsize).tobytes()), pa.py_buffer(data)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
