@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketlake.operators.bm25 import bm25_search, build_bm25
+from docketlake.operators.vector_index import build_vector_index, stored_exact_search, stored_search
 from docketlake.operators.vectors import approximate_search, cosine, nearest_above, vector_search
 from docketlake.plans.common import CHUNK_CTE, chunks, sql_tokens
 from docketlake.plans.registry import query
@@ -129,6 +130,20 @@ def r5_all_cells(t):
     return approximate_search(vector_index(t), label_centroids(t), 10, cells=16, nprobe=16)
 
 
+@query("r5_stored_vector_search")
+def r5_stored(t):
+    return stored_search(build_vector_index(vector_index(t), cells=16), label_centroids(t), 10)
+
+
+@query(
+    "r5_stored_exact_search",
+    f"""WITH {CENTROID_CTE} SELECT query_id, item_id, score, rank FROM (SELECT *, row_number() OVER
+    (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM dense) WHERE rank <= 10""",
+)
+def r5_stored_exact(t):
+    return stored_exact_search(build_vector_index(vector_index(t), cells=16), label_centroids(t), 10)
+
+
 @query(
     "f29_cosine",
     f"""WITH {CENTROID_CTE} SELECT item_id, score AS similarity FROM dense WHERE query_id = label""",

@@ -24,7 +24,7 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_every_query_of_the_library_has_sql_but_the_named_ones():
-    assert {n for n in set(entry.queries()) - set(entry.oracle_sql()) if not n.startswith("op") and n != "pipeline"} == {"r5_approximate_vector_search", "s3_list_objects"}
+    assert {n for n in set(entry.queries()) - set(entry.oracle_sql()) if not n.startswith("op") and n != "pipeline"} == {"r5_approximate_vector_search", "r5_stored_vector_search", "s3_list_objects"}
 
 
 def test_entry_returns_rows(spark):
