@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docketlake.constants import DEFAULT_PRICE_MODEL, TOKEN_PRICES
+from docketlake.session import materialize
 
 
 def since(df: DataFrame, as_of: str, hours: int, ts: str = "ts") -> DataFrame:
@@ -59,23 +60,23 @@ def unmatched_queries(log: DataFrame, k: int = 20) -> DataFrame:
 
 # --- order statistics ------------------------------------------------------
 
+#: Size of the quantile sketches (rank error well below MARGIN), and how far around a position exact values are kept.
+SKETCH, MARGIN = 4000, 0.01
+
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, picks: dict[str, tuple[float, Column]]) -> DataFrame:
-    """Exact values at given sorted positions per key, without sorting any group in one task.
+    """Exact values at given sorted positions per key, without ordering any key's values in one task.
 
     ``picks`` maps a column name to (fraction, position): the position is a 0-based Column over ``n``,
-    the fraction says where to look. Approximate quantiles (error below 0.1 %) bound a narrow band
-    around every position; values outside the bands collapse into counts, so the final ordering
-    handles a few per cent of a group even if the group holds most of the rows.
+    the fraction says where to look. A mergeable quantile sketch per key bounds a narrow band around every position; values
+    outside the bands collapse into counts. The rest is laid out by ranges of (key, value), so a key may span many
+    partitions; each orders its own values, and the counts of the partitions before give it its start.
     """
-    margin, bands = 0.01, []
-    for fraction, _ in picks.values():
-        bands += [max(fraction - margin, 0.0), min(fraction + margin, 1.0)]
-    stats = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.percentile_approx(value, bands, 2000).alias("_b")
-    )
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    placed = rows.join(stats.select(*keys, "_b"), keys)
+    known = df.where(F.col(value).isNotNull())
+    stats = known.groupBy(*keys).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(SKETCH)).alias("_s"))
+    ends = [F.lit(e) for fraction, _ in picks.values() for e in (max(fraction - MARGIN, 0.0), min(fraction + MARGIN, 1.0))]
+    bounds = stats.select(*keys, F.array(*[F.kll_sketch_get_quantile_double("_s", e) for e in ends]).alias("_b"))
+    placed = known.select(*keys, F.col(value).alias("_v")).join(bounds, keys)
     inside, below = F.lit(False), F.lit(None).cast("double")
     for i in range(len(picks)):
         lo, hi = F.get("_b", F.lit(2 * i)), F.get("_b", F.lit(2 * i + 1))
@@ -83,8 +84,12 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, picks: dict[str
         below = F.greatest(below, F.when(F.col("_v") > hi, hi.cast("double")))
     bucket = F.when(inside, F.col("_v").cast("double")).otherwise(F.coalesce(below, F.lit(float("-inf"))))
     counts = placed.groupBy(*keys, bucket.alias("_x")).agg(F.count("*").alias("_c"))
-    upto = W.partitionBy(*keys).orderBy("_x").rowsBetween(W.unboundedPreceding, W.currentRow)
-    running = counts.withColumn("_cum", F.sum("_c").over(upto)).join(stats.select(*keys, "n"), keys)
+    ranged = materialize(counts.repartitionByRange(*keys, "_x").withColumn("_part", F.spark_partition_id()), "ordered-values")
+    totals = ranged.groupBy(*keys, "_part").agg(F.sum("_c").alias("_t"))  # a row per key and partition that has some of it
+    before = F.sum("_t").over(W.partitionBy(*keys).orderBy("_part")) - F.col("_t")
+    within = F.sum("_c").over(W.partitionBy("_part", *keys).orderBy("_x"))
+    running = ranged.withColumn("_upto", within).join(totals.select(*keys, "_part", before.alias("_base")), [*keys, "_part"])
+    running = running.withColumn("_cum", F.col("_base") + F.col("_upto")).join(stats.select(*keys, "n"), keys)
     return running.groupBy(*keys).agg(
         *[F.min(F.when(F.col("_cum") > position, F.col("_x"))).alias(name) for name, (_, position) in picks.items()]
     )
@@ -152,22 +157,29 @@ def variant_metrics(results: DataFrame) -> DataFrame:
 
 
 def compare_variants(results: DataFrame, metric: str, control: str, min_samples: int = 30) -> DataFrame:
-    """Every other variant against the control: relative improvement, significant above 5 per cent."""
+    """Every other variant against the control: relative improvement, significant above 5 per cent.
+
+    Beside that rule, Welch's t of the two means and its degrees of freedom, from counts, means and variances alone; null where
+    a variance cannot be told or both are 0.
+    """
+    observed = F.coalesce(metric, F.lit(0.0))
     means = results.groupBy("experiment_id", "variant").agg(
-        F.count("*").alias("n"), F.avg(F.coalesce(metric, F.lit(0.0))).alias("mean")
-    )
-    base = means.where(F.col("variant") == control).select(
-        "experiment_id", F.col("n").alias("control_n"), F.col("mean").alias("control_mean")
+        F.count("*").alias("n"), F.avg(observed).alias("mean"), F.var_samp(observed).alias("var")
     )
+    base = means.where(F.col("variant") == control).select("experiment_id", *[F.col(c).alias(f"control_{c}") for c in ("n", "mean", "var")])
     other = means.where(F.col("variant") != control)
     gain = F.when(F.col("control_mean") > 0, (F.col("mean") - F.col("control_mean")) / F.col("control_mean")).otherwise(0.0)
     enough = (F.col("n") >= min_samples) & (F.col("control_n") >= min_samples)
+    own, ours = F.col("var") / F.col("n"), F.col("control_var") / F.col("control_n")
+    error = F.when((F.col("n") > 1) & (F.col("control_n") > 1) & (own + ours > 0), own + ours)
+    freedom = error * error / (own * own / (F.col("n") - 1) + ours * ours / (F.col("control_n") - 1))
     return other.join(base, "experiment_id").select(
         "experiment_id", "variant",
         (enough & (F.abs(gain) > 0.05)).alias("significant"),
         F.when(enough, F.round(gain * 100, 2)).alias("improvement"),
         F.round("control_mean", 3).alias("control_mean"), F.round("mean", 3).alias("treatment_mean"),
         F.when(enough, "medium").otherwise("Insufficient sample size").alias("confidence"),
+        F.round((F.col("mean") - F.col("control_mean")) / F.sqrt(error), 6).alias("welch_t"), F.round(freedom, 4).alias("welch_df"),
     )
 
 

@@ -165,7 +165,17 @@ def a18(t):
 def a19(t):
     return an.compare_variants(results(t), "grounding_score", "control").withColumn(
         "improvement", F.coalesce("improvement", F.lit(0.0))
-    )
+    ).drop("welch_t", "welch_df")
+
+
+@query(
+    "a19_welch",
+    f"""WITH {RESULT_CTE}, m AS (SELECT experiment_id, variant, count(*) AS n, avg(coalesce(latency_ms, 0)) AS mean, var_samp(coalesce(latency_ms, 0)) AS var FROM res GROUP BY ALL),
+    x AS (SELECT v.experiment_id, v.variant, v.n, c.n AS cn, v.mean - c.mean AS d, v.var / v.n AS a, c.var / c.n AS b FROM m v JOIN m c ON c.experiment_id = v.experiment_id AND c.variant = 'control' WHERE v.variant <> 'control')
+    SELECT experiment_id, variant, round(d / sqrt(a + b), 6) AS welch_t, round((a + b) * (a + b) / (a * a / (n - 1) + b * b / (cn - 1)), 4) AS welch_df FROM x""",
+)
+def a19_welch(t):
+    return an.compare_variants(results(t), "latency_ms", "control").select("experiment_id", "variant", "welch_t", "welch_df")
 
 
 @query(

@@ -4,6 +4,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +153,38 @@ def test_order_statistics_with_a_hot_key(spark):
     for key in ("hot", "small"):
         values = sorted(v for k, v in rows if k == key)
         assert got[key] == values[int(0.95 * len(values))]
+
+
+def test_order_statistics_of_groups_of_every_size(spark):
+    rng = random.Random(11)
+    rows = [(n, rng.choice([float(rng.randrange(5)), rng.random() * 100])) for n in range(1, 90) for _ in range(n)] + [(1000, rng.random()) for _ in range(20_000)] + [(2000, None), (None, 3.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(6)
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    got = {r.k: (r.p, r.a, r.b) for r in an.order_statistics(df.where("k is not null"), ["k"], "v", {"p": an.at_fraction(0.95), "a": (0.5, low), "b": (0.5, high)}).collect()}
+    want = {}
+    for k in {k for k, _ in rows if k not in (None, 2000)}:
+        v = sorted(x for key, x in rows if key == k)
+        want[k] = (v[int(0.95 * len(v))], v[(len(v) - 1) // 2], v[len(v) // 2])
+    assert got == want
+
+
+def test_a_hot_key_is_ordered_by_several_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(60_000).select(F.lit("hot").alias("k"), (F.col("id") * 7919 % 60_000).cast("double").alias("v"))
+        stats = an.order_statistics(df, ["k"], "v", {"p": an.at_fraction(0.5), "q": (0.5, F.col("n") - F.col("n") / 2 + 100)})
+        plan = stats._jdf.queryExecution().executedPlan().toString()
+        assert "windowspecdefinition(_part" in plan and tuple(stats.first()) == ("hot", 30_000.0, 30_100.0)
+        files = [f for f in stats.inputFiles() if "ordered-values" in f]
+        assert len(files) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_welch_columns(spark):
+    rows = [("e", "control", float(x)) for x in (1, 2, 3, 4)] + [("e", "b", float(x)) for x in (2, 4, 6, 9, 9)] + [("e", "one", 1.0), ("f", "control", 1.0), ("f", "b", 1.0)]
+    got = {(r.experiment_id, r.variant): (r.welch_t, r.welch_df) for r in an.compare_variants(spark.createDataFrame(rows, "experiment_id string, variant string, m double"), "m", "control").collect()}
+    a, b = np.array([1, 2, 3, 4.0]), np.array([2, 4, 6, 9, 9.0])
+    va, vb = a.var(ddof=1) / 4, b.var(ddof=1) / 5
+    assert got[("e", "b")] == (round((b.mean() - a.mean()) / (va + vb) ** 0.5, 6), round((va + vb) ** 2 / (va**2 / 3 + vb**2 / 4), 4))
+    assert got[("e", "one")] == got[("f", "b")] == (None, None)
