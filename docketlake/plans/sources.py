@@ -80,7 +80,7 @@ def s8(t):
     docs = t.documents.select("doc_id")
     co.append_new(docs.join(t.labels.select("doc_id"), "doc_id", "left_semi").withColumn("batch", F.lit("first")), path, "doc_id", "json")
     co.append_new(docs.withColumn("batch", F.lit("second")), path, "doc_id", "json")
-    return t.spark.read.schema("doc_id long, batch string").json(path)
+    return co.read_keyed(t.spark, path, "json", "doc_id long, batch string")
 
 
 @query("s9_catalog_sink", f"WITH {LEG_CTE} SELECT nature AS court, count(*) AS n FROM cat GROUP BY 1")

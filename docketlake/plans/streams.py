@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docketlake.plans.analytics import LOG_CTE, log
 from docketlake.plans.registry import query
 from docketlake.session import scratch
-from docketlake.sources.corpus import append_new
+from docketlake.sources.corpus import append_new, read_keyed
 from docketlake.streaming import limits as li, state as st, summaries as su
 
 
@@ -98,4 +98,4 @@ def x10(t):
     known = docs.join(t.labels.select("doc_id"), "doc_id", "left_semi").withColumn("first_batch", F.lit(True))
     append_new(known, path, "doc_id")
     append_new(docs.withColumn("first_batch", F.lit(False)), path, "doc_id")
-    return t.spark.read.parquet(path)
+    return read_keyed(t.spark, path)

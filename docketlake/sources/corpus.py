@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from docketlake.constants import KEY_PREFIXES, MAX_DOCUMENT_BYTES
 from docketlake.operators.catalog import counts_by, sorted_catalog
+from docketlake.operators.reduction import only_asked
 from docketlake.schemas import CHUNK, GOLDEN_QUERY
+from docketlake.session import materialize
 
 LEGISLATION_FOLDERS = ["acts", "ordinances", "statutory_instruments", "constitution"]
 
@@ -105,16 +109,58 @@ def write_by_type(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
     df.write.mode(mode).partitionBy("doc_type").format(fmt).save(path)
 
 
-def append_new(df: DataFrame, path: str, key: str, fmt: str = "parquet", partition: list[str] | None = None) -> DataFrame:
-    """Append the rows whose key the table does not have; returns what was added. Repeats inside df count once."""
-    spark = df.sparkSession
-    fresh = df.dropDuplicates([key])
+#: Folders by key hash that a keyed table is laid out in, unless it was begun with another number; part of the column's name.
+KEY_FOLDERS = 32
+_KEY_FOLDER = re.compile(r"key_of_(\d+)")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        fresh = fresh.join(spark.read.format(fmt).load(path).select(key), key, "left_anti")
-    writer = fresh.write.mode("append").format(fmt)
-    (writer.partitionBy(*partition) if partition else writer).save(path)
-    return fresh
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def first_of_each(df: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """One row per key: the first by ``order``, or by a hash of the row, so that it does not depend on partitions."""
+    others = [c for c in df.columns if c != key]
+    plain = [f.name for f in df.schema if f.name != key and "map<" not in f.dataType.simpleString()]  # maps have no order and no hash
+    by = F.struct(*[F.col(c) for c in order or []], F.xxhash64(*plain) if plain else F.lit(0))
+    if not others:
+        return df.distinct()
+    picked = df.groupBy(key).agg(F.min_by(F.struct(*others), by).alias("_r"))
+    return picked.select(*[F.col(c) if c == key else F.col(f"_r.{c}").alias(c) for c in df.columns])
+
+
+def append_new(
+    df: DataFrame, path: str, key: str, fmt: str = "parquet", partition: list[str] | None = None, order: list[str] | None = None,
+    folders: int = KEY_FOLDERS,
+) -> DataFrame:
+    """Append the rows whose key the table does not have; returns what was added. Of repeats inside df the first by ``order`` counts.
+
+    The table lies in folders by a hash of the key. Only the folders that the batch may meet are read, of them only the key
+    column, and a bit filter over the batch's keys leaves few stored keys to shuffle. ``folders`` counts for a new table.
+    """
+    spark = df.sparkSession
+    stored = None
+    if _exists(spark, path):
+        stored = spark.read.schema(T.StructType([df.schema[key]])).format(fmt).load(path)
+    found = next((c for c in stored.columns if _KEY_FOLDER.fullmatch(c)), None) if stored is not None else None
+    column = found or f"key_of_{folders}"
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(int(_KEY_FOLDER.fullmatch(column)[1]))).cast("int")
+    fresh = materialize(first_of_each(df, key, order).withColumn(column, place), "batch")
+    if stored is not None:
+        if found:
+            met = [r[0] for r in fresh.select(column).distinct().collect()]  # at most as many numbers as there are folders
+            stored = stored.where(F.col(column).isin(met))
+        fresh = materialize(fresh.join(only_asked(stored.select(key), fresh.select(key), key), key, "left_anti"), "fresh")
+    fresh.repartition(*(partition or []), column).write.mode("append").format(fmt).partitionBy(*(partition or []), column).save(path)
+    return fresh.drop(column)
+
+
+def read_keyed(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | str | None = None) -> DataFrame:
+    """A table of ``append_new`` without the column of its folders."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    rows = reader.format(fmt).load(path)
+    return rows.drop(*[c for c in rows.columns if _KEY_FOLDER.fullmatch(c)])
 
 
 def write_catalog(catalog: DataFrame, path: str) -> DataFrame:

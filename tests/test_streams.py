@@ -188,3 +188,28 @@ def test_welch_columns(spark):
     va, vb = a.var(ddof=1) / 4, b.var(ddof=1) / 5
     assert got[("e", "b")] == (round((b.mean() - a.mean()) / (va + vb) ** 0.5, 6), round((va + vb) ** 2 / (va**2 / 3 + vb**2 / 4), 4))
     assert got[("e", "one")] == got[("f", "b")] == (None, None)
+
+
+def test_keyed_append_reads_the_folders_of_its_keys(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = [(f"k{i}", i, {"a": i}) for i in range(400)] + [("k1", 0, {"b": 1}), ("k2", 900, {"c": 1}), ("k2", -1, {"d": 1})]
+    df = spark.createDataFrame(rows, "id string, n int, facts map<string,int>").repartition(3)
+    added = co.append_new(df, path, "id", order=["n"], folders=8)
+    assert added.count() == 400 and added.columns == ["id", "n", "facts"]
+    kept = {r.id: r.n for r in co.read_keyed(spark, path).collect()}
+    assert kept["k1"] == 0 and kept["k2"] == -1 and len(kept) == 400
+    again = co.append_new(spark.createDataFrame([("k5", 1, None), ("new", 2, None), ("new", 1, None)], df.schema), path, "id", order=["n"], folders=64)
+    assert [tuple(r) for r in again.collect()] == [("new", 1, None)]
+    table = co.read_keyed(spark, path)
+    assert table.count() == table.select("id").distinct().count() == 401
+    assert {f.name for f in (tmp_path / "table").iterdir() if f.is_dir()} == {f"key_of_8={k}" for k in range(8)}
+    plan = spark.read.parquet(path).where("key_of_8 in (3)")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(key_of_8" in plan
+
+
+def test_keyed_append_to_a_table_without_folders_and_of_keys_alone(spark, tmp_path):
+    path = str(tmp_path / "plain")
+    spark.createDataFrame([(1,), (2,)], "id long").write.json(path)
+    assert co.append_new(spark.createDataFrame([(2,), (3,), (3,)], "id long"), str(tmp_path / "other"), "id", "json").count() == 2
+    assert [r.id for r in co.append_new(spark.createDataFrame([(2,), (3,), (3,)], "id long"), str(tmp_path / "other"), "id", "json").collect()] == []
+    assert [r.id for r in co.unprocessed(spark.createDataFrame([(2,), (3,)], "id long"), spark.read.json(path), "id").collect()] == [3]
