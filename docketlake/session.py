@@ -11,6 +11,10 @@ from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Streams with several state variables per key need a store with column families.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(app: str = "docketlake", cores: str | None = None) -> SparkSession:
     """Local session for tests and the bench; a cluster supplies its own."""
     cores = cores or os.environ.get("BENCH_CPUS", "8")
@@ -23,6 +27,7 @@ def build_session(app: str = "docketlake", cores: str | None = None) -> SparkSes
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
     )

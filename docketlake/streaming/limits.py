@@ -7,12 +7,12 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, Window as W, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docketlake.constants import BAN_SECONDS
 
-DECISION = "status string, retry_after int"
+DECIDED = Row("client", "request_id", "status", "retry_after")
 
 
 class Gate:
@@ -94,33 +94,55 @@ def limit_requests(
     return ordered.mapInPandas(fold, schema)
 
 
+class LimitProcessor(StatefulProcessor):
+    """One client's admitted times as list state, the end of its ban as value state, and a timer that lets both go."""
+
+    def __init__(self, limits: list[tuple[int, int]], ban_seconds: int):
+        self.limits, self.ban_seconds = limits, ban_seconds
+        self.horizon_ms = 1000 * max(max(s for _, s in limits), ban_seconds)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", T.StructType([T.StructField("at", T.DoubleType())]))
+        self.ban = handle.getValueState("ban", T.StructType([T.StructField("until", T.DoubleType())]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        until = self.ban.get()
+        gate = Gate(self.limits, self.ban_seconds, [t[0] for t in self.times.get()], until[0] if until else 0.0)
+        arrived = sorted(rows, key=lambda r: (r["sec"], r["request_id"]))  # the requests of one client in one batch
+        decided = [DECIDED(key[0], r["request_id"], *gate.decide(r["sec"], bool(r["flagged"]))) for r in arrived]
+        self.times.put([(t,) for t in gate.times]) if gate.times else self.times.clear()
+        self.ban.update((gate.banned_until,))
+        let_go(self.handle, max(int(arrived[-1]["sec"] * 1000), timerValues.getCurrentWatermarkInMs()) + self.horizon_ms + 1)
+        return iter(decided)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.times.clear()
+        self.ban.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def let_go(handle: StatefulProcessorHandle, at_ms: int) -> None:
+    """Leave a key one timer only."""
+    for timer in list(handle.listTimers()):
+        handle.deleteTimer(timer)
+    handle.registerTimer(at_ms)
+
+
 def limit_stream(requests: DataFrame, limits: list[tuple[int, int]], ban_seconds: int = BAN_SECONDS) -> DataFrame:
-    """The same decisions on a stream; needs a watermark on ts. Idle clients are dropped by event-time timeout."""
-    key = requests.schema["client"].dataType
-    rid = requests.schema["request_id"].dataType
-    horizon = max(max(s for _, s in limits), ban_seconds)
+    """The same decisions on a stream with a watermark on ts: client, request_id, status, retry_after.
+
+    A client's state is its admitted times within the longest window; it goes by a timer once the watermark passes it. The
+    session needs the state store with column families (``session.build_session`` sets it).
+    """
     output = T.StructType([
-        T.StructField("client", key), T.StructField("request_id", rid), T.StructField("status", T.StringType()), T.StructField("retry_after", T.IntegerType()),
+        T.StructField("client", requests.schema["client"].dataType), T.StructField("request_id", requests.schema["request_id"].dataType),
+        T.StructField("status", T.StringType()), T.StructField("retry_after", T.IntegerType()),
     ])
-    state_type = T.StructType([T.StructField("times", T.ArrayType(T.DoubleType())), T.StructField("banned_until", T.DoubleType())])
-
-    def step(k, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times, banned = state.get if state.exists else ([], 0.0)
-        gate = Gate(limits, ban_seconds, times or [], banned)
-        rows = pd.concat(list(frames)).sort_values(["sec", "request_id"])
-        out = [gate.decide(s, bool(f)) for s, f in zip(rows["sec"], rows["flagged"])]
-        state.update((list(gate.times), gate.banned_until))
-        last = int(rows["sec"].iloc[-1] * 1000)
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + horizon * 1000 + 1)
-        yield pd.DataFrame({
-            "client": [k[0]] * len(rows), "request_id": rows["request_id"].to_numpy(),
-            "status": [s for s, _ in out], "retry_after": [r for _, r in out],
-        })
-
     if "flagged" not in requests.columns:
         requests = requests.withColumn("flagged", F.lit(False))
     timed = requests.withColumn("sec", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return timed.groupBy("client").applyInPandasWithState(step, output, state_type, "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.groupBy("client").transformWithState(LimitProcessor(limits, ban_seconds), output, "append", "EventTime")

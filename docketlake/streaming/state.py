@@ -2,9 +2,41 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from docketlake.streaming.limits import let_go
+
+
+MESSAGE, EVENT = Row("session_id", "turn", "role", "content"), Row("key", "response", "event")
+
+
+class RecentMessages(StatefulProcessor):
+    """The last messages of a session as list state; a timer forgets a silent session."""
+
+    def __init__(self, n: int, ttl_seconds: int):
+        self.n, self.ttl_ms = n, 1000 * ttl_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "turn long, role string, content string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        arrived = list(rows)  # the messages of one session in one batch
+        held = sorted([*map(tuple, self.held.get()), *((r["turn"], r["role"], r["content"]) for r in arrived)], key=lambda m: m[0])[-self.n :]
+        self.held.put(held)
+        last = max(int(r["ts"].timestamp() * 1000) for r in arrived)
+        let_go(self.handle, max(last, timerValues.getCurrentWatermarkInMs()) + self.ttl_ms)
+        return iter([MESSAGE(key[0], *m) for m in held])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def recent_messages_stream(messages: DataFrame, n: int = 10, ttl_seconds: int = 86400) -> DataFrame:
@@ -13,52 +45,40 @@ def recent_messages_stream(messages: DataFrame, n: int = 10, ttl_seconds: int =
     A session without messages for the time to live is forgotten.
     """
     schema = "session_id string, turn long, role string, content string"
-    state_schema = "turns array<long>, roles array<string>, contents array<string>"
-
-    def step(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        turns, roles, contents = state.get if state.exists else ([], [], [])
-        held = list(zip(turns or [], roles or [], contents or []))
-        last = 0
-        for pdf in frames:
-            held += list(zip(pdf["turn"], pdf["role"], pdf["content"]))
-            held = sorted(held, key=lambda m: m[0])[-n:]
-            last = max(last, int(pdf["ts"].max().timestamp() * 1000))
-        state.update(tuple(list(x) for x in zip(*held)))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ttl_seconds * 1000)
-        yield pd.DataFrame(
-            {"session_id": key[0], "turn": [m[0] for m in held], "role": [m[1] for m in held], "content": [m[2] for m in held]}
-        )
-
-    return messages.groupBy("session_id").applyInPandasWithState(step, schema, state_schema, "update", GroupStateTimeout.EventTimeTimeout)
+    return messages.groupBy("session_id").transformWithState(RecentMessages(n, ttl_seconds), schema, "update", "EventTime")
+
+
+class LiveEntry(StatefulProcessor):
+    """The newest response of a cache key and when it ends as value state; a timer reports the end."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entry = handle.getValueState("entry", "response string, expires_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        arrived = sorted(rows, key=lambda r: r["ts"])
+        newest = arrived[-1]
+        entry = (newest["response"], int(newest["ts"].timestamp() * 1000) + 1000 * newest["ttl_s"])
+        before = self.entry.get()
+        if before and before[1] > entry[1]:
+            entry = tuple(before)
+        self.entry.update(entry)
+        let_go(self.handle, max(entry[1], timerValues.getCurrentWatermarkInMs() + 1))
+        return iter([EVENT(key[0], r["response"], "put") for r in arrived])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        response = self.entry.get()[0]
+        self.entry.clear()
+        return iter([EVENT(key[0], response, "expired")])
+
+    def close(self) -> None:
+        pass
 
 
 def cache_stream(puts: DataFrame) -> DataFrame:
     """puts(key string, response string, ts, ttl_s) with a watermark: "put" on arrival and "expired" once the
     watermark passes the time to live of the newest entry."""
-    schema = "key string, response string, event string"
-    state_schema = "response string, expires_ms long"
-
-    def step(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            response, _ = state.get
-            state.remove()
-            yield pd.DataFrame({"key": [key[0]], "response": [response], "event": ["expired"]})
-            return
-        rows = pd.concat(list(frames)).sort_values("ts")
-        newest = rows.iloc[-1]
-        expires = int(newest["ts"].timestamp() * 1000) + int(newest["ttl_s"]) * 1000
-        if state.exists and state.get[1] > expires:
-            newest_response, expires = state.get
-        else:
-            newest_response = newest["response"]
-        state.update((newest_response, expires))
-        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": key[0], "response": rows["response"], "event": "put"})
-
-    return puts.groupBy("key").applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    return puts.groupBy("key").transformWithState(LiveEntry(), "key string, response string, event string", "append", "EventTime")
 
 
 def first_signups(signups: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -213,3 +213,16 @@ def test_keyed_append_to_a_table_without_folders_and_of_keys_alone(spark, tmp_pa
     assert co.append_new(spark.createDataFrame([(2,), (3,), (3,)], "id long"), str(tmp_path / "other"), "id", "json").count() == 2
     assert [r.id for r in co.append_new(spark.createDataFrame([(2,), (3,), (3,)], "id long"), str(tmp_path / "other"), "id", "json").collect()] == []
     assert [r.id for r in co.unprocessed(spark.createDataFrame([(2,), (3,)], "id long"), spark.read.json(path), "id").collect()] == [3]
+
+
+def test_limits_go_on_after_a_restart(spark, rows, tmp_path):
+    """Half of the requests, a stop, the other half from the checkpoint: the decisions of one run over all of them."""
+    df = frame(spark, rows)
+    data = df.orderBy("ts").collect()
+    for part, name in ((data[: len(data) // 2], "a"), (data[len(data) // 2 :], "b")):
+        spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")).withWatermark("ts", "1 hour")
+        query = li.limit_stream(source, [(2, 60), (5, 600)], 120).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        query.option("checkpointLocation", str(tmp_path / "checkpoint")).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    got = [(r.request_id, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(got) == len(rows) and dict(got) == brute_limits(rows, [(2, 60), (5, 600)], 120)
