@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docketlake.constants import (
@@ -9,10 +13,13 @@ from docketlake.constants import (
 )
 from docketlake.functions.query import any_of
 from docketlake.functions.text import _c, strip, word_count
+from docketlake.operators.fusion import top_k
 
 SOURCE_MARK = r"\[Source \d+\]"
 INLINE_SOURCE = r"\(Source: [^)]+\)"
 QUOTED = r'"([^"]{20,})"'
+#: Characters that a quote has at least, and of the grams by which quotes and contexts meet.
+QUOTE_CHARS, GRAM = 20, 8
 
 
 def cited_positions(answers: DataFrame, answer: str = "answer") -> DataFrame:
@@ -50,24 +57,51 @@ def citation_density(answer: Column | str) -> dict[str, Column]:
     return {"citation_count": n, "citation_density": F.round(n / F.greatest(F.lit(1), word_count(answer)) * 100, 2)}
 
 
+def sampled_grams(text: str, gram: int = GRAM, window: int = QUOTE_CHARS - GRAM + 1) -> np.ndarray:
+    """Hashes of the grams with the least hash in each ``window`` of consecutive grams, each once.
+
+    A stretch of window + gram - 1 characters picks the same gram in whatever text it stands.
+    """
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(points) < gram + window - 1:
+        return np.zeros(0, np.int64)
+    h = np.zeros(len(points) - gram + 1, np.uint64)
+    for k in range(gram):
+        h = (h ^ points[k : len(h) + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, window).min(1)).view(np.int64)
+
+
+def _grams(text: Column) -> Column:
+    @F.arrow_udf("array<long>")
+    def grams(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array([sampled_grams(t.as_py() or "") for t in column], pa.list_(pa.int64()))
+
+    return grams(text)
+
+
 def verify_quotes(answers: DataFrame, contexts: DataFrame, answer: str = "answer", content: str = "content") -> DataFrame:
     """Quotes of 20 characters or more that no context of the answer contains, counted, with the first three.
 
-    The check is a semi join: a quote stops at its first matching context and no pairs are kept.
+    A quote meets only contexts of its answer that share the gram which the quote's first 20 characters pick, whatever
+    stands around them; those few are checked exactly. No quote is paired with every context.
     """
     quotes = answers.select("query_id", F.posexplode_outer(F.regexp_extract_all(answer, F.lit(QUOTED), F.lit(1))).alias("n", "quote"))
-    quotes = quotes.where(F.col("quote").isNotNull())
-    texts = contexts.select(F.col("query_id").alias("_q"), F.lower(content).alias("_content"))
-    found = quotes.join(texts, (F.col("query_id") == F.col("_q")) & F.contains("_content", F.lower("quote")), "left_semi")
-    marked = quotes.join(found.select("query_id", "n", F.lit(True).alias("_ok")), ["query_id", "n"], "left")
-    bad = F.col("_ok").isNull()
-    shown = F.when(F.length("quote") > 100, F.concat(F.substring("quote", 1, 100), F.lit("..."))).otherwise(F.col("quote"))
-    firsts = F.array_sort(F.collect_list(F.when(bad, F.struct("n", shown.alias("q")))))
-    return marked.groupBy("query_id").agg(
-        (F.count(F.when(bad, 1)) == 0).alias("all_verified"),
-        F.count(F.when(~bad, 1)).alias("verified_count"),
-        F.array_join(F.transform(F.slice(firsts, 1, 3), lambda x: x["q"]), " | ").alias("unverified_quotes"),
+    quotes = quotes.where(F.col("quote").isNotNull()).withColumn("_low", F.lower("quote"))
+    asked = quotes.select("query_id", "n", "_low", F.explode_outer(_grams(F.substring("_low", 1, QUOTE_CHARS))).alias("_gram"))
+    texts = contexts.select("query_id", F.lower(content).alias("_content")).where(F.col("_content").isNotNull()).withColumn("_id", F.xxhash64("_content"))
+    held = texts.select("query_id", "_id", F.explode_outer(_grams(F.col("_content"))).alias("_gram"))
+    met = asked.join(held, ["query_id", "_gram"]).select("query_id", "n", "_low", "_id")
+    found = met.join(texts, ["query_id", "_id"]).where(F.contains("_content", "_low")).select("query_id", "n", F.lit(True).alias("_ok")).distinct()
+    marked = quotes.join(found, ["query_id", "n"], "left").withColumn("_bad", F.col("_ok").isNull())
+    counts = marked.groupBy("query_id").agg(
+        (F.count_if("_bad") == 0).alias("all_verified"), F.count_if(~F.col("_bad")).alias("verified_count")
     )
+    shown = F.when(F.length("quote") > 100, F.concat(F.substring("quote", 1, 100), F.lit("..."))).otherwise(F.col("quote"))
+    three = top_k(marked.where("_bad").select("query_id", "n", shown.alias("q")), 3, ["query_id"], [F.asc("n")])
+    listed = three.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "q"))), lambda x: x["q"]), " | ").alias("_q"))
+    return counts.join(listed, "query_id", "left").select("query_id", "all_verified", "verified_count", F.coalesce("_q", F.lit("")).alias("unverified_quotes"))
 
 
 def clarity_score(answer: Column | str) -> Column:

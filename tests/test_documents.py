@@ -1,5 +1,7 @@
 """Trees, entities, metadata, catalogs and rules on literal inputs."""
 
+import re
+import random
 import json
 
 import pytest
@@ -162,3 +164,31 @@ def test_scores(spark):
     ctx = spark.createDataFrame([("q", "Here THE TAX MUST BE PAID ON TIME indeed")], "query_id string, content string")
     v = qu.verify_quotes(answers, ctx).collect()[0]
     assert (v.all_verified, v.verified_count, v.unverified_quotes) == (False, 1, "this was never in any source")
+
+
+def test_quotes_meet_contexts_by_one_gram(spark):
+    """Against a search of every quote in every context of its answer: case, letters beyond ASCII, repeats, short contexts, nulls."""
+    rng = random.Random(4)
+    words = ["Über", "the", "COURT", "held", "naïve", "ab", "日本", "Σίσυφος", "zu", "…"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 60))) for _ in range(30)] + [None, ""]
+    contexts, answers = [], []
+    for q in range(40):
+        own = rng.sample(texts, 4)
+        contexts += [(q, t) for t in own] + [(q, own[0])]
+        quotes = []
+        for _ in range(rng.randrange(0, 7)):
+            t = rng.choice(own if rng.random() < 0.6 else texts) or "no such words anywhere"
+            start = rng.randrange(max(1, len(t) - 25))
+            quote = t[start : start + rng.randrange(20, 140)]
+            quotes.append(quote.upper() if rng.random() < 0.3 else quote)
+        answers.append((q, " and ".join(f'"{x}"' for x in quotes) if quotes else None))
+    got = qu.verify_quotes(spark.createDataFrame(answers, "query_id int, answer string"), spark.createDataFrame(contexts, "query_id int, content string"))
+    want = {}
+    for q, a in answers:
+        quotes = re.findall(r'"([^"]{20,})"', a or "")
+        held = [t.lower() for k, t in contexts if k == q and t is not None]
+        ok = [any(x.lower() in t for t in held) for x in quotes]
+        bad = [x[:100] + "..." if len(x) > 100 else x for x, good in zip(quotes, ok) if not good]
+        if quotes:
+            want[q] = (all(ok), sum(ok), " | ".join(bad[:3]))
+    assert {r.query_id: (r.all_verified, r.verified_count, r.unverified_quotes) for r in got.collect()} == want and len(want) > 20
