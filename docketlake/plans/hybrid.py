@@ -218,3 +218,11 @@ def d6(t):
     register_functions(t.spark)
     t.documents.createOrReplaceTempView("docketlake_documents")
     return t.spark.sql("SELECT d.doc_id, s.sub_index, length(s.part) AS chars FROM docketlake_documents d, LATERAL split_text(d.text, 300) s")
+
+
+@query("d6_split_table_function", f"WITH RECURSIVE {SPLIT_CTE} SELECT doc_id::VARCHAR AS id, sub_index, length(part) AS chars, md5(part) AS part_md5 FROM parts")
+def d6_table(t):
+    register_functions(t.spark)
+    t.documents.createOrReplaceTempView("docketlake_documents")
+    return t.spark.sql(
+        "SELECT id, sub_index, length(part) AS chars, md5(part) AS part_md5 FROM split_table(TABLE(SELECT string(doc_id) AS id, text, 300 AS max_tokens FROM docketlake_documents) PARTITION BY id)")
