@@ -144,14 +144,20 @@ def throughput(jobs: DataFrame) -> DataFrame:
 # --- experiments -----------------------------------------------------------
 
 
-def variant_metrics(results: DataFrame) -> DataFrame:
-    """Sample size, mean latency, citations and grounding, and p95 latency per experiment and variant."""
-    keys = ["experiment_id", "variant"]
-    base = results.groupBy(*keys).agg(
+def variant_metrics(results: DataFrame, metrics: dict[str, Column] | None = None) -> DataFrame:
+    """Sample size, mean latency, citations and grounding, and p95 latency per experiment and variant.
+
+    ``metrics`` names further scores of a result, any Column over its columns (a pandas UDF around an evaluator fits as well);
+    each gives avg_<name> over the results where it is not null and <name>_count, how many those are.
+    """
+    keys, metrics = ["experiment_id", "variant"], metrics or {}
+    scored = results.withColumns({f"_m_{name}": score.cast("double") for name, score in metrics.items()}) if metrics else results
+    base = scored.groupBy(*keys).agg(
         F.count("*").alias("sample_size"),
         F.avg("latency_ms").alias("avg_latency_ms"),
         F.avg(F.coalesce("citation_count", F.lit(0))).alias("avg_citation_count"),
         F.avg(F.coalesce("grounding_score", F.lit(0.0))).alias("avg_grounding_score"),
+        *[made for name in metrics for made in (F.avg(f"_m_{name}").alias(f"avg_{name}"), F.count(f"_m_{name}").alias(f"{name}_count"))],
     )
     return base.join(order_statistics(results, keys, "latency_ms", {"p95_latency_ms": at_fraction(0.95)}), keys)
 

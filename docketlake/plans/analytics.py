@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from docketlake.functions import text as tx
@@ -155,6 +157,24 @@ def a18(t):
     })
 
 
+@query(
+    "d4_user_metrics",
+    f"""WITH {RESULT_CTE} SELECT experiment_id, variant, round(avg(CASE WHEN citation_count > 2 THEN grounding_score END), 6) AS avg_cited_grounding,
+    count(*) FILTER (citation_count > 2) AS cited_grounding_count, round(avg(latency_ms * latency_ms + 1), 4) AS avg_square, count(*) AS square_count FROM res GROUP BY ALL""",
+)
+def d4(t):
+    """Two scores of the user: a Column, and an evaluator in Arrow batches."""
+
+    @F.arrow_udf("double")
+    def square(values: pa.Array) -> pa.Array:
+        return pc.add(pc.multiply(values, values), 1.0)
+
+    own = {"cited_grounding": F.when(F.col("citation_count") > 2, F.col("grounding_score")), "square": square("latency_ms")}
+    m = an.variant_metrics(results(t), own)
+    return m.select(
+        "experiment_id", "variant", F.round("avg_cited_grounding", 6).alias("avg_cited_grounding"), "cited_grounding_count", F.round("avg_square", 4).alias("avg_square"), "square_count")
+
+
 @query(
     "a19_variant_comparison",
     f"""WITH {RESULT_CTE}, x AS (SELECT v.experiment_id, v.variant, (v.gro - c.gro) / c.gro AS gain, v.n >= 30 AND c.n >= 30 AS enough, c.gro AS cm, v.gro AS tm
