@@ -17,6 +17,7 @@ from docketlake.operators.fusion import top_k
 from docketlake.session import materialize
 
 BLOCK_ROWS = 4096
+MOST_CELLS = 1024
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
@@ -107,7 +108,40 @@ def _hit_schema(index: DataFrame, queries: DataFrame) -> T.StructType:
     )
 
 
-def tiled_search(index: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _score_above(threshold: float):
+    """Scoring of a tile for hits that reach a threshold: pairs that cannot reach it are dropped by a part of their products."""
+
+    def score(index_ids, index_vectors, query_ids, query_vectors, k) -> pd.DataFrame:
+        ids, qids = np.asarray(index_ids), np.asarray(query_ids)
+        at, item, scores = pairs_above(_unit(query_vectors), _unit(index_vectors), threshold)
+        order = np.lexsort((ids[item], -scores, at))
+        at, item, scores = at[order], item[order], scores[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        return pd.DataFrame({"query_id": qids[at], "item_id": ids[item], "score": scores})[place < k]
+
+    return score
+
+
+def pairs_above(queries: np.ndarray, items: np.ndarray, threshold: float, share: float = 0.25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, item, cosine) of unit vectors whose rounded cosine reaches the threshold.
+
+    The leading dimensions give a part of each product; what the rest can add is at most the product of the two remaining norms.
+    Only pairs that may still reach the threshold are multiplied out.
+    """
+    lead = max(1, int(queries.shape[1] * share))
+    able = queries[:, :lead] @ items[:, :lead].T
+    able += np.outer(np.linalg.norm(queries[:, lead:], axis=1), np.linalg.norm(items[:, lead:], axis=1))
+    at, item = np.nonzero(able >= threshold - 1e-6)
+    scores = np.empty(len(at))
+    step = max(1, (1 << 22) // queries.shape[1])
+    for b in range(0, len(at), step):
+        scores[b : b + step] = np.einsum("nd,nd->n", queries[at[b : b + step]], items[item[b : b + step]])
+    scores = np.round(scores, 6)
+    keep = scores >= threshold
+    return at[keep], item[keep], scores[keep]
+
+
+def tiled_search(index: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS, score=_score) -> DataFrame:
     """index(item_id, embedding, cell) against queries(query_id, embedding, cell), best k per query.
 
     A query may appear in several cells. Blocks per cell follow the cell's row count, so no tile
@@ -134,7 +168,7 @@ def tiled_search(index: DataFrame, queries: DataFrame, k: int, block_rows: int =
     def meet(i: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if i.empty or q.empty:
             return pd.DataFrame({"query_id": q["query_id"][:0], "item_id": i["item_id"][:0], "score": []})
-        return _score(i["item_id"], i["embedding"], q["query_id"], q["embedding"], k)
+        return score(i["item_id"], i["embedding"], q["query_id"], q["embedding"], k)
 
     key = ["cell", "_ib", "_qb"]
     hits = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, _hit_schema(index, queries))
@@ -257,13 +291,15 @@ def approximate_search(
 
 
 def nearest_above(
-    index: DataFrame, queries: DataFrame, threshold: float, by: str, cells: int = 64, block_rows: int = BLOCK_ROWS
+    index: DataFrame, queries: DataFrame, threshold: float, by: str, cells: int | None = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Best match of every query within its ``by`` group if its cosine reaches the threshold; exact.
 
-    Cells are skipped by the triangle inequality on angles: a cell whose centre is further from the
-    query than its radius plus the threshold angle cannot hold a match.
+    Cells (by default the root of the number of vectors, at most MOST_CELLS) are skipped by the triangle inequality on angles: a
+    cell whose centre is further from the query than its radius plus the threshold angle cannot hold a match. Within a
+    cell, pairs are dropped by the products of their leading dimensions before they are scored.
     """
+    cells = cells or min(MOST_CELLS, max(16, int(index.count() ** 0.5)))
     centres = pick_centroids(index, cells)
     placed = materialize(assign_cells(index, centres), "cells")
     radii = placed.groupBy(by, "cell").agg(F.max("angle").alias("radius"))
@@ -288,6 +324,6 @@ def nearest_above(
     group = F.struct(F.col(by), F.col("cell"))
     hits = tiled_search(
         placed.select("item_id", "embedding", F.to_json(group).alias("cell")),
-        reach.select("query_id", "embedding", F.to_json(group).alias("cell")), 1, block_rows,
+        reach.select("query_id", "embedding", F.to_json(group).alias("cell")), 1, block_rows, _score_above(threshold),
     )
-    return hits.where(F.col("score") >= threshold).drop("rank")
+    return hits.drop("rank")

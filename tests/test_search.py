@@ -164,6 +164,22 @@ def test_threshold_search_is_exact(vectors):
     assert rows(ve.nearest_above(idx, qs, 0.6, by="kind", cells=8, block_rows=32)) == best(index, queries, 1, same=True, floor=0.6)
 
 
+def test_few_pairs_are_scored_at_many_dimensions(monkeypatch):
+    """3,072 dimensions, crowds and strangers, zero vectors: the pairs of brute force, from a twentieth of all products."""
+    rng = np.random.default_rng(12)
+    crowd = rng.normal(size=(6, 3072))
+    items = np.concatenate([crowd[k % 6] + 0.2 * rng.normal(size=3072) for k in range(120)] + [rng.normal(size=3072) for _ in range(1880)]).reshape(-1, 3072)
+    queries = np.concatenate([[crowd[k % 6] + 0.25 * rng.normal(size=3072) for k in range(40)], rng.normal(size=(159, 3072)), np.zeros((1, 3072))])
+    items, queries = ve._unit(items), ve._unit(queries)
+    full, scored = np.round(queries @ items.T, 6), []
+    plain = np.einsum
+    monkeypatch.setattr(np, "einsum", lambda how, a, b: (scored.append(len(a)), plain(how, a, b))[1])
+    at, item, scores = ve.pairs_above(queries, items, 0.9)
+    want = np.nonzero(full >= 0.9)
+    assert (at.tolist(), item.tolist()) == (want[0].tolist(), want[1].tolist()) and np.allclose(scores, full[want], atol=2e-6) and len(at) > 300
+    assert sum(scored) < 0.05 * full.size
+
+
 def test_embed_failure_policy(spark):
     df = spark.createDataFrame([(1, "a"), (2, "bad")], "id int, chunk_text string").coalesce(1)
 
