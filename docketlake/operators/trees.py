@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from docketlake.constants import BANNER_TITLES, MIN_TOKENS
@@ -11,12 +13,9 @@ from docketlake.functions.ids import chunk_id
 from docketlake.functions.text import _c, collapse_ws, estimate_tokens, strip
 from docketlake.session import materialize
 
-#: Levels that one pass over the trees descends; deeper trees take more passes.
-LEVELS = 6
 
-
-def tree_schema(depth: int = LEVELS) -> T.ArrayType:
-    """Nested node type; what lies deeper stays as text for the next pass."""
+def tree_schema(depth: int) -> T.ArrayType:
+    """Nested node type; what lies deeper stays as text."""
     fields = [
         T.StructField("title", T.StringType()), T.StructField("node_id", T.StringType()),
         T.StructField("text", T.StringType()), T.StructField("page_index", T.IntegerType()),
@@ -48,11 +47,8 @@ def _placed(p: Column) -> Column:
     return F.struct(p["path"].alias("path"), p["kept_parent"].alias("kept_parent"), p["breadcrumb"].alias("breadcrumb"), p["n"]["title"].alias("title"))
 
 
-def _descend(df: DataFrame, first: Column, others: list[str], levels: int, last: bool = False) -> DataFrame:
-    """One pass: the nodes of ``levels`` levels in the struct ``_n``, whose ``below`` is the JSON text under the last level.
-
-    With ``last`` there must be nothing below.
-    """
+def _descend(df: DataFrame, first: Column, others: list[str], levels: int) -> DataFrame:
+    """The nodes of ``levels`` levels in the struct ``_n``; there must be nothing below."""
     out = df.withColumn("_l0", first)
     for level in range(1, levels):
         out = out.withColumn(f"_l{level}", F.flatten(F.transform(
@@ -62,48 +58,197 @@ def _descend(df: DataFrame, first: Column, others: list[str], levels: int, last:
         F.transform(f"_l{k}", lambda p: F.struct(
             p["path"].alias("path"), p["kept_parent"].alias("kept_parent"), p["breadcrumb"].alias("breadcrumb"),
             p["n"]["title"].alias("title"), p["n"]["node_id"].alias("node_id"), p["n"]["text"].alias("text"),
-            p["n"]["page_index"].alias("page_index"), (p["n"]["nodes"] if k == levels - 1 else F.lit(None).cast("string")).alias("below"),
+            p["n"]["page_index"].alias("page_index"),
         ))
         for k in range(levels)
     ]
     nothing = F.array().cast(
-        "array<struct<path:array<int>,kept_parent:array<int>,breadcrumb:string,title:string,node_id:string,text:string,page_index:int,below:string>>"
+        "array<struct<path:array<int>,kept_parent:array<int>,breadcrumb:string,title:string,node_id:string,text:string,page_index:int>>"
     )
     every = F.concat(*[F.coalesce(a, nothing) for a in flat])
-    if last:
-        lost = F.exists(f"_l{levels - 1}", lambda p: p["n"]["nodes"].isNotNull())
-        every = F.when(F.coalesce(lost, F.lit(False)), F.raise_error(F.lit(f"tree deeper than {levels} levels"))).otherwise(every)
+    lost = F.exists(f"_l{levels - 1}", lambda p: p["n"]["nodes"].isNotNull())
+    every = F.when(F.coalesce(lost, F.lit(False)), F.raise_error(F.lit(f"tree deeper than {levels} levels"))).otherwise(every)
     rows = out.withColumn("_nodes", every).select(*others, F.explode_outer("_nodes").alias("_n"))
     return rows.where(F.col("_n").isNotNull())
 
 
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("[^"\\\x00-\x1f]*(?:\\.[^"\\\x00-\x1f]*)*")|(-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null))')
+_TEXTS = {"title": 0, "node_id": 1, "text": 2}
+
+
+class Nodes:
+    """Nodes of one JSON tree, parents before children: parent's number (-1 for none), place among its siblings, and fields."""
+
+    def __init__(self) -> None:
+        self.parent, self.ordinal, self.fields = [], [], []
+
+    def add(self, parent: int, ordinal: int) -> int:
+        self.parent.append(parent)
+        self.ordinal.append(ordinal)
+        self.fields.append([None, None, None, None])
+        return len(self.parent) - 1
+
+
+def _unquoted(string: str) -> str:
+    """The text of a JSON string; half a surrogate pair becomes the replacement character."""
+    if "\\" not in string:
+        return string[1:-1]
+    try:
+        return json.loads(string).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    except json.JSONDecodeError:  # an escape that JSON does not know
+        return string[1:-1]
+
+
+def read_nodes(text: str) -> Nodes | None:
+    """The nodes of a JSON tree by its events, with a stack of its own and so of any depth; None if the text is not JSON.
+
+    Fields that are not known are passed over. A text field that holds another value keeps that value's JSON text.
+    """
+    nodes, stack, pos = Nodes(), [], 0  # a frame: kind ("array", "node" or "other"), node number or parent's, count or key
+    expect, passing = "value", None  # passing: (depth of the stack outside, begin, node, field) of a value that is not taken apart
+
+    def store(node: int, field: str, value) -> None:
+        if field in _TEXTS:
+            nodes.fields[node][_TEXTS[field]] = value
+        elif field == "page_index":
+            number = int(value) if value is not None and re.fullmatch("-?[0-9]{1,10}", value) else None
+            nodes.fields[node][3] = number if number is not None and abs(number) < 1 << 31 else None
+
+    while True:
+        found = _TOKEN.match(text, pos)
+        if not found:
+            rest = text[pos:].strip(" \t\n\r")
+            return nodes if not rest and not stack and expect == "end" else None
+        mark, string, scalar = found.groups()
+        begin, pos = found.start(found.lastindex), found.end()
+        if expect == "end":
+            return None
+        if expect in ("key", "first key"):
+            if mark == "}" and expect == "first key":
+                closed = True
+            elif string is not None:
+                stack[-1][2], expect = _unquoted(string), "colon"
+                continue
+            else:
+                return None
+        elif expect == "colon":
+            if mark != ":":
+                return None
+            expect = "value"
+            continue
+        elif expect == "after":
+            if mark == ",":
+                expect = "key" if stack[-1][3] == "{" else "value"
+                continue
+            if mark != ("}" if stack[-1][3] == "{" else "]"):
+                return None
+            closed = True
+        elif mark == "]" and expect == "first value":
+            closed = True
+        elif mark in ("{", "["):
+            top = stack[-1] if stack else None
+            if passing is None and mark == "[" and (top is None or (top[0] == "node" and top[2] == "nodes")):
+                stack.append(["array", top[1] if top else -1, 0, "["])
+            elif passing is None and mark == "{" and (top is None or top[0] == "array"):
+                number = nodes.add(top[1] if top else -1, top[2] if top else 0)
+                if top:
+                    top[2] += 1
+                stack.append(["node", number, None, "{"])
+            else:
+                if passing is None:
+                    passing = (len(stack), begin, top[1] if top and top[0] == "node" else None, top[2] if top else None)
+                stack.append(["other", None, None, mark])
+            expect = "first key" if mark == "{" else "first value"
+            continue
+        elif mark is not None:
+            return None
+        else:
+            closed = False
+            top = stack[-1] if stack else None
+            if top is None:
+                return Nodes() if scalar == "null" else None
+            if passing is None and top[0] == "node":
+                value = None if scalar == "null" else scalar if scalar is not None else _unquoted(string)
+                store(top[1], top[2], value)
+            elif passing is None and top[0] == "array":  # a node without fields
+                nodes.add(top[1], top[2])
+                top[2] += 1
+        if closed:
+            stack.pop()
+            if passing and len(stack) == passing[0]:
+                if passing[2] is not None and passing[3] in _TEXTS:
+                    store(passing[2], passing[3], text[passing[1] : pos])
+                passing = None
+        expect = "after" if stack else "end"
+
+
+def _node_rows(nodes: Nodes, wrapper: re.Pattern):
+    """(path, kept_parent, breadcrumb, title, node_id, text, page_index, depth, ordinal) of every node."""
+    paths, kept, crumbs, hides = [], [], [], []
+    for k, (parent, ordinal, (title, node_id, text, page)) in enumerate(zip(nodes.parent, nodes.ordinal, nodes.fields)):
+        paths.append((paths[parent] if parent >= 0 else []) + [ordinal])
+        kept.append(None if parent < 0 else kept[parent] if hides[parent] else paths[parent])
+        crumbs.append(f"{crumbs[parent]} > {title or ''}" if parent >= 0 else title or "")
+        bare = (title or "").strip()
+        hides.append(bare in BANNER_TITLES or wrapper.match(bare) is not None)
+        yield paths[k], kept[k], crumbs[k], title, node_id, text, page, len(paths[k]) - 1, ordinal
+
+
+def _read_trees(kind: pa.DataType, rows: int = 2000):
+    wrapper = re.compile(r"(?i:chapter)[ \t-\r]+[0-9]+:[0-9]+(?!\w)")
+
+    def run(batches):
+        for batch in batches:
+            own, made = [], []
+            for k, text in enumerate(batch.column(batch.num_columns - 1)):
+                nodes = read_nodes(text.as_py()) if text.is_valid else None
+                for row in _node_rows(nodes, wrapper) if nodes else ():
+                    own.append(k)
+                    made.append(row)
+                    if len(made) >= rows:
+                        yield _told(batch, own, made, kind)
+                        own, made = [], []
+            yield _told(batch, own, made, kind)
+
+    return run
+
+
+def _told(batch: pa.RecordBatch, own: list[int], made: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*made)) if made else [()] * kind.num_fields
+    carried = [batch.column(k).take(pa.array(own, pa.int64())) for k in range(batch.num_columns - 1)]
+    new = [pa.array(c, kind.field(k).type) for k, c in enumerate(columns)]
+    return pa.RecordBatch.from_arrays([*carried, *new], [*batch.schema.names[:-1], *(kind.field(k).name for k in range(kind.num_fields))])
+
+
+_INTS = pa.list_(pa.int32())
+_NODE = pa.struct([
+    ("path", _INTS), ("kept_parent", _INTS), ("breadcrumb", pa.string()), ("title", pa.string()), ("node_id", pa.string()), ("text", pa.string()),
+    ("page_index", pa.int32()), ("depth", pa.int32()), ("ordinal", pa.int32()),
+])
+
+
 def flatten_tree(df: DataFrame, tree: str = "tree", depth: int | None = None) -> DataFrame:
     """JSON trees to one row per node, with path, breadcrumb and the nearest ancestor that is not a wrapper.
 
-    The depth is not capped here: a pass descends LEVELS levels inside one row, without recursion or joins, and is materialized;
-    what lies deeper is descended from its nodes by the next pass, until nothing is left. With ``depth`` the trees are
-    declared to have no more levels: there is one pass, and a deeper tree raises an error instead of losing nodes.
+    A tree is read by its events, of whatever depth, in Arrow batches: one pass, nothing written, no shuffle. A text that is not
+    JSON has no nodes. With ``depth`` the trees are declared to have no more levels: they are taken apart by expressions
+    alone, and a deeper tree raises an error instead of losing nodes.
     """
     others = [c for c in df.columns if c != tree]
-    levels = LEVELS if depth is None else depth
-    text = F.col(tree)
-    if depth is None:  # the reader would drop what nests deeper than it reads: only a text with so many brackets can, and is tried first
-        readable = F.size(F.from_json(tree, "array<struct<nodes:string>>", {"mode": "FAILFAST"})) >= 0
-        text = F.when(F.length(tree) - F.length(F.translate(tree, "[{", "")) < 1000, text).when(readable, text)
+    if depth is None:
+        ints = T.ArrayType(T.IntegerType())
+        kinds = {"path": ints, "kept_parent": ints, "page_index": T.IntegerType(), "depth": T.IntegerType(), "ordinal": T.IntegerType()}
+        rows = df.select(*others, tree)
+        schema = T.StructType([*(rows.schema[c] for c in others), *(T.StructField(f.name, kinds.get(f.name, T.StringType())) for f in _NODE)])
+        return rows.mapInArrow(_read_trees(_NODE), schema)
     roots = F.transform(
-        F.from_json(text, tree_schema(levels)),
+        F.from_json(tree, tree_schema(depth)),
         lambda n, i: F.struct(
             F.array(i).alias("path"), F.lit(None).cast("array<int>").alias("kept_parent"),
             F.coalesce(n["title"], F.lit("")).alias("breadcrumb"), n.alias("n"),
         ),
     )
-    found = _descend(df, roots, others, levels, last=depth is not None)
-    if depth is None:
-        passes = [materialize(found, "tree-levels")]
-        while not (deeper := passes[-1].where(F.col("_n.below").isNotNull())).isEmpty():
-            below = _children(F.col("_n"), F.from_json("_n.below", tree_schema(levels)))
-            passes.append(materialize(_descend(deeper, below, others, levels), "tree-levels"))
-        found = reduce(DataFrame.unionByName, passes)
+    found = _descend(df, roots, others, depth)
     return found.select(
         *others, *[f"_n.{c}" for c in ("path", "kept_parent", "breadcrumb", "title", "node_id", "text", "page_index")],
         (F.size("_n.path") - 1).alias("depth"), F.element_at("_n.path", -1).alias("ordinal"),

@@ -224,7 +224,7 @@ def nodes(t):
     root = F.struct(
         F.col("source").alias("title"), F.lit("root").alias("node_id"), F.lit("").alias("text"), F.lit(0).alias("page_index"),
         F.transform("paragraphs", line).alias("nodes"))
-    return tr.flatten_tree(lines(t).select("doc_id", F.to_json(F.array(root)).alias("tree")), depth=3)
+    return tr.flatten_tree(lines(t).select("doc_id", F.to_json(F.array(root)).alias("tree")))
 
 
 def path_text(c="path"):

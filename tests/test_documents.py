@@ -46,13 +46,62 @@ def test_deep_trees_keep_every_node(spark):
     assert (last.node_id, last.page_index, last.ordinal, last.text) == ("b", 4, 1, None)
 
 
-def test_trees_beyond_the_json_reader_are_refused(spark):
-    for n in (501, 700):
-        deep = "[" + '{"title": "t", "nodes": [' * (n - 1) + '{"title": "leaf"}' + "]}" * (n - 1) + "]"
-        with pytest.raises(Exception, match="(?i)malformed"):
-            tr.flatten_tree(spark.createDataFrame([("d", deep)], "doc_id string, tree string"))
+def test_trees_of_thousands_of_levels_beside_small_ones(spark):
+    """Deeper than any recursive reader goes: every node, and the small trees beside them as ever."""
+    def chain(n):
+        return "[" + '{"title": "t", "nodes": [' * (n - 1) + '{"title": "leaf"}' + "]}" * (n - 1) + "]"
+
     wide = json.dumps([{"title": "t", "nodes": [{"title": str(k)} for k in range(1200)]}])
-    assert tr.flatten_tree(spark.createDataFrame([("d", wide)], "doc_id string, tree string")).count() == 1201
+    trees = [("a", chain(501)), ("b", chain(5000)), ("c", wide), ("d", '[{"title": "x"}]'), ("bad", '[{"title" "x"}]'), ("cut", chain(700)[:-1]), ("empty", " ")]
+    nodes = tr.flatten_tree(spark.createDataFrame(trees, "doc_id string, tree string"))
+    got = nodes.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("depth").alias("deep"), F.max_by("title", "depth").alias("last"))
+    assert {r.doc_id: (r.n, r.deep) for r in got.collect()} == {"a": (501, 500), "b": (5000, 4999), "c": (1201, 1), "d": (1, 0)}
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
+
+
+def _recursive(items, parent=None, path=(), crumb=None):
+    out = []
+    for k, n in enumerate(items):
+        n = n or {}
+        here = (*path, k)
+        texts = [n.get(f) if n.get(f) is None or isinstance(n.get(f), str) else json.dumps(n[f]) for f in ("title", "node_id", "text")]
+        line = texts[0] or "" if crumb is None else f"{crumb} > {texts[0] or ''}"
+        page = n.get("page_index") if isinstance(n.get("page_index"), int) and not isinstance(n.get("page_index"), bool) else None
+        out.append((here, line, *texts, page))
+        if isinstance(n.get("nodes"), list):
+            out += _recursive(n["nodes"], n, here, line)
+    return out
+
+
+def test_nodes_read_by_events_equal_a_recursive_reading():
+    rng = random.Random(3)
+
+    def value(depth):
+        return rng.choice([None, "a \"quoted\" ] } text", "ünï\n", 7, -1.5, True, {"k": [1, {"nodes": []}]}, [[], {"title": "no"}], "", "\\"])
+
+    def node(depth):
+        made = {f: value(depth) for f in rng.sample(["title", "node_id", "text", "other", "page_index"], rng.randrange(6))}
+        if depth and rng.random() < 0.7:
+            made["nodes"] = [node(depth - 1) if rng.random() < 0.95 else None for _ in range(rng.randrange(4))]
+        items = list(made.items())
+        rng.shuffle(items)
+        return dict(items)
+
+    for turn in range(300):
+        tree = [node(4) for _ in range(rng.randrange(4))]
+        text = json.dumps(tree, ensure_ascii=bool(turn % 2))
+        nodes = tr.read_nodes(text)
+        got = list((tuple(r[0]), r[2], *(json.dumps(json.loads(x)) if x and x[0] in "[{" else x for x in r[3:6]), r[6]) for r in tr._node_rows(nodes, re.compile("never")))
+        assert sorted(map(repr, got)) == sorted(map(repr, _recursive(tree))), text
+        spaced = tr.read_nodes(json.dumps(tree, indent=2))
+        assert (spaced.parent, spaced.ordinal) == (nodes.parent, nodes.ordinal)
+        for cut in (rng.randrange(1, max(2, len(text))), len(text) - 1):
+            broken = text[:cut]
+            try:
+                json.loads(broken)
+            except ValueError:
+                assert tr.read_nodes(broken) is None, broken
 
 
 def test_too_deep_trees_are_refused(spark):
