@@ -9,6 +9,7 @@ maximized by gradients from forward-backward. A text's language is the one with
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +22,8 @@ from docketlake.llm.common import Words, blocks, draw, examples, in_one, remaind
 CHAIN = 64
 #: Hashed features, lengths of character strings with the word's edges, words of the lexicon.
 DIMS, GRAMS, LEXICON = 1 << 16, (2, 3, 4), 50_000
+#: Bytes of text whose marginals are worked out at once, and of new words whose features are.
+BLOCK, SLICE = 1 << 20, 1 << 18
 #: Texts of each language that teach.
 PER_LABEL = 300
 UNKNOWN = "und"
@@ -32,6 +35,27 @@ def letters(word: bytes) -> bytes:
     return (t if t.isalpha() else "".join(c for c in t if c.isalpha())).encode()
 
 
+def string_hashes(text: np.ndarray, n: int) -> np.ndarray:
+    """Feature of each string of ``n`` bytes (given as unsigned 64-bit numbers)."""
+    h = np.full(len(text) - n + 1, n, np.uint64)
+    for k in range(n):
+        h = (h ^ text[k : len(text) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h % np.uint64(DIMS)).astype(np.int64)
+
+
+def slices(words: list[bytes], limit: int) -> list[tuple[int, int]]:
+    """Ranges of words that have at most ``limit`` bytes together, or one word."""
+    ends = np.cumsum([len(w) for w in words])
+    cuts, start = [], 0
+    while start < len(words):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        cuts.append((start, stop))
+        start = stop
+    return cuts
+
+
 def gram_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed strings of each word between edge marks (so those at an edge are affixes), and the offsets of the words."""
     text = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.uint64)
@@ -42,12 +66,9 @@ def gram_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for n in GRAMS:
         if len(text) < n:
             continue
-        h = np.full(len(text) - n + 1, n, np.uint64)
-        for k in range(n):
-            h = (h ^ text[k : len(text) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
+        h = string_hashes(text, n)
         inside = word[n - 1 :] == word[: len(text) - n + 1]
-        found.append((h[inside] % np.uint64(DIMS)).astype(np.int64))
+        found.append(h[inside])
         owner.append(word[: len(text) - n + 1][inside])
     if not found:
         return np.zeros(0, np.int64), np.zeros(len(words) + 1, np.int64)
@@ -112,19 +133,32 @@ class Field:
     def emissions(self, words: list[bytes]) -> np.ndarray:
         """Score of each label for each word; the last column says whether it has a letter."""
         clean = [letters(w) for w in words]
-        found, at = gram_features(clean)
         out = np.zeros((len(words), len(self.labels) + 1), np.float32)
-        out[:, :-1] = sums(self.weights[found], at)
+        for a, b in slices(clean, SLICE):
+            if len(clean[a]) > SLICE:
+                out[a, :-1] = self._of_long(clean[a])
+            else:
+                found, at = gram_features(clean[a:b])
+                out[a:b, :-1] = sums(self.weights[found], at)
         none = np.zeros(len(self.labels))
         out[:, :-1] += self.trust * np.array([self.lexicon.get(w, none) for w in clean]).reshape(len(words), -1)
         out[:, -1] = [len(w) > 0 for w in clean]
         out[out[:, -1] == 0, :-1] = 0
         return out
 
+    def _of_long(self, word: bytes) -> np.ndarray:
+        """Sum of the weights of a long word's strings, piece by piece."""
+        text = np.frombuffer(b"\x02" + word + b"\x03", np.uint8)
+        total = np.zeros(len(self.labels))
+        for n in GRAMS:
+            for k in range(0, len(text) - n + 1, SLICE):
+                total += self.weights[string_hashes(text[k : k + SLICE + n - 1].astype(np.uint64), n)].sum(0, dtype=np.float64)
+        return total
+
     def marginals(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Label marginals of every word of every text, whether the word has a letter, and the offsets of the texts."""
         if self._words is None:
-            self._words = Words(self.emissions)
+            self._words = Words(self.emissions, limit=400_000)
         words, at = words_of(texts)
         codes = self._words.number(words)
         rows = self._words.rows[codes] if words else np.zeros((0, len(self.labels) + 1), np.float32)
@@ -243,7 +277,7 @@ def _judged(docs: DataFrame, model: Field, keys: list[str]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in blocks(batch):
+            for part in blocks(batch, limit=BLOCK):
                 label, score, certain = model.judge(part.column("text").to_pylist())
                 own = [part.column(k) for k in range(part.num_columns - 1)]
                 found = [pa.array(label, pa.string()), pa.array(score), pa.array(certain)]
@@ -264,7 +298,15 @@ def keep_identified(docs: DataFrame, model: Field, least: float = 0.4) -> DataFr
 
     Texts that mix languages stay if the language of their words is clear; without labels every text with a letter stays.
     """
-    judged = _judged(in_one(docs).select("row", "row.text"), model, ["row"])
+
+    def certain(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            parts = blocks(pa.RecordBatch.from_arrays([column], ["text"]), limit=BLOCK)
+            yield pa.array(np.concatenate([np.zeros(0), *(model.judge(p.column(0).to_pylist())[2] for p in parts)]))
+
+    # only the text goes to Python; the row stays where it is
+    certainty = F.arrow_udf(certain, "double").asNondeterministic()
+    judged = in_one(docs).withColumn("_certainty", certainty(F.coalesce(F.col("row.text"), F.lit("")).cast("binary")))
     return judged.where((F.col("_certainty") > 0) & (F.col("_certainty") >= least)).select("row.*")
 
 
@@ -274,7 +316,7 @@ def label_words(docs: DataFrame, model: Field) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in blocks(batch, limit=1 << 20):
+            for part in blocks(batch, limit=BLOCK):
                 texts = part.column("text").to_pylist()
                 words, at = words_of(texts)
                 if not words or not model.labels:
