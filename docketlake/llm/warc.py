@@ -71,16 +71,19 @@ def roles(pages: DataFrame) -> DataFrame:
 
 
 def build_dictionary(pages: DataFrame, records: int = DICT_RECORDS, size: int = DICT_BYTES) -> bytes:
-    """A dictionary from at most about ``records`` records (the bounded sample that it is fitted on); empty if too few."""
+    """A dictionary from at most about ``records`` records (the bounded sample that it is fitted on); empty without records.
+
+    Where the trainer asks for more text than they have, the end of their own bytes is the dictionary's content.
+    """
     rows = pages.select("page_id", "url", utf8("html").alias("html"))
     total = pages.count()
     share = min(1.0, records / total) if total else 0.0
     drawn = rows.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 40)) < share * (1 << 40)).collect()
     samples = [record(str(r["page_id"]), r["url"], bytes(r["html"]), "0" * 64, None) for r in drawn]
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 8 else b""
-    except zstandard.ZstdError:  # the trainer asks for more text than these records have
-        return b""
+        return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 8 else b"".join(samples)[-size:]
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
 def _writer(dictionary: bytes, archive_bytes: int):

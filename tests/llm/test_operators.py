@@ -387,3 +387,26 @@ def test_no_rows_give_no_rows(spark, empty):
     assert crf.keep_identified(empty, crf.fit(crf.training_rows(empty))).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.write_archives(pages)).count() == 0
+
+
+def test_long_words_are_described_in_pieces(monkeypatch):
+    """Slices of new words and pieces of one long word give what all of them give at once."""
+    rng = random.Random(6)
+    langs = {"de": ["haus", "nicht", "schön", "werden"], "en": ["house", "not", "nice", "would"]}
+    texts, labels = zip(*[(" ".join(rng.choices(langs[x], k=30)).encode(), x) for x in ("de", "en") for _ in range(20)])
+    field = crf.train(list(texts), list(labels), chains=50, rounds=5)
+    words = [b"haus", b"x" * 3000, "schön".encode() * 500, b"12", b"", b"would" * 77, *(f"w{k}".encode() for k in range(300))]
+    whole = field.emissions(words)
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(crf, "SLICE", size)
+        assert np.allclose(field.emissions(words), whole, rtol=1e-4, atol=1e-3)
+
+
+def test_few_records_have_a_dictionary_too(spark):
+    """Fewer records than the trainer takes: their own bytes are the dictionary, in the leading frame, and all is read back."""
+    for n in (1, 3, 9):
+        pages = spark.createDataFrame([(k, f"http://x/{k}", f"<p>page {k} of a very small crawl</p>") for k in range(n)], "page_id long, url string, html string")
+        archives = warc.write_archives(pages)
+        content = archives.first().content
+        assert bytes(content[:4]) == (0x184D2A5D).to_bytes(4, "little") and len(list(warc.read_records(bytes(content)))) >= 1
+        assert {(r.page_id, r.record_type) for r in warc.read_archives(archives).collect()} == {(k, "response") for k in range(n)}
