@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two Zstandard dictionaries are trained: one on toxic and one on ordinary text. Both hold the same most frequent ordinary
-strings; behind them the one holds the strings that tell toxic texts apart, the other further ordinary strings. A window is a
+Two raw Zstandard dictionaries are put together from training texts, one for toxic and one for ordinary text (Zstandard's own
+trainer told them apart worse, see README). Both hold the same most frequent ordinary strings; behind them the one holds the strings that tell toxic texts apart, the other further ordinary strings. A window is a
 word within a carrier phrase that both dictionaries know, so that the compressed length beyond the carrier is the word's
 own. How many bytes the toxic dictionary saves is compared with a threshold per window; the windows beyond it, their share
 of the text and their savings give the score. The threshold and the weights are calibrated on labelled texts that the
