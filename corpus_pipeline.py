@@ -22,19 +22,30 @@ MAX_REPEATS = 1.25
 ORACLE_SQL = None
 
 
+#: Bytes of rows that go to Python at once: whole texts wait on both sides of the border, for every task of an executor.
+BATCH_BYTES = 8 << 20
+
+
+def _bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose text has no letter or no clear language."""
+    _bounded_batches(spark)
     return keep_identified(docs, fit(training_rows(docs)))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out lines that an earlier line nearly repeats; documents that consist of such lines go."""
+    _bounded_batches(spark)
     left = line_dedup(docs)
     return left.withColumn("n_chars", F.length("text").cast(left.schema["n_chars"].dataType)) if "n_chars" in left.columns else left
 
 
 def drop_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more)."""
+    _bounded_batches(spark)
     return drop_near_duplicates(docs, size=5, percent=80)
 
 
@@ -45,6 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents along the Hilbert curve: one row per piece."""
+    _bounded_batches(spark)
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
