@@ -225,7 +225,8 @@ def quality_score(density, grounded, reasoning, relevance_ratio, citations, answ
         "relevance": F.round(ratio * 100, 1),
         "citation_density": F.round(F.least(F.lit(100.0), n / F.greatest(F.lit(1.0), length / 100) * 50), 1),
     }
-    overall = sum((parts[k] * w for k, w in QUALITY_WEIGHTS.items()), F.lit(0.0))
+    # six digits first: the sum of a tie such as 45.35 may lie a last bit below it, and grades would miss their floor likewise
+    overall = F.round(sum((parts[k] * w for k, w in QUALITY_WEIGHTS.items()), F.lit(0.0)), 6)
     grade = F.lit("F")
     for floor, name in reversed(GRADES):
         grade = F.when(overall >= floor, name).otherwise(grade)

@@ -257,3 +257,13 @@ def test_context_budget_needs_no_text(spark):
     assert whole == {1: (3000, 0, "a" * 2000), 3: (750, 500, "b" * 2000)}
     sizes = hits.select("query_id", "rank", F.floor(F.length("content") / 4).cast("int").alias("est_tokens"))
     assert {r["rank"]: (r.est_tokens, r.used_before) for r in rt.within_token_budget(sizes).collect()} == {k: v[:2] for k, v in whole.items()}
+
+
+def test_grade_of_a_mean_at_its_floor(spark):
+    """62 * 0.3 + 95 * 0.3 + 89 * 0.2 + 0.5 * 0.2 is 65; the sum of the doubles lies a last bit below it."""
+    from docketlake.operators.quality import quality_score
+
+    cols = quality_score(F.lit(0.62), F.lit(False), F.lit("excellent"), F.lit(0.89), F.lit(1), F.lit(10_000))
+    row = spark.range(1).select(*[c.alias(n) for n, c in cols.items()]).first()
+    assert (row.attribution, row.coherence, row.relevance, row.citation_density) == (62.0, 95.0, 89.0, 0.5)
+    assert (row.overall, row.grade) == (65.0, "C")
