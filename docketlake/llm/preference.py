@@ -1,14 +1,15 @@
 """Quality scores learned from preference pairs (Bradley-Terry).
 
 A document's strength is a weighted sum of its features; the chance that one document is preferred to another is the
-logistic function of the difference of their strengths. The weights minimize the logistic loss over pairs of a preferred
-and a rejected document. Strengths have no zero of their own, so the cut is a quantile of the training strengths: as many
+logistic function of the difference of their strengths. The weights minimize the logistic loss over all pairs of a preferred
+and a rejected document of the whole training set. Strengths have no zero of their own, so the cut is a quantile of the training strengths: as many
 lie below it as there were rejected documents.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 from zlib import crc32
@@ -17,16 +18,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docketlake.llm.common import Words, blocks, examples, sums, utf8, words_of
+from docketlake.llm.common import Words, blocks, sums, utf8, words_of
 from docketlake.llm.rules import repeated_words
+from docketlake.session import materialize
 
 #: Hashed word shapes, besides the named features.
 SHAPES = 64
 NAMED = ["words", "length", "long", "short", "upper", "title", "digit", "mark", "pipe", "end", "repeat", "adjacent", "distinct", "lines"]
 SIZE = len(NAMED) + SHAPES
-#: Texts of each label that teach, and score of the cut.
-PER_LABEL = 1500
+#: Score of the cut.
 CUT_SCORE = 0.3
+#: Rounds of the fit; bins of strengths in a round, and ranges in a step towards the cut.
+ROUNDS, BINS, CUTS = 16, 64, 4096
+#: Features as whole numbers: their greatest value and steps of one; steps of a standardized feature and of a weight.
+MOST, FINE, STEPS, WEIGHT = 16, 1 << 18, 1 << 12, 1 << 20
 _RUN = re.compile(r"(.)\1+")
 _MARKS = re.compile(r"[#*$%&|<>!]")
 
@@ -108,42 +113,118 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(at_cut + (self.strength(x) - self.cut) * self.slope, -30, 30)))
 
 
-def fit_pairs(preferred: np.ndarray, rejected: np.ndarray, pairs: int = 20_000, rounds: int = 200, ridge: float = 1e-3, seed: int = 5) -> Ranker:
-    """Draw pairs of a preferred and a rejected row and minimize their logistic loss by full gradients with momentum."""
-    rng = np.random.default_rng(seed)
-    every = np.concatenate([preferred, rejected])
-    mean, scale = every.mean(0), every.std(0)
-    scale = np.where(scale > 1e-9, scale, 1.0)
+def _described(rows: DataFrame) -> DataFrame:
+    """(label, x): the features of labelled rows as whole numbers, so that their sums are exact in any order."""
 
-    def lifted(x):
-        z = np.clip((x - mean) / scale, -6, 6)
-        return np.concatenate([z, np.abs(z)], axis=1)
+    def run(batches):
+        for batch in batches:
+            for part in blocks(batch):
+                x = np.rint(np.minimum(features(part.column("text").to_pylist()), MOST) * FINE).astype(np.int32)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), SIZE).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("label"), lists], ["label", "x"])
+
+    return rows.select((F.col("label") == 1).alias("label"), utf8("text").alias("text")).mapInArrow(run, "label boolean, x array<int>")
+
+
+def _totals(table: DataFrame, size: int, step: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """``size`` whole numbers that ``step(x, label)`` gives for a block of rows, summed over all rows of the table."""
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy().reshape(-1, SIZE)
+                total += step(x, batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "value"])
+
+    out = np.zeros(size)
+    for r in table.mapInArrow(run, "slot long, value long").groupBy("slot").agg(F.sum("value").alias("value")).collect():
+        out[r["slot"]] = r["value"]
+    return out
 
-    good, bad = lifted(preferred), lifted(rejected)
-    difference = good[rng.integers(0, len(good), pairs)] - bad[rng.integers(0, len(bad), pairs)]
-    weights, speed = np.zeros(difference.shape[1]), 0.0
-    rate = 4.0 / max(np.mean(np.sum(difference**2, axis=1)), 1e-9)
-    for _ in range(rounds):
-        miss = 1 / (1 + np.exp(np.clip(difference @ weights, -30, 30)))
-        speed = 0.9 * speed + difference.T @ miss / pairs - ridge * weights
-        weights = weights + rate * speed
-    strengths = np.concatenate([good @ weights, bad @ weights])
-    cut = float(np.quantile(strengths, len(bad) / len(strengths)))
-    spread = float(np.std(strengths))
-    return Ranker(weights, mean, scale, cut, 4 / max(spread, 1e-9))
 
+def fit(rows: DataFrame, rounds: int = ROUNDS, ridge: float = 1e-3) -> Ranker:
+    """Fit on all labelled rows (doc_id, text, label): minimize the mean logistic loss of all pairs of a preferred and a rejected row.
 
-def fit(rows: DataFrame) -> Ranker:
-    """Fit on labelled rows (doc_id, text, label), of which there are at most about PER_LABEL of each label (``labelled``).
+    The features are written once. The loss of all pairs needs no pair: its curvature is bounded by that of zero weights, which
+    follows from sums and products over the rows of each label, and its gradient from counts and sums of rows whose strengths
+    lie in one of ``BINS`` narrow bins. Each round is one pass with momentum. Only such sums come to the driver.
 
     Without rows of both labels there is no pair: all strengths are then equal and every score is that of the cut.
     """
-    drawn = examples(rows)
-    x = np.concatenate([np.zeros((0, SIZE)), *(features([r["text"].encode() for r in drawn[k : k + 100]]) for k in range(0, len(drawn), 100))])
-    label = np.array([r["label"] for r in drawn], bool)
-    if not label.any() or label.all():
+    table = materialize(_described(rows), "features")
+    counts = {r["label"]: r["n"] for r in table.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    bad, good = counts.get(False, 0), counts.get(True, 0)
+    if not good or not bad:
         return Ranker(np.zeros(2 * SIZE), np.zeros(SIZE), np.ones(SIZE), 0.0, 1.0)
-    return fit_pairs(x[label], x[~label])
+    n = good + bad
+    first, second = _totals(table, 2 * SIZE, lambda x, _: np.concatenate([x.sum(0, dtype=np.int64), np.square(x, dtype=np.int64).sum(0)])).reshape(2, SIZE)
+    mean = first / n / FINE
+    scale = np.sqrt(np.maximum(second / n / FINE**2 - mean**2, 0.0))
+    scale = np.where(scale > 1e-6, scale, 1.0)
+
+    def lifted(x):
+        z = np.rint(np.clip((x / FINE - mean) / scale, -6, 6) * STEPS)
+        return np.concatenate([z, np.abs(z)], axis=1)
+
+    width = 2 * SIZE
+
+    def products(x, label):
+        z = lifted(x)
+        return np.concatenate([np.concatenate([z[label == k].sum(0), (z[label == k].T @ z[label == k]).ravel()]) for k in (0, 1)])
+
+    sums_of, squares = np.split(_totals(table, 2 * (width + width**2), products).reshape(2, width + width**2), [width], axis=1)
+    sums_of, squares = sums_of / STEPS, squares.reshape(2, width, width) / STEPS**2
+    crossed = np.outer(sums_of[1], sums_of[0])
+    bend = (bad * squares[1] + good * squares[0] - crossed - crossed.T) / (4.0 * good * bad) + ridge * np.eye(width)
+
+    def binned(weights, low, step):
+        """Count and sum of the rows of each label whose strengths lie in a bin."""
+        whole = np.rint(weights * WEIGHT)
+
+        def block(x, label):
+            z = lifted(x)
+            place = np.clip(np.floor((z @ whole / (STEPS * WEIGHT) - low) / step), 0, BINS - 1).astype(np.int64) + label * BINS
+            member = np.zeros((2 * BINS, len(z)))
+            member[place, np.arange(len(z))] = 1
+            return np.concatenate([member.sum(1)[:, None], member @ z], axis=1).ravel()
+
+        found = _totals(table, 2 * BINS * (width + 1), block).reshape(2, BINS, width + 1)
+        return found[:, :, 0], found[:, :, 1:] / STEPS
+
+    def cut_of(weights):
+        """The strength below which as many rows lie as were rejected, by counts in ever narrower ranges."""
+        whole = np.rint(weights * WEIGHT)
+        low, reach, under = -6.0 * np.abs(weights).sum() - 1e-6, 12.0 * np.abs(weights).sum() + 2e-6, 0
+        for _ in range(3):
+            step = reach / CUTS
+
+            def block(x, _):
+                place = np.floor((lifted(x) @ whole / (STEPS * WEIGHT) - low) / step)
+                return np.bincount(place[(place >= 0) & (place < CUTS)].astype(np.int64), minlength=CUTS)
+
+            upto = under + np.cumsum(_totals(table, CUTS, block))
+            at = min(int(np.searchsorted(upto, bad)), CUTS - 1)
+            low, reach, under = low + at * step, step, upto[at - 1] if at else under
+        return low + reach
+
+    def spread(weights):
+        middle = float(sums_of.sum(0) @ weights / n)
+        return middle, float(np.sqrt(max(weights @ squares.sum(0) @ weights / n - middle**2, 0.0)))
+
+    weights = ahead = np.zeros(width)
+    for k in range(rounds):
+        middle, deviation = spread(ahead)
+        step = max(10 * deviation / BINS, 1e-9)
+        count, total = binned(ahead, middle - step * BINS / 2, step)
+        strength = total @ ahead / np.maximum(count, 1)
+        miss = 1 / (1 + np.exp(np.clip(strength[1][:, None] - strength[0][None, :], -30, 30)))
+        gradient = ((miss @ count[0]) @ total[1] - (count[1] @ miss) @ total[0]) / (good * bad) - ridge * ahead
+        newer = ahead + np.linalg.solve(bend, gradient)
+        ahead, weights = newer + k / (k + 3) * (newer - weights), newer
+
+    return Ranker(weights, mean, scale, cut_of(weights), 4 / max(spread(weights)[1], 1e-9))
 
 
 def score(docs: DataFrame, model: Ranker, keys: list[str], cut: float = CUT_SCORE) -> DataFrame:

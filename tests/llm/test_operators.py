@@ -376,6 +376,31 @@ def test_models_score_every_row(spark, docs, rows):
     assert 30 <= preference.quantile_filter(preference.score(corpus, model if module is preference else preference.fit(labelled(corpus, labels, "quality", 4, 2, 100)), ["doc_id"]), 0.1).count() <= 400
 
 
+def test_all_labelled_texts_teach_quality(spark):
+    """Every labelled text outside the held-out part counts, the fit does not depend on partitions, and the loss of all pairs is least."""
+    from docketlake.llm.common import labelled, remainder
+
+    rng = random.Random(9)
+    made = [(k, words(rng, rng.randrange(3, 30), 50) + (" ### 12" if rng.random() < (0.2 if k % 3 else 0.6) else "")) for k in range(4200)]
+    corpus = spark.createDataFrame(made, "doc_id long, text string")
+    labels = corpus.select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("quality"))
+    teaching = labelled(corpus, labels, "quality", 5, 0)
+    taught = {r.doc_id for r in teaching.select("doc_id").collect()}
+    assert taught == {r.doc_id for r in corpus.where(remainder("doc_id", 5) != 0).collect()} and len(taught) > 3000
+    model = preference.fit(teaching.repartition(1))
+    again = preference.fit(teaching.repartition(7))
+    assert np.array_equal(model.weights, again.weights) and model.cut == again.cut
+
+    kept = [(k, t) for k, t in made if k in taught]
+    strength, bad = model.strength(preference.features([t.encode() for _, t in kept])), np.array([k % 3 == 0 for k, _ in kept])
+    assert abs(int((strength < model.cut).sum()) - int(bad.sum())) <= 10
+
+    def loss(s, w):
+        return np.mean(np.logaddexp(0, s[bad][None, :] - s[~bad][:, None])) + 0.5e-3 * w @ w
+
+    assert loss(strength, model.weights) < min(loss(0 * strength, 0 * model.weights), loss(strength * 0.8, model.weights * 0.8), loss(strength * 1.25, model.weights * 1.25))
+
+
 def test_no_rows_give_no_rows(spark, empty):
     assert rules.quality_rules(empty).count() == 0
     assert packing.pack(empty, BPE).count() == 0
