@@ -99,6 +99,29 @@ def test_search_reads_the_folders_of_the_query_terms(spark):
     assert filters and all(" IN (" in f or " = " in f for f in filters)
 
 
+def test_postings_and_scores_are_not_shuffled_one_by_one(spark, monkeypatch):
+    """Blocks are made where the chunks lie, also across slices and batches; a search sends blocks and the best of a tile."""
+    monkeypatch.setattr(bm25, "SLICE", 8)
+    monkeypatch.setattr(bm25, "RANGE_BITS", 3)
+    texts = {f"c{i:03d}": " ".join([f"w{i % 7}"] * (i % 3 + 1) + ["all", f"own{i}"]) for i in range(200)}
+    chunks = spark.createDataFrame([(c, "d", "act", t) for c, t in texts.items()], "chunk_id string, doc_id string, doc_type string, chunk_text string").coalesce(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        index = bm25.build_bm25(chunks)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = sorted((w, c, n, len(t.split())) for c, t in texts.items() for w, n in Counter(t.split()).items())
+    assert sorted(tuple(r) for r in index.named_postings().collect()) == want
+    assert sorted(tuple(r) for r in index.postings.join(index.doc_stats().select("chunk_no", "chunk_id"), "chunk_no").select("term", "chunk_id", "tf", "dl").collect()) == want
+    assert sum(r.n for r in index.blocks.collect()) == len(want)
+    twice = index.blocks.groupBy("term", "range").count().where("count > 1").count()
+    assert twice == 0
+    hits = bm25.bm25_search(index, spark.createDataFrame([("q", "all w3")], "query_id string, query string"), 3)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan and not re.search(r"Generate inline\(posts", plan)
+    assert {h.chunk_id for h in hits.collect()} <= {c for c, t in texts.items() if "w3" in t.split()}
+
+
 def test_an_empty_corpus_gives_no_hits(spark):
     none = spark.createDataFrame([], "chunk_id string, doc_id string, doc_type string, chunk_text string")
     assert bm25.bm25_search(bm25.build_bm25(none), spark.createDataFrame([("q", "word")], "query_id string, query string")).collect() == []
