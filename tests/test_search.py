@@ -6,8 +6,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 import __spark_entry__ as entry
 from docketlake.operators import bm25, fusion as fu, retrieval as rt, vectors as ve
@@ -217,6 +218,22 @@ def test_embed_failure_policy(spark):
         ve.embed(df, fn, 3, batch=1).collect()
 
 
+def test_vectors_leave_a_worker_in_pieces_of_bounded_size():
+    class Frame:
+        schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("chunk_text", T.StringType())])
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = ve.embed(Frame(), lambda texts: np.array([[len(t)] * 1024 for t in texts]), 1024, batch=30)
+    texts = ["x" * (i % 9) for i in range(5000)]
+    pieces = list(run(iter([pa.RecordBatch.from_pydict({"id": list(range(5000)), "chunk_text": texts})])))
+    assert len(pieces) > 1 and all(p.num_rows * 4096 <= ve.EMBED_BYTES for p in pieces)
+    rows = pa.Table.from_batches(pieces)
+    assert rows["id"].to_pylist() == list(range(5000)) and all(rows["embedded"].to_pylist())
+    assert [v[-1] for v in rows["embedding"].to_pylist()] == [len(t) for t in texts]
+
+
 def test_diversity_cap_fills_up_in_rank_order(spark):
     ranked = spark.createDataFrame([("q", f"c{i:02}", "A" if i <= 6 else ("B" if i <= 8 else "C"), i) for i in range(1, 11)], "query_id string, chunk_id string, doc_id string, rank int")
     got = [r.chunk_id for r in fu.diversify(ranked, 5).orderBy("position").collect()]
