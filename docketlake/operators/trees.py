@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
@@ -99,11 +101,82 @@ def _unquoted(string: str) -> str:
         return string[1:-1]
 
 
+class _ByEvents(Exception):
+    """A tree that is left to the reader by events."""
+
+
+def _unique(pairs: list[tuple]) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise _ByEvents
+    return found
+
+
+def _no_constant(name: str):
+    raise _ByEvents
+
+
+_PLAIN = json.JSONDecoder(object_pairs_hook=_unique, parse_constant=_no_constant)
+_PAGE = re.compile("-?[0-9]{1,10}")
+
+
+def _page_number(value) -> int | None:
+    if isinstance(value, str):
+        value = int(value) if _PAGE.fullmatch(value) else None
+    return value if type(value) is int and abs(value) < 1 << 31 else None
+
+
+def _plain_nodes(text: str) -> Nodes:
+    """The nodes of a tree as Python's own JSON reader sees it; raises where the two readers might differ."""
+    if "\\ud" in text or "\\uD" in text:  # half a surrogate pair
+        raise _ByEvents
+    tree, nodes = _PLAIN.decode(text), Nodes()
+    if isinstance(tree, dict):
+        tree = [tree]
+    elif tree is not None and not isinstance(tree, list):
+        raise _ByEvents
+    stack = [(iter(tree or ()), -1)]
+    ordinals = [0]
+    while stack:
+        siblings, parent = stack[-1]
+        for value in siblings:
+            if isinstance(value, list):  # not a node
+                continue
+            number = nodes.add(parent, ordinals[-1])
+            ordinals[-1] += 1
+            if not isinstance(value, dict):
+                continue
+            fields = nodes.fields[number]
+            for name, k in _TEXTS.items():
+                fields[k] = field = value.get(name)
+                if field is not None and type(field) is not str:
+                    raise _ByEvents
+            fields[3] = _page_number(value.get("page_index"))
+            below = value.get("nodes")
+            if below and isinstance(below, list):
+                stack.append((iter(below), number))
+                ordinals.append(0)
+                break
+        else:
+            stack.pop()
+            ordinals.pop()
+    return nodes
+
+
 def read_nodes(text: str) -> Nodes | None:
-    """The nodes of a JSON tree by its events, with a stack of its own and so of any depth; None if the text is not JSON.
+    """The nodes of a JSON tree of any depth; None if the text is not JSON.
 
-    Fields that are not known are passed over. A text field that holds another value keeps that value's JSON text.
+    Fields that are not known are passed over. A text field that holds another value keeps that value's JSON text. Plain trees
+    are read by Python's JSON reader; what it refuses, what is too deep for it, and what it may see otherwise is read by events.
     """
+    try:
+        return _plain_nodes(text)
+    except (_ByEvents, ValueError, RecursionError):
+        return nodes_by_events(text)
+
+
+def nodes_by_events(text: str) -> Nodes | None:
+    """The nodes of a JSON tree by its events, with a stack of its own and so of any depth; None if the text is not JSON."""
     nodes, stack, pos = Nodes(), [], 0  # a frame: kind ("array", "node" or "other"), node number or parent's, count or key
     expect, passing = "value", None  # passing: (depth of the stack outside, begin, node, field) of a value that is not taken apart
 
@@ -111,8 +184,7 @@ def read_nodes(text: str) -> Nodes | None:
         if field in _TEXTS:
             nodes.fields[node][_TEXTS[field]] = value
         elif field == "page_index":
-            number = int(value) if value is not None and re.fullmatch("-?[0-9]{1,10}", value) else None
-            nodes.fields[node][3] = number if number is not None and abs(number) < 1 << 31 else None
+            nodes.fields[node][3] = _page_number(value)
 
     while True:
         found = _TOKEN.match(text, pos)
@@ -194,20 +266,21 @@ def _node_rows(nodes: Nodes, wrapper: re.Pattern):
         yield paths[k], kept[k], crumbs[k], title, node_id, text, page, len(paths[k]) - 1, ordinal
 
 
-def _read_trees(kind: pa.DataType, rows: int = 2000):
+def _read_trees(kind: pa.DataType, rows: int = 2000, chars: int = 4 << 20):
     wrapper = re.compile(r"(?i:chapter)[ \t-\r]+[0-9]+:[0-9]+(?!\w)")
 
     def run(batches):
         for batch in batches:
-            own, made = [], []
+            own, made, size = [], [], 0
             for k, text in enumerate(batch.column(batch.num_columns - 1)):
                 nodes = read_nodes(text.as_py()) if text.is_valid else None
                 for row in _node_rows(nodes, wrapper) if nodes else ():
                     own.append(k)
                     made.append(row)
-                    if len(made) >= rows:
+                    size += len(row[2]) + len(row[5] or "") + 2 * len(row[0])
+                    if len(made) >= rows or size >= chars:
                         yield _told(batch, own, made, kind)
-                        own, made = [], []
+                        own, made, size = [], [], 0
             yield _told(batch, own, made, kind)
 
     return run
@@ -216,10 +289,17 @@ def _read_trees(kind: pa.DataType, rows: int = 2000):
 def _told(batch: pa.RecordBatch, own: list[int], made: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     columns = list(zip(*made)) if made else [()] * kind.num_fields
     carried = [batch.column(k).take(pa.array(own, pa.int64())) for k in range(batch.num_columns - 1)]
-    new = [pa.array(c, kind.field(k).type) for k, c in enumerate(columns)]
+    new = [_int_lists(c) if kind.field(k).type == _INTS else pa.array(c, kind.field(k).type) for k, c in enumerate(columns)]
     return pa.RecordBatch.from_arrays([*carried, *new], [*batch.schema.names[:-1], *(kind.field(k).name for k in range(kind.num_fields))])
 
 
+def _int_lists(lists: tuple) -> pa.ListArray:
+    """A column of lists of integers, None for a null list; as one array it is made faster than list by list."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) if x else 0 for x in lists])]).astype(np.int32)
+    values = np.fromiter(chain.from_iterable(x for x in lists if x), np.int32, offsets[-1])
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.array([*(x is None for x in lists), False])), pa.array(values))
+
+
 _INTS = pa.list_(pa.int32())
 _NODE = pa.struct([
     ("path", _INTS), ("kept_parent", _INTS), ("breadcrumb", pa.string()), ("title", pa.string()), ("node_id", pa.string()), ("text", pa.string()),
@@ -230,7 +310,7 @@ _NODE = pa.struct([
 def flatten_tree(df: DataFrame, tree: str = "tree", depth: int | None = None) -> DataFrame:
     """JSON trees to one row per node, with path, breadcrumb and the nearest ancestor that is not a wrapper.
 
-    A tree is read by its events, of whatever depth, in Arrow batches: one pass, nothing written, no shuffle. A text that is not
+    A tree of whatever depth is read in Arrow batches: one pass, nothing written, no shuffle. A text that is not
     JSON has no nodes. With ``depth`` the trees are declared to have no more levels: they are taken apart by expressions
     alone, and a deeper tree raises an error instead of losing nodes.
     """

@@ -241,3 +241,17 @@ def test_quotes_meet_contexts_by_one_gram(spark):
         if quotes:
             want[q] = (all(ok), sum(ok), " | ".join(bad[:3]))
     assert {r.query_id: (r.all_verified, r.verified_count, r.unverified_quotes) for r in got.collect()} == want and len(want) > 20
+
+
+def test_both_readers_of_trees_agree():
+    def seen(nodes):
+        return nodes and (nodes.parent, nodes.ordinal, nodes.fields)
+
+    odd = [
+        "null", "5", "", "[", "[]", "{}", "[null, 3, {}]", '[[{"title": "x"}], {"title": "y"}]', '{"title": 5}', '{"title": {"a": [1, 2]}}', '{"text": "a", "text": "b"}',
+        '{"nodes": [{}], "nodes": [{}, {}], "page_index": 3}', '{"nodes": {"title": "x"}}', '{"nodes": 4, "page_index": "7"}', '{"page_index": 4.0}', '{"page_index": true}',
+        '{"page_index": -0}', '{"page_index": 007}', '{"page_index": 2147483648}', '{"page_index": [1]}', '{"title": "\\ud800x", "nodes": [{"text": "\\u00e9\\ud83d\\ude00"}]}',
+        '{"title": "\\q"}', '{"title": "a\nb"}', '{"title": NaN}', '{"other": {"nodes": [{}]}, "nodes": [1, {"text": "t", "nodes": [{}]}, {"node_id": "n"}]}', "[] x", "\ufeff[]",
+        '{"nodes": [' * 20_000 + "]}" * 20_000,
+    ]
+    assert [seen(tr.read_nodes(t)) for t in odd] == [seen(tr.nodes_by_events(t)) for t in odd]
