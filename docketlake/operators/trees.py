@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from docketlake.constants import BANNER_TITLES, MIN_TOKENS
 from docketlake.functions.ids import chunk_id
 from docketlake.functions.text import _c, collapse_ws, estimate_tokens, strip
-from docketlake.session import materialize
 
 
 def tree_schema(depth: int) -> T.ArrayType:
@@ -381,26 +380,28 @@ def clean_text(text: Column | str, title: Column | str | None = None) -> Column:
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
-def clean_tree(nodes: DataFrame) -> DataFrame:
-    """Drop wrappers (their children move up), clean texts, and keep one node per parent and title.
+def mark_tree(nodes: DataFrame) -> DataFrame:
+    """Drop wrappers (their children move up), clean texts, and tell with ``gone`` which nodes a cleaned tree leaves out.
 
-    The longest text wins, the first on ties, at the first one's place; nodes below a dropped node go too.
+    Of the nodes of a parent and title the longest text stays, the first on ties, at the first one's ``place``; nodes below one
+    that goes go too. All nodes of a document meet in one shuffle. In path order the nodes below one are those up to its
+    next possible sibling, so the furthest such end so far tells whether a node lies below one that goes.
     """
     kept = nodes.where(~is_wrapper(F.col("title"))).withColumn("text", clean_text("text", "title"))
-    kept = kept.withColumn("_key", title_key("title"))
-    group = W.partitionBy("doc_id", "kept_parent", "_key")
-    placed = kept.withColumn("_best", F.row_number().over(group.orderBy(F.desc(F.length("text")), "path"))).withColumn(
-        "place", F.min("path").over(group)
-    )
-    placed = materialize(placed, "tree")  # read three times below
-    dropped = placed.where(F.col("_best") > 1).select("doc_id", F.col("path").alias("_gone"))
-    prefixes = F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice(F.col("path"), F.lit(1), i))
-    doomed = (
-        placed.select("doc_id", "path", F.explode(prefixes).alias("_gone"))
-        .join(dropped, ["doc_id", "_gone"], "left_semi")
-        .select("doc_id", "path").distinct()
-    )
-    return placed.join(doomed, ["doc_id", "path"], "left_anti").drop("_key", "_best")
+    kept = kept.withColumn("_key", title_key("title")).withColumn("_length", F.length("text")).repartition("doc_id")
+    group = W.partitionBy("doc_id", "kept_parent", "_key").orderBy(F.desc("_length"), "path")
+    whole = group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    placed = kept.withColumn("_best", F.row_number().over(group)).withColumn("place", F.min("path").over(whole))
+    end = F.concat(F.slice("path", F.lit(1), F.size("path") - 1), F.array(F.element_at("path", -1) + 1))
+    upto = W.partitionBy("doc_id").orderBy("path").rowsBetween(W.unboundedPreceding, W.currentRow)
+    reach = placed.withColumn("_end", end).withColumn("_reach", F.max(F.when(F.col("_best") > 1, F.col("_end"))).over(upto))
+    below = F.col("doc_id").isNotNull() & F.coalesce(F.col("_reach") > F.col("_end"), F.lit(False))
+    return reach.withColumn("gone", (F.col("_best") > 1) | below).drop("_key", "_length", "_best", "_end", "_reach")
+
+
+def clean_tree(nodes: DataFrame) -> DataFrame:
+    """The nodes that stay of those that ``mark_tree`` marks."""
+    return mark_tree(nodes).where(~F.col("gone")).drop("gone")
 
 
 def fill_from_pages(nodes: DataFrame, pages: DataFrame, by_page: bool = True) -> DataFrame:

@@ -255,3 +255,14 @@ def test_both_readers_of_trees_agree():
         '{"nodes": [' * 20_000 + "]}" * 20_000,
     ]
     assert [seen(tr.read_nodes(t)) for t in odd] == [seen(tr.nodes_by_events(t)) for t in odd]
+
+
+def test_trees_are_cleaned_in_one_shuffle(spark):
+    rows = [("d", [0], None, "Act", ""), ("d", [0, 0], [0], "One", "a"), ("d", [0, 0, 0], [0, 0], "kid", "k"), ("d", [0, 1], [0], "one ", "longer"),
+            ("d", [0, 1, 0], [0, 1], "kid", "k"), ("d", [0, 2], [0], "Two", "t"), ("d", [0, 2, 0], [0, 2], "x", "1"), ("d", [0, 2, 1], [0, 2], "x", "12"), ("d", [0, 10], [0], "ten", ""),
+            ("e", [0], None, "Act", "one text of two that share an id"), ("e", [0], None, "Act", "shorter")]
+    nodes = spark.createDataFrame(rows, "doc_id string, path array<int>, kept_parent array<int>, title string, text string")
+    clean = tr.clean_tree(nodes)
+    assert clean._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {(r.doc_id, tuple(r.path), tuple(r.place)) for r in clean.collect()}
+    assert got == {("d", (0,), (0,)), ("d", (0, 1), (0, 0)), ("d", (0, 1, 0), (0, 1, 0)), ("d", (0, 2), (0, 2)), ("d", (0, 2, 1), (0, 2, 0)), ("d", (0, 10), (0, 10)), ("e", (0,), (0,))}
