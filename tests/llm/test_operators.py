@@ -435,3 +435,52 @@ def test_few_records_have_a_dictionary_too(spark):
         content = archives.first().content
         assert bytes(content[:4]) == (0x184D2A5D).to_bytes(4, "little") and len(list(warc.read_records(bytes(content)))) >= 1
         assert {(r.page_id, r.record_type) for r in warc.read_archives(archives).collect()} == {(k, "response") for k in range(n)}
+
+
+def test_lines_that_are_similar_enough_share_a_mark_and_pass_the_bits():
+    import pyarrow as pa
+
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    rng = random.Random(5)
+    for percent in (50, 67, 80, 93):
+        texts = []
+        for _ in range(400):
+            words = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 40))]
+            other = [w for w in words if rng.random() > 0.12] + [f"v{rng.randrange(60)}" for _ in range(rng.randrange(4))]
+            texts += [" ".join(words).encode(), " ".join(other).encode()]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary()), pa.array(texts, pa.binary())], ["doc_id", "text_id", "text"])
+        run = line_dedup._line_sets(percent, Held(np.zeros(0, np.uint64)), Held(np.zeros(0, np.int64)))
+        rows = {r["doc_id"]: r for made in run([batch]) for r in made.to_pylist()}
+        met = 0
+        for k in range(0, len(texts), 2):
+            a, b = set(texts[k].split()), set(texts[k + 1].split())
+            if a != b and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = rows[k], rows[k + 1]
+                marks = [{r["marks"][i : i + line_dedup.MARK_BYTES] for i in range(0, len(r["marks"]), line_dedup.MARK_BYTES)} for r in (x, y)]
+                assert marks[0] & marks[1]
+                differ = sum(((x[c] ^ y[c]) % (1 << 64)).bit_count() for c in group_join.bits_of(line_dedup.LANES))
+                assert differ <= len(a ^ b)
+                met += 1
+        assert met > 20
+
+
+def test_marks_that_several_lines_have_are_found_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BUCKET_MARKS", 3)
+    marks = [[1, 2, 2**39], [2, 3], [], [2**39, 5, 6, 7]]
+    rows = [(k, len(m), b"".join(x.to_bytes(line_dedup.MARK_BYTES, "little") for x in m)) for k, m in enumerate(marks)]
+    found = line_dedup.met_again(spark.createDataFrame(rows, "cid long, n long, marks binary")).collect()
+    assert sorted(map(tuple, found)) == [(2, 0, 3), (2, 1, 2), (2**39, 0, 3), (2**39, 3, 4)]
+
+
+def test_compare_counts_common_members_over_blocks(monkeypatch):
+    import pyarrow as pa
+
+    hub, spokes = b"a b c d e", [b"a b x", b"", b"e d c b a a", b"q"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 5 + [2, 2]), pa.array([None, 10, 11, 12, 13, None, 14], pa.int64()), pa.array([hub, *spokes, b"", b"a"], pa.binary())], ["hub", "spoke", "text"])
+    whole = [r for b in group_join._compare(1)([batch]) for r in b.to_pylist()]
+    assert [tuple(r.values()) for r in whole] == [(1, 10, 5, 3, 2), (1, 11, 5, 0, 0), (1, 12, 5, 5, 5), (1, 13, 5, 1, 0), (2, 14, 0, 1, 0)]
+    rows = [batch.slice(k, 1) for k in range(7)]
+    assert [r for b in group_join._compare(1)(rows) for r in b.to_pylist()] == whole
