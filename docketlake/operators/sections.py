@@ -24,7 +24,8 @@ HEADER_MIN, HEADER_MAX, LONG_LINE = 15, 50, 100
 def _marker(line: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, words in reversed(JUDGMENT_MARKERS):
-        out = F.when(strip(line).rlike(f"(?i)^(?:{words})"), F.lit(name)).otherwise(out)
+        folded = words.replace("S", "[S\u017f]").replace("K", "[K\u212a]")  # Java's (?i) leaves out the long s and the Kelvin sign
+        out = F.when(strip(line).rlike(f"(?i)^(?:{folded})"), F.lit(name)).otherwise(out)
     return out
 
 
@@ -40,15 +41,16 @@ def _spans(n: Column, starts: Column, with_lead: bool) -> Column:
 def split_judgments(df: DataFrame, markdown: str = "markdown") -> DataFrame:
     """Case header and marked sections of every judgment; sections of 20 characters or less are dropped.
 
-    Lines stay in one array per document, so there is no shuffle.
+    An empty text has an empty header, a null one no row. Lines stay in one array per document, so there is no shuffle.
     """
     others = [c for c in df.columns if c != markdown]
-    base = df.where(F.length(markdown) > 0).withColumn("_lines", F.split(markdown, "\n"))
+    base = df.where(F.col(markdown).isNotNull()).withColumn("_lines", F.split(markdown, "\n"))
     n = F.size("_lines")
 
     def body_starts(i):
         line = F.get("_lines", i)
-        words = F.exists(F.array(*[F.lit(w) for w in HEADER_WORDS]), lambda w: F.contains(F.lower(line), w))
+        lower = F.lower(F.translate(line, "\u0130", "i"))  # letter by letter; lower alone makes two characters of a dotted capital I
+        words = F.exists(F.array(*[F.lit(w) for w in HEADER_WORDS]), lambda w: F.contains(lower, w))
         return (F.length(strip(line)) > LONG_LINE) | words
 
     late = F.when(n > HEADER_MIN, F.sequence(F.lit(HEADER_MIN), F.least(n, F.lit(HEADER_MAX)) - 1))

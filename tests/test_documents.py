@@ -126,6 +126,22 @@ def test_judgment_sections(spark):
     assert [(r.title, r.node_id) for r in rows] == [("Case Header", "header"), ("Facts", "section_0"), ("Order", "section_1")]
 
 
+def test_judgment_headers_and_sections_of_odd_texts_match_their_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+    from oracle import compare
+
+    body = "\nthe rest of the text\nFACT\u017f and many more words of it\nBAC\u212aGROUND and many more words of it"
+    texts = ["", None, " ", "\n", "head\n" * 15 + "\u0130ssue: x" + body, "head\n" * 20 + "bac\u212aground: x" + body, "head\n" * 16 + "\u00e9" * 101 + body, "head\n" * 60]
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)] + [(None, "head\n" * 15 + body, "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("w11_case_headers", "w10_judgment_sections"):
+        assert compare(entry.queries()[name](spark, str(tmp_path)), con, entry.oracle_sql()[name]) is None
+
+
 def test_entities(spark):
     text = ("On 21/05/2025 and 3-1-49 and January 15, 2025 and 21 May 2025 the High Court of Zimbabwe, per MUTEVEDZI J, applied s 12A of the Labour Act [Chapter 28:01]"
             " as in [2025] ZWHHC 304. Justice Mathonsi agreed; see Shumba v Moyo")
