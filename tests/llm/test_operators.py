@@ -467,6 +467,30 @@ def test_lines_that_are_similar_enough_share_a_mark_and_pass_the_bits():
         assert met > 20
 
 
+def test_the_order_of_words_counts_every_word_of_every_text(spark, monkeypatch):
+    """More texts than were drawn once; "each" stands once in a text and "twice" once in each of two partitions."""
+    n = 9_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('Each\tw', id, ' ', if(id IN (0, 8999), 'twice', ''), '\n') AS text").repartition(3, "doc_id")
+    seen = []
+    monkeypatch.setattr(line_dedup, "frequent_words", lambda texts, f=line_dedup.frequent_words: seen.append(f(texts)) or seen[0])
+    found = line_dedup.repeated_lines(docs).collect()
+    assert len(found) == n and all(r.n_lines == 1 for r in found)
+    of = dict(zip(seen[0][0].tolist(), seen[0][1].tolist()))
+    hashes = [int(h) for h in group_join._numbers([b"each", b"twice", b"w7"])]
+    assert [of.get(h) for h in hashes] == [n, 2, None] and len(of) == 2
+
+
+def test_lines_are_taken_apart_like_bytes_of_python():
+    import pyarrow as pa
+
+    texts = [b"", b"\n", b" A b\tB\n\n\x0b \nc\x0cd\r\n", "\u00c4 \u00a0x\u0085y\x1c z\x00w".encode(), b"\xff\xfe bad \xc3\nOk", b"last\nline"]
+    want = [(k, i, line.split()) for k, t in enumerate(texts) for i, line in enumerate(t.lower().split(b"\n")) if line.split()]
+    column = pa.array([b"before", *texts], pa.binary()).slice(1)
+    doc, seq, line, words = line_dedup.lines_of(column)
+    flat = [words.dictionary.cast(pa.binary())[i].as_py() for i in words.indices.to_pylist()]
+    assert [(d, s, [w for w, of in zip(flat, line) if of == k]) for k, (d, s) in enumerate(zip(doc.tolist(), seq.tolist()))] == want
+
+
 def test_marks_that_several_lines_have_are_found_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BUCKET_MARKS", 3)
     marks = [[1, 2, 2**39], [2, 3], [], [2**39, 5, 6, 7]]
